@@ -1,11 +1,13 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
 from .pii import OP2_SQL, op2_pii
+from .token_store import op6_token_store
 from .url_filters import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op2_pii": op2_pii,
     "op5_url_filters": op5_url_filters,
+    "op6_token_store": op6_token_store,
 }
 #: The other queries are tested against brute force in tests/llm.
 ORACLE_SQL = {
