@@ -101,13 +101,19 @@ def word_spans(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of ``data[start:end]`` for each span, from one running sum."""
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any span of ``data`` follows."""
     with np.errstate(over="ignore"):
         sums = np.empty(len(data) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(_BYTE[data] * _powers("up", len(data))[: len(data)], out=sums[1:])
-        h = (sums[ends] - sums[starts]) * _powers("down", len(data))[starts]
+    return sums
+
+
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of ``data[start:end]`` for each span; equal bytes give equal hashes wherever they stand."""
+    with np.errstate(over="ignore"):
+        h = (sums[ends] - sums[starts]) * _powers("down", len(sums))[starts]
         return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -123,7 +129,7 @@ FOLD[0x41:0x5B] += 32
 
 
 def blocks(texts: list[str | None], limit: int = _BLOCK):
-    """Yield (first row, rows, their bytes joined by line feeds, start of each) so that a block stays small."""
+    """Yield (first row, rows as UTF-8) so that a block has about ``limit`` bytes; a null text is empty."""
     at, parts, total = 0, [], 0
     for i, t in enumerate(texts):
         b = (t or "").encode("utf-8", "surrogatepass")
@@ -136,19 +142,15 @@ def blocks(texts: list[str | None], limit: int = _BLOCK):
         yield at, parts
 
 
-def words_of(parts: list[bytes], inside: np.ndarray, fold: bool = True):
-    """(bytes, starts, ends, hashes, row bounds) of the words of several texts at once.
-
-    ``bounds[i]:bounds[i + 1]`` are the words of text ``i``.
-    """
-    data = np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)
-    if fold:
-        data = FOLD[data]
-    starts, ends = word_spans(data, inside)
-    offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
-    bounds = np.searchsorted(starts, offsets)
-    return data, starts, ends, span_hashes(data, starts, ends), bounds, offsets
+class Words:
+    """The words of several texts at once: ``bounds[i]:bounds[i + 1]`` are those of text ``i``."""
 
+    def __init__(self, parts: list[bytes], inside: np.ndarray):
+        self.data = FOLD[np.frombuffer(b"\n".join(parts) + b"\n", dtype=np.uint8)]
+        self.starts, self.ends = word_spans(self.data, inside)
+        self.offsets = np.cumsum([0] + [len(p) + 1 for p in parts])
+        self.bounds = np.searchsorted(self.starts, self.offsets)
+        self.sums = prefix_sums(self.data)
 
-def as_signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)
+    def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
+        return span_hashes(self.sums, self.starts if starts is None else starts, self.ends if ends is None else ends)

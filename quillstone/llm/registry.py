@@ -1,16 +1,23 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
+from .licenses import OP9_SQL, op9_licenses
+from .packing import op10_packing
 from .pii import OP2_SQL, op2_pii
+from .token_counts import op3_token_counts
 from .token_store import op6_token_store
 from .url_filters import OP5_SQL, op5_url_filters
 
 QUERIES = {
     "op2_pii": op2_pii,
+    "op3_token_counts": op3_token_counts,
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
+    "op9_licenses": op9_licenses,
+    "op10_packing": op10_packing,
 }
 #: The other queries are tested against brute force in tests/llm.
 ORACLE_SQL = {
     "op2_pii": OP2_SQL,
     "op5_url_filters": OP5_SQL,
+    "op9_licenses": OP9_SQL,
 }
