@@ -5,6 +5,7 @@ from .packing import op10_packing
 from .pii import OP2_SQL, op2_pii
 from .token_counts import op3_token_counts
 from .token_store import op6_token_store
+from .toxicity import op8_toxicity
 from .url_filters import OP5_SQL, op5_url_filters
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
+    "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
 }
