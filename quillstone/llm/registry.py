@@ -1,5 +1,6 @@
 """Queries and DuckDB SQL of the training-data operators."""
 
+from .decontaminate import op7_decontaminate
 from .licenses import OP9_SQL, op9_licenses
 from .packing import op10_packing
 from .pii import OP2_SQL, op2_pii
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
+    "op7_decontaminate": op7_decontaminate,
     "op8_toxicity": op8_toxicity,
     "op9_licenses": op9_licenses,
     "op10_packing": op10_packing,
