@@ -154,3 +154,8 @@ class Words:
 
     def hashes(self, starts: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
         return span_hashes(self.sums, self.starts if starts is None else starts, self.ends if ends is None else ends)
+
+
+def as_signed(h: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit values as Spark's signed ones."""
+    return h.view(np.int64)

@@ -2,6 +2,7 @@
 
 from .decontaminate import op7_decontaminate
 from .licenses import OP9_SQL, op9_licenses
+from .near_dedup import op4_near_dedup
 from .packing import op10_packing
 from .pii import OP2_SQL, op2_pii
 from .token_counts import op3_token_counts
@@ -12,6 +13,7 @@ from .url_filters import OP5_SQL, op5_url_filters
 QUERIES = {
     "op2_pii": op2_pii,
     "op3_token_counts": op3_token_counts,
+    "op4_near_dedup": op4_near_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_token_store": op6_token_store,
     "op7_decontaminate": op7_decontaminate,
