@@ -2,9 +2,385 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+from collections import Counter
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillstone.functions import analysis as an
+from quillstone.functions import text as tx
+from quillstone.operators import aggregations as ag
+from quillstone.operators import relevance as rv
+from quillstone.operators.engine import Engine, sort_columns
+from quillstone.plans import dsl
+from quillstone.sources import bulk, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+TODAY = dt.date(1998, 6, 15)
+
+
+def _add(name: str, run, sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLE_SQL[name] = sql
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name == "orders":
+        return df.withColumn("day", F.date_format("o_orderdate", "yyyyMMdd"))
+    if name == "events":
+        return df.withColumn("day", F.date_format("ts", "yyyyMMdd"))
+    if name == "customer":  # places for the geo queries, from the key
+        return df.withColumn("location", F.struct((F.pmod(F.col("c_custkey") * 37, F.lit(1700)) / 10.0 - 85).alias("lat"), (F.pmod(F.col("c_custkey") * 91, F.lit(3500)) / 10.0 - 175).alias("lon")))
+    return df
+
+
+KEYS = {"documents": "doc_id", "part": "p_partkey", "orders": "o_orderkey", "customer": "c_custkey", "events": "event_id", "pages": "page_id", "labels": "doc_id", "benchmark": "item_id", "supplier": "s_suppkey", "nation": "n_nationkey"}
+# The same derived columns in SQL.
+FROM = {
+    "orders": "(SELECT *, strftime(o_orderdate, '%Y%m%d') AS day FROM orders)", "events": "(SELECT *, strftime(ts, '%Y%m%d') AS day FROM events)",
+    "customer": "(SELECT *, ((c_custkey * 37) % 1700) / 10.0 - 85 AS lat, ((c_custkey * 91) % 3500) / 10.0 - 175 AS lon FROM customer)",
+}
+MAPPINGS = {
+    "documents": {"properties": {"lang": {"type": "keyword"}, "source": {"type": "keyword"}}},
+    "part": {"properties": {"p_brand": {"type": "keyword"}, "p_type": {"type": "text", "analyzer": "standard"}, "p_name": {"type": "text", "fields": {"auto": {"type": "text", "analyzer": "auto", "search_analyzer": "standard"}}}}},
+    "orders": {"properties": {"day": {"type": "date"}, "o_orderpriority": {"type": "keyword"}, "o_orderstatus": {"type": "keyword"}}},
+    "customer": {"properties": {"c_mktsegment": {"type": "keyword"}, "location": {"type": "geo_point"}}},
+    "events": {"properties": {"event_type": {"type": "keyword"}, "props": {"type": "keyword"}, "day": {"type": "date"}}},
+}
+AUTO = {"analysis": {"tokenizer": {"grams": {"type": "edge_ngram", "min_gram": 2, "max_gram": 20}}, "analyzer": {"auto": {"type": "custom", "tokenizer": "grams", "filter": ["lowercase", "asciifolding"]}}}}
+
+
+def engine(spark: SparkSession, sf: str, table: str) -> Engine:
+    e = Engine(spark, TODAY)
+    docs = _table(spark, sf, table)
+    key = KEYS[table]
+    body = {"mappings": MAPPINGS.get(table, {}), "settings": AUTO}
+    e.create(table, body, docs.select(F.col(key).cast("long").alias("_ord"), F.col(key).cast("string").alias("_id"), *docs.columns))
+    return e
+
+
+def _toks(col: str, kind: str = "simple") -> str:
+    split = {"simple": r"[^\p{L}]+", "standard": r"[^\p{L}\p{N}]+"}[kind]
+    return f"list_filter(string_split_regex(lower(coalesce({col}, '')), '{split}'), lambda t: t <> '')"
+
+
+def _dlq(t: str) -> str:
+    w = f"(len({t}) - 24)"
+    return f"CASE WHEN len({t}) < 32 THEN len({t}) ELSE 24 + (({w} >> (length(ltrim(bin({w}), '0')) - 4)) << (length(ltrim(bin({w}), '0')) - 4)) END"
+
+
+def _bm25_sql(tokens: str, words: list[str]) -> str:
+    """A score expression over rows of CTE ``a`` with a token list."""
+    parts = []
+    for w, n in sorted(Counter(words).items()):
+        tf = f"len(list_filter({tokens}, lambda t: t = '{w}'))"
+        df = f"(SELECT count(*) FROM a WHERE list_contains({tokens}, '{w}'))"
+        total, mean = f"(SELECT count(*) FROM a WHERE len({tokens}) > 0)", f"(SELECT sum(len({tokens})) / count(*) FROM a WHERE len({tokens}) > 0)"
+        parts.append(f"CASE WHEN {tf} > 0 THEN ln(1 + ({total} - {df} + 0.5) / ({df} + 0.5)) * {n} * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * ({_dlq(tokens)}) / {mean})) ELSE 0 END")
+    return "(" + " + ".join(parts) + ")"
+
+
+def _ranked(table: str, body: dict, extra: tuple[str, ...] = ()):
+    """A scored page: key, score rounded to six places, rank."""
+
+    def run(spark, sf) -> DataFrame:
+        page = engine(spark, sf, table).hits(table, body).page
+        w = Window.orderBy(F.desc("_score"), "_ord")  # a page: at most 10 000 rows
+        return page.select(F.col("_ord").alias("id"), F.round("_score", 6).alias("score"), F.row_number().over(w).cast("long").alias("rank"), *extra)
+
+    return run
+
+
+def _ranked_sql(table: str, toks: dict[str, str], where: str, score: str, size: int = 10, start: int = 0) -> str:
+    cols = ", ".join(f"{sql} AS {name}" for name, sql in toks.items())
+    return f"""WITH a AS (SELECT *, {cols} FROM {FROM.get(table, table)}),
+s AS (SELECT {KEYS[table]} AS id, {score} AS raw FROM a WHERE {where})
+SELECT CAST(id AS BIGINT) AS id, round(CAST(raw AS DOUBLE), 6) AS score, row_number() OVER (ORDER BY raw DESC, id) AS rank FROM s ORDER BY raw DESC, id LIMIT {size} OFFSET {start}"""
+
+
+def _selected(table: str, query: dict, columns: tuple[str, ...] = ()):
+    """All matches of a query: the ids."""
+
+    def run(spark, sf) -> DataFrame:
+        e = engine(spark, sf, table)
+        return e.matched(e.indices[table], dsl.parse(query)).select(F.col("_ord").alias("id"), *columns)
+
+    return run
+
+
+def _selected_sql(table: str, where: str, columns: tuple[str, ...] = ()) -> str:
+    return f"SELECT CAST({', '.join([KEYS[table] + ' AS BIGINT) AS id', *columns])} FROM {FROM.get(table, table)} WHERE {where}"
+
+
+# ---------------------------------------------------------------- ranked search
+
+T, T2 = {"toks": _toks("text")}, "toks"
+_add("match_bm25_topk", _ranked("documents", {"query": {"match": {"text": "the nation of people"}}}), _ranked_sql("documents", T, "list_has_any(toks, ['the','nation','of','people'])", _bm25_sql(T2, "the nation of people".split())))
+_add("match_and", _ranked("documents", {"query": {"match": {"text": {"query": "the of and", "operator": "and"}}}}), _ranked_sql("documents", T, "list_has_all(toks, ['the','of','and'])", _bm25_sql(T2, ["the", "of", "and"])))
+_add("match_repeat_boost", _ranked("documents", {"query": {"match": {"text": "der der die"}}}), _ranked_sql("documents", T, "list_has_any(toks, ['der','die'])", _bm25_sql(T2, ["der", "der", "die"])))
+_add("match_phrase", _ranked("documents", {"query": {"match_phrase": {"text": "of the"}}, "size": 50}), _ranked_sql("documents", T, "contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')", _bm25_sql(T2, ["of", "the"]), 50))
+_mm = {"n": _toks("p_name"), "y": _toks("p_type", "standard")}
+_add("multi_match_max", _ranked("part", {"query": {"multi_match": {"query": "steel red part", "fields": ["p_name", "p_type"]}}, "size": 20}), _ranked_sql("part", _mm, "list_has_any(n, ['steel','red','part']) OR list_has_any(y, ['steel','red','part'])", f"greatest(1e-9, {_bm25_sql('n', ['steel', 'red', 'part'])}, {_bm25_sql('y', ['steel', 'red', 'part'])})", 20))
+_add("multi_match_and", _ranked("documents", {"query": {"multi_match": {"query": "the that", "fields": ["text", "lang"], "operator": "and"}}}), _ranked_sql("documents", T, "list_has_all(toks, ['the','that'])", f"greatest(1e-9, {_bm25_sql(T2, ['the', 'that'])})"))
+_bool = {"bool": {"must": [{"match": {"text": "the"}}], "should": [{"match": {"text": "and"}}, {"term": {"lang": "en"}}], "filter": [{"range": {"n_chars": {"gte": 500}}}], "must_not": [{"term": {"source": "src0"}}]}}
+_one_ = lambda w: f"(CASE WHEN {_bm25_sql(T2, [w])} > 0 THEN {_bm25_sql(T2, [w])} ELSE 1.0 END)"
+_should = lambda w: f"(CASE WHEN {_bm25_sql(T2, [w])} > 0 THEN {_bm25_sql(T2, [w])} ELSE 0.0 END)"
+_add("bool_score", _ranked("documents", {"query": _bool}), _ranked_sql("documents", T, "list_contains(toks, 'the') AND n_chars >= 500 AND source <> 'src0'", f"{_one_('the')} + {_should('and')}"))
+_add("bool_boost_score", _ranked("documents", {"query": {"bool": {"must": [{"match": {"text": "que"}}], "boost": 2.5}}}), _ranked_sql("documents", T, "list_contains(toks, 'que')", f"{_one_('que')} * 2.5"))
+_add("page_from_size", lambda s, sf: _ranked("documents", {"query": {"match": {"text": "the"}}, "from": 20, "size": 15})(s, sf).drop("rank"), _ranked_sql("documents", T, "list_contains(toks, 'the')", _bm25_sql(T2, ["the"]), 15, 20).replace(", row_number() OVER (ORDER BY raw DESC, id) AS rank", ""))
+_add("min_score", lambda s, sf: _ranked("documents", {"query": {"match": {"text": "the people"}}, "min_score": 0.55, "size": 10000})(s, sf).select("id", "score"), f"WITH a AS (SELECT *, {_toks('text')} AS toks FROM documents), s AS (SELECT doc_id AS id, round(CAST({_bm25_sql(T2, ['the', 'people'])} AS DOUBLE), 6) AS score FROM a WHERE list_has_any(toks, ['the','people'])) SELECT CAST(id AS BIGINT) AS id, score FROM s WHERE score >= 0.55")
+
+
+def _totals(spark, sf) -> DataFrame:
+    e = engine(spark, sf, "documents")
+    rows = []
+    for cap in (True, 10, False):
+        h = e.hits("documents", {"query": {"match": {"text": "the"}}, "track_total_hits": cap, "size": 0})
+        rows.append((str(cap).lower(), h.total, h.relation if h.total is not None else None, round(h.max_score, 6)))
+    return spark.createDataFrame(rows, "cap string, total long, relation string, max_score double")
+
+
+_add("total_hits_cap", _totals, f"""WITH a AS (SELECT *, {_toks('text')} AS toks FROM documents), s AS (SELECT count(*) AS n, round(CAST(max({_bm25_sql(T2, ['the'])}) AS DOUBLE), 6) AS max_score FROM a WHERE list_contains(toks, 'the'))
+SELECT 'true' AS cap, n AS total, 'eq' AS relation, max_score FROM s UNION ALL SELECT '10', least(n, 10), CASE WHEN n > 10 THEN 'gte' ELSE 'eq' END, max_score FROM s UNION ALL SELECT 'false', NULL, NULL, max_score FROM s""")
+
+# ---------------------------------------------------------------- predicates
+
+_add("match_all", _selected("documents", {"match_all": {}}), _selected_sql("documents", "true"))
+_add("term_keyword", _selected("documents", {"term": {"lang": "de"}}), _selected_sql("documents", "lang = 'de'"))
+_add("term_text_first_token", _selected("documents", {"term": {"text": "Und die"}}), _selected_sql("documents", f"list_contains({_toks('text')}, 'und')"))
+_add("terms_any", _selected("events", {"terms": {"event_type": ["click", "purchase"]}}), _selected_sql("events", "event_type IN ('click','purchase')"))
+_add("exists_nonempty", _selected("events", {"exists": {"field": "props"}}), _selected_sql("events", "props IS NOT NULL AND props <> ''"))
+_add("range_numeric", _selected("part", {"range": {"p_retailprice": {"gte": 950, "lt": 1200}}}), _selected_sql("part", "p_retailprice >= 950 AND p_retailprice < 1200"))
+_add("range_lexicographic", _selected("part", {"range": {"p_brand": {"gt": "Brand#2", "lte": "Brand#4"}}}), _selected_sql("part", "p_brand > 'Brand#2' AND p_brand <= 'Brand#4'"))
+_add("range_other_kind_ignored", _selected("part", {"range": {"p_size": {"gte": 10, "lt": "abc"}}}), _selected_sql("part", "p_size >= 10"))
+_add("range_date", _selected("orders", {"range": {"day": {"gte": "19950101", "lt": "19960101"}}}), _selected_sql("orders", "day >= '19950101' AND day < '19960101'"))
+_add("range_date_math", _selected("orders", {"range": {"day": {"gt": "now-2y/d", "lte": "now-1M-1w"}}}), _selected_sql("orders", "day > '19960615' AND day <= '19980508'"))
+_add("prefix_token", _selected("part", {"prefix": {"p_name": "st"}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'st'))) > 0"))
+_add("wildcard_token", _selected("part", {"wildcard": {"p_type": "*e?l*"}}), _selected_sql("part", f"len(list_filter({_toks('p_type', 'standard')}, lambda t: regexp_full_match(t, '.*e.l.*'))) > 0"))
+_add("edge_ngram_match", _selected("part", {"match": {"p_name.auto": "pa"}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'pa'))) > 0"))
+_b = lambda should, least: {"bool": {"should": should, "minimum_should_match": least}}
+_four = [{"term": {"lang": "en"}}, {"range": {"n_chars": {"gte": 1000}}}, {"match": {"text": "the"}}, {"term": {"source": "src1"}}]
+_sum = f"(lang = 'en')::INT + (n_chars >= 1000)::INT + list_contains({_toks('text')}, 'the')::INT + (source = 'src1')::INT"
+_add("bool_msm_int", _selected("documents", _b(_four, 2)), _selected_sql("documents", f"{_sum} >= 2"))
+_add("bool_msm_negative", _selected("documents", _b(_four, -1)), _selected_sql("documents", f"{_sum} >= 3"))
+_add("bool_msm_percent_floor", _selected("documents", _b(_four, "70%")), _selected_sql("documents", f"{_sum} >= 2"))
+_add("bool_msm_all", _selected("documents", _b(_four, 4)), _selected_sql("documents", f"{_sum} >= 4"))
+_add("bool_must_filter_mustnot", _selected("documents", {"bool": {"must": {"term": {"lang": "fr"}}, "filter": [{"range": {"n_chars": {"lt": 3000}}}], "must_not": {"match": {"text": "les"}}}}), _selected_sql("documents", f"lang = 'fr' AND n_chars < 3000 AND NOT list_contains({_toks('text')}, 'les')"))
+_add("fuzzy_edits1", _selected("part", {"fuzzy": {"p_name": {"value": "sreel", "fuzziness": 1}}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: damerau_levenshtein(t, 'sreel') <= 1)) > 0"))
+_add("fuzzy_auto", _selected("part", {"match": {"p_type": {"query": "ecomony", "fuzziness": "AUTO"}}}), _selected_sql("part", f"len(list_filter({_toks('p_type', 'standard')}, lambda t: damerau_levenshtein(t, 'ecomony') <= 2)) > 0"))
+_hav = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - 48.85) / 2), 2) + cos(radians(48.85)) * cos(radians(lat)) * pow(sin(radians(lon - 2.35) / 2), 2))))"
+_add("geo_distance", _selected("customer", {"geo_distance": {"distance": "3000km", "location": {"lat": 48.85, "lon": 2.35}}}), _selected_sql("customer", f"{_hav} <= 3000000"))
+_add("geo_bbox", _selected("customer", {"geo_bounding_box": {"location": {"top_left": "40.05,-80.05", "bottom_right": [60.05, -20.05]}}}), _selected_sql("customer", "lat BETWEEN -20.05 AND 40.05 AND lon BETWEEN -80.05 AND 60.05"))
+_poly = [(50.03, -100.07), (40.01, 80.03), (-60.09, 20.01)]
+_edges = [(a, b) for a, b in zip(_poly, _poly[1:] + _poly[:1])]
+_add("geo_polygon", _selected("customer", {"geo_polygon": {"location": {"points": [{"lat": a, "lon": b} for a, b in _poly]}}}), _selected_sql("customer", "(" + " + ".join(f"((({a[0]} > lat) <> ({b[0]} > lat)) AND lon < ({b[1]} - {a[1]}) * (lat - {a[0]}) / ({b[0]} - {a[0]}) + {a[1]})::INT" for a, b in _edges) + ") % 2 = 1"))
+
+# ---------------------------------------------------------------- function_score
+
+
+def _fs(table: str, spec: dict, score: str, where: str = "true", size: int = 10000) -> tuple:
+    def run(spark, sf) -> DataFrame:
+        e = engine(spark, sf, table)
+        c = e.compiler(e.indices[table])
+        q = dsl.parse({"function_score": spec})
+        return e.indices[table].docs.filter(c.match(q)).select(F.col("_ord").alias("id"), F.round(c.score(q, c.statistics(e.indices[table].docs, q)), 6).alias("score"))
+
+    return run, f"SELECT CAST({KEYS[table]} AS BIGINT) AS id, round(CAST({score} AS DOUBLE), 6) AS score FROM {FROM.get(table, table)} WHERE {where}"
+
+
+_fvf = lambda **x: {"field_value_factor": {"field": "p_size", **x}}
+_add("fs_weight", *_fs("part", {"functions": [{"weight": 3, "filter": {"range": {"p_size": {"gte": 25}}}}]}, "CASE WHEN p_size >= 25 THEN 3.0 ELSE 1.0 END"))
+_add("fs_fvf_none", *_fs("part", _fvf(factor=1.5), "p_size * 1.5"))
+_add("fs_fvf_log1p", *_fs("part", _fvf(modifier="log1p", factor=2), "ln(1 + p_size * 2.0)"))
+_add("fs_fvf_sqrt", *_fs("part", _fvf(modifier="sqrt"), "sqrt(p_size)"))
+_add("fs_fvf_reciprocal", *_fs("part", _fvf(modifier="reciprocal"), "CASE WHEN p_size = 0 THEN 0 ELSE 1.0 / p_size END"))
+_d = "abs(date_diff('day', DATE '1996-06-01', CAST(o_orderdate AS DATE)))"
+for _k, _e in (("gauss", f"exp(-{_d} * {_d} * ln(1 / 0.4) / (200.0 * 200.0))"), ("exp", f"exp(-{_d} * ln(1 / 0.4) / 200.0)"), ("linear", f"greatest(0, 1 - {_d} * (1 - 0.4) / 200.0)")):
+    _add(f"fs_{_k}", *_fs("orders", {_k: {"day": {"origin": "19960601", "scale": "200d", "decay": 0.4}}}, _e))
+_three = [{"weight": 2, "filter": {"range": {"p_size": {"gte": 20}}}}, {"weight": 5, "filter": {"range": {"p_retailprice": {"gte": 1100}}}}, {**_fvf(factor=0.1)}]
+_x, _y, _z = "CASE WHEN p_size >= 20 THEN 2.0 END", "CASE WHEN p_retailprice >= 1100 THEN 5.0 END", "p_size * 0.1"
+for _m, _e in (
+    ("multiply", f"coalesce({_x}, 1) * coalesce({_y}, 1) * {_z}"), ("sum", f"coalesce({_x}, 0) + coalesce({_y}, 0) + {_z}"), ("avg", f"(coalesce({_x}, 0) + coalesce({_y}, 0) + {_z}) / 3"),
+    ("first", f"coalesce({_x}, {_y}, {_z})"), ("min", f"least({_x}, {_y}, {_z})"), ("max", f"greatest({_x}, {_y}, {_z})"),
+):
+    _add(f"fs_score_mode_{_m}", *_fs("part", {"functions": _three, "score_mode": _m}, _e))
+for _m, _e in (("multiply", "2 * {}"), ("sum", "2 + {}"), ("avg", "(2 + {}) / 2"), ("replace", "{}"), ("min", "least(2, {})"), ("max", "greatest(2, {})")):
+    _add(f"fs_boost_mode_{_m}", *_fs("part", {"query": {"match_all": {"boost": 2}}, "functions": [_fvf(factor=0.1)], "boost_mode": _m, "boost": 1.5}, f"({_e.format('(p_size * 0.1)')}) * 1.5"))
+
+# ---------------------------------------------------------------- aggregations
+
+
+def _docs(table: str):
+    return lambda spark, sf: _table(spark, sf, table)
+
+
+_add("agg_terms", lambda s, sf: ag.terms(_table(s, sf, "events"), F.col("event_type")), "SELECT event_type AS key, count(*) AS doc_count FROM events WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+_add("agg_terms_array", lambda s, sf: ag.terms(_table(s, sf, "documents").select(an.tokens(F.col("text"), "simple").alias("t")), F.col("t"), True, 15), f"SELECT key, count(*) AS doc_count FROM (SELECT unnest({_toks('text')}) AS key FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+for _i, _e in (("day", "day"), ("week", "strftime(date_trunc('week', strptime(day, '%Y%m%d')), '%Y%m%d')"), ("month", "substr(day, 1, 6) || '01'"), ("year", "substr(day, 1, 4) || '0101'")):
+    _add(f"agg_date_histogram_{_i}", (lambda i: lambda s, sf: ag.date_histogram(_table(s, sf, "orders"), F.col("day"), i))(_i), f"SELECT {_e} AS key, count(*) AS doc_count FROM {FROM['orders']} GROUP BY 1")
+_add("agg_cardinality", lambda s, sf: ag.cardinality(_table(s, sf, "events"), F.col("user_id")), "SELECT count(DISTINCT user_id) AS value FROM events")
+_sources = lambda: [("type", F.col("event_type")), ("month", ag.bucket(F.col("day"), "month"))]
+_comp = f"SELECT event_type AS type, substr(day, 1, 6) || '01' AS month, count(*) AS doc_count FROM {FROM['events']} GROUP BY 1, 2"
+_add("agg_composite", lambda s, sf: ag.composite(_table(s, sf, "events"), _sources(), 12), f"{_comp} ORDER BY 1, 2 LIMIT 12")
+_add("agg_composite_after", lambda s, sf: ag.composite(_table(s, sf, "events"), _sources(), 12, {"type": "error", "month": "20240101"}), f"SELECT * FROM ({_comp}) WHERE type > 'error' OR (type = 'error' AND month > '20240101') ORDER BY 1, 2 LIMIT 12")
+_add("agg_composite_number_as_text", lambda s, sf: ag.composite(_table(s, sf, "part"), [("size", F.col("p_size"))], 20, {"size": 15}), "SELECT p_size AS size, count(*) AS doc_count FROM part WHERE CAST(p_size AS VARCHAR) > '15' GROUP BY 1 ORDER BY CAST(p_size AS VARCHAR) LIMIT 20")
+
+# ---------------------------------------------------------------- sorting, pages, projections, counts
+
+
+def _sorted(table: str, sort, size: int, columns: tuple[str, ...]):
+    def run(spark, sf) -> DataFrame:
+        page = engine(spark, sf, table).hits(table, {"sort": sort, "size": size}).page
+        return page.select(F.col("_ord").alias("id"), *columns)
+
+    return run
+
+
+_add("sort_multi", _sorted("part", ["p_brand", {"p_retailprice": {"order": "desc"}}], 100, ("p_brand", "p_retailprice")), "SELECT p_partkey AS id, p_brand, p_retailprice FROM part ORDER BY p_brand, p_retailprice DESC, p_partkey LIMIT 100")
+
+
+def _sort_missing(spark, sf) -> DataFrame:
+    docs = _table(spark, sf, "documents").join(_table(spark, sf, "labels"), "doc_id", "left")
+    e = Engine(spark)
+    e.register("d", docs.select("doc_id", "quality", "n_chars"), "doc_id")
+    order = sort_columns([{"quality": "desc"}, "n_chars"], e.compiler(e.indices["d"]), False)
+    return e.indices["d"].docs.orderBy(*order, "_ord").offset(350).limit(100).select(F.col("_ord").alias("id"), "quality", "n_chars")
+
+
+_add("sort_missing_last", _sort_missing, "SELECT d.doc_id AS id, l.quality, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality DESC NULLS LAST, d.n_chars, d.doc_id LIMIT 100 OFFSET 350")
+_add("source_includes_excludes", lambda s, sf: engine(s, sf, "part").scan("part").select("p_name", "p_size"), "SELECT p_name, p_size FROM part")
+_add("paged_scan", lambda s, sf: engine(s, sf, "orders").scan("orders", 40, 25).select(F.col("_ord").alias("id"), "day"), f"SELECT CAST(o_orderkey AS BIGINT) AS id, day FROM {FROM['orders']} ORDER BY o_orderkey LIMIT 25 OFFSET 40")
+_ids = ["7", "3", "999999999", "12"]
+_add("mget_order", lambda s, sf: engine(s, sf, "part").mget("part", _ids).select("_id", "found", "p_name"), "SELECT v.id AS _id, p.p_partkey IS NOT NULL AS found, p.p_name FROM (VALUES ('7'), ('3'), ('999999999'), ('12')) v(id) LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = v.id")
+
+
+def _counts(spark, sf) -> DataFrame:
+    e = engine(spark, sf, "documents")
+    bodies = {
+        "all": {}, "term": {"query": {"term": {"lang": "es"}}}, "range": {"query": {"range": {"n_chars": {"lt": 800}}}}, "exists": {"query": {"exists": {"field": "text"}}},
+        "must": {"query": {"bool": {"must": [{"term": {"lang": "en"}}, {"range": {"n_chars": {"gte": 2000}}}]}}}, "capped": {"track_total_hits": 5},
+    }
+    return spark.createDataFrame([(k, e.count("documents", b)) for k, b in bodies.items()], "name string, n long")
+
+
+_add("count_queries", _counts, """SELECT 'all' AS name, count(*) AS n FROM documents UNION ALL SELECT 'term', count(*) FROM documents WHERE lang = 'es' UNION ALL SELECT 'range', count(*) FROM documents WHERE n_chars < 800
+UNION ALL SELECT 'exists', count(*) FROM documents WHERE text <> '' UNION ALL SELECT 'must', count(*) FROM documents WHERE lang = 'en' AND n_chars >= 2000 UNION ALL SELECT 'capped', 5""")
+
+
+def _caps(spark, sf) -> DataFrame:
+    found = engine(spark, sf, "part").field_caps("part", ["*"])["fields"]
+    return spark.createDataFrame([(n, t, c["aggregatable"]) for n, ts in found.items() for t, c in ts.items() if n in ("p_name", "p_brand", "p_size", "p_retailprice")], "field string, type string, aggregatable boolean")
+
+
+_add("field_caps", _caps, "SELECT * FROM (VALUES ('p_name', 'text', false), ('p_brand', 'keyword', true), ('p_size', 'integer', true), ('p_retailprice', 'double', true)) t(field, type, aggregatable)")
+
+
+def _union(spark, sf) -> DataFrame:
+    e = Engine(spark)
+    e.register("a", _table(spark, sf, "supplier").select("s_suppkey", F.col("s_name").alias("name")), "s_suppkey", {"properties": {"name": {"type": "keyword"}}})
+    e.register("b", _table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("name")), "n_nationkey", {"properties": {"name": {"type": "keyword"}}})
+    e.update_aliases([{"add": {"index": "a", "alias": "both"}}, {"add": {"index": "b", "alias": "both"}}])
+    return e.hits("both", {"size": 30}).page.select("_index", F.col("_ord").alias("id"), "name")
+
+
+_add("alias_union", _union, "SELECT * FROM (SELECT 'a' AS _index, CAST(s_suppkey AS BIGINT) AS id, s_name AS name FROM supplier UNION ALL SELECT 'b', CAST(n_nationkey AS BIGINT), n_name FROM nation) ORDER BY _index, id LIMIT 30")
+
+# ---------------------------------------------------------------- analysis
+
+
+def _analyzed(kind: str):
+    return lambda s, sf: _table(s, sf, "conversations").select("conv_id", "turn", F.array_join(an.tokens(F.col("text"), kind), "|").alias("tokens"))
+
+
+_an = lambda e: f"SELECT conv_id, turn, array_to_string({e}, '|') AS tokens FROM conversations"
+_add("analyze_standard", _analyzed("standard"), _an(_toks("text", "standard")))
+_add("analyze_simple", _analyzed("simple"), _an(_toks("text")))
+_add("analyze_stop", _analyzed("stop"), _an(f"list_filter({_toks('text')}, lambda t: t NOT IN ({', '.join(repr(w) for w in an.STOP_WORDS)}))"))
+_add("analyze_whitespace", _analyzed("whitespace"), _an(r"list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda t: t <> '')"))
+_add("analyze_keyword", _analyzed("keyword"), _an("list_filter([coalesce(text, '')], lambda t: t <> '')"))
+_add("analyze_norm", _analyzed("norm"), _an(r"list_filter(string_split_regex(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[^\p{L}\p{N}]+'), lambda t: t <> '')"))
+_add("edge_ngrams", lambda s, sf: _table(s, sf, "customer").select("c_custkey", F.array_join(an.tokens(F.col("c_mktsegment"), "edge_ngram", min=2, max=5), "|").alias("grams")), "SELECT c_custkey, array_to_string(list_transform(range(2, least(5, length(c_mktsegment)) + 1), lambda n: substr(c_mktsegment, 1, CAST(n AS INT))), '|') AS grams FROM customer")
+_add("quantised_length", lambda s, sf: _table(s, sf, "documents").select("doc_id", tx.quantised_length(F.size(an.tokens(F.col("text"), "simple"))).cast("long").alias("dlq")), f"SELECT doc_id, CAST({_dlq('toks')} AS BIGINT) AS dlq FROM (SELECT doc_id, {_toks('text')} AS toks FROM documents)")
+
+# ---------------------------------------------------------------- ingestion and evaluation
+
+
+def _ops(spark, sf) -> DataFrame:
+    """Orders as operations: customers are the ids, keys the order; every seventh deletes, every fifth creates."""
+    k = F.col("o_orderkey")
+    action = F.when(k % 7 == 0, "delete").when(k % 5 == 0, "create").otherwise("index")
+    return _table(spark, sf, "orders").select(k.cast("long").alias("seq"), action.alias("action"), F.col("o_custkey").cast("string").alias("_id"), F.col("o_totalprice").alias("price"))
+
+
+_OPS = "ops AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' WHEN o_orderkey % 5 = 0 THEN 'create' ELSE 'index' END AS action, CAST(o_custkey AS VARCHAR) AS _id, o_totalprice AS price FROM orders)"
+
+
+def _last_write(spark, sf) -> DataFrame:
+    stored = spark.createDataFrame([], "_ord long, _id string, price double")
+    return bulk.apply(stored, _ops(spark, sf).filter("action <> 'create'")).select("_id", "price")
+
+
+_add("bulk_last_write_wins", _last_write, f"WITH {_OPS}, l AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY seq DESC) AS n FROM ops WHERE action <> 'create') SELECT _id, price FROM l WHERE n = 1 AND action <> 'delete'")
+_add("create_conflicts", lambda s, sf: bulk.statuses(s.createDataFrame([], "_id string"), _ops(s, sf)).groupBy("action", "status").agg(F.count("*").alias("n")), f"""
+WITH RECURSIVE {_OPS}, o AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY seq) AS n FROM ops),
+r AS (SELECT _id, n, action, CASE action WHEN 'index' THEN 201 WHEN 'create' THEN 201 ELSE 200 END AS status, action <> 'delete' AS live FROM o WHERE n = 1
+  UNION ALL SELECT o._id, o.n, o.action, CASE WHEN o.action = 'create' AND r.live THEN 409 WHEN o.action = 'delete' THEN 200 ELSE 201 END, o.action <> 'delete' FROM o JOIN r ON o._id = r._id AND o.n = r.n + 1)
+SELECT action, CAST(status AS INT) AS status, count(*) AS n FROM r GROUP BY 1, 2""")
+_add("address_label", lambda s, sf: _table(s, sf, "supplier").select("s_suppkey", files.address_label(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey").cast("string")), F.when(F.col("s_suppkey") % 2 == 0, "B"), F.lit("Rue de la Paix"), F.lpad(F.col("s_nationkey").cast("string"), 5, "0"), F.col("s_name")).alias("label")), "SELECT s_suppkey, concat_ws(' ', nullif(coalesce(CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey AS VARCHAR) END, '') || coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'B' END, ''), ''), 'Rue de la Paix', lpad(CAST(s_nationkey AS VARCHAR), 5, '0'), s_name) AS label FROM supplier")
+_add("suggest_contains", lambda s, sf: rv.suggest(_table(s, sf, "part"), "stéel", ["p_name", "p_type"], "p_partkey").select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel') ORDER BY p_partkey LIMIT 8")
+
+
+def _judged(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Rankings of documents by length within a language, judged by the labels."""
+    w = Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")
+    hits = _table(spark, sf, "documents").withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select(F.col("lang").alias("query_id"), "doc_id", "rank")
+    rel = _table(spark, sf, "labels").join(_table(spark, sf, "documents"), "doc_id").select(F.col("lang").alias("query_id"), "doc_id", (F.col("quality") + F.col("toxic")).alias("rel")).filter("rel > 0")
+    return hits, rel
+
+
+_J = """h AS (SELECT lang AS query_id, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents), q AS (SELECT d.lang AS query_id, l.doc_id, l.quality + l.toxic AS rel FROM labels l JOIN documents d USING (doc_id) WHERE l.quality + l.toxic > 0)"""
+
+
+def _ndcg_sql(gain: str) -> str:
+    return f"""WITH {_J}, g AS (SELECT query_id, sum({gain} / log2(rank + 1)) AS dcg FROM h JOIN q USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1),
+i AS (SELECT query_id, sum({gain} / log2(n + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS n FROM q) WHERE n <= 10 GROUP BY 1)
+SELECT query_id, round(coalesce(dcg, 0) / ideal, 6) AS ndcg FROM i LEFT JOIN g USING (query_id)"""
+
+
+_six = lambda df, c: df.withColumn(c, F.round(c, 6))
+_add("ndcg_at_10", lambda s, sf: _six(rv.ndcg(*_judged(s, sf)), "ndcg"), _ndcg_sql("1.0"))
+_add("ndcg_at_10_graded", lambda s, sf: _six(rv.ndcg(*_judged(s, sf), graded=True), "ndcg"), _ndcg_sql("(pow(2, rel) - 1)"))
+_rec = f"WITH {_J}, f AS (SELECT query_id, count(*) AS n FROM h JOIN q USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1), r AS (SELECT query_id, count(*) AS r FROM q GROUP BY 1)"
+_add("recall_at_10", lambda s, sf: _six(rv.recall(*_judged(s, sf)), "recall"), f"{_rec} SELECT query_id, round(coalesce(n, 0) / r, 6) AS recall FROM r LEFT JOIN f USING (query_id)")
+_add("success_at_10", lambda s, sf: rv.recall(*_judged(s, sf), any_hit=True), f"{_rec} SELECT query_id, CASE WHEN n > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS recall FROM r LEFT JOIN f USING (query_id)")
+_add("nearest_rank_percentile", lambda s, sf: rv.nearest_rank(_table(s, sf, "events"), "value", [50, 95, 99]), "SELECT p AS percent, (SELECT list_sort(list(value))[greatest(1, CAST(ceil(p / 100 * count(value)) AS INT))] FROM events) AS value FROM (SELECT CAST(unnest([50, 95, 99]) AS DOUBLE) AS p)")
+_add("hit_overlap", lambda s, sf: _table(s, sf, "part").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") > 20, F.col("p_partkey"))).alias("a"), F.collect_set(F.when(F.col("p_retailprice") > 1000, F.col("p_partkey"))).alias("b")).select("p_brand", rv.overlap(F.col("a"), F.col("b")).cast("long").alias("n")), "SELECT p_brand, count(*) FILTER (p_size > 20 AND p_retailprice > 1000) AS n FROM part GROUP BY 1")
+
+
+# ---------------------------------------------------------------- without SQL: rows only
+
+
+def _highlighted(spark, sf) -> DataFrame:
+    out = engine(spark, sf, "documents").search("documents", {"query": {"match": {"text": "people the"}}, "highlight": {"fields": {"text": {"fragment_size": 80, "number_of_fragments": 2}}}})
+    return spark.createDataFrame([(h["_id"], json.dumps(h.get("highlight", {}))) for h in out["hits"]["hits"]], "id string, highlight string")
+
+
+def _scrolled(spark, sf) -> DataFrame:
+    e = engine(spark, sf, "part")
+    page = e.search("part", {"query": {"match": {"p_name": "part"}}, "size": 20}, scroll="1m")
+    rows, n = [], 0
+    while page["hits"]["hits"] and n < 3:
+        rows += [(n, h["_id"]) for h in page["hits"]["hits"]]
+        page, n = e.scroll(page["_scroll_id"]), n + 1
+    return spark.createDataFrame(rows, "page int, id string")
+
+
+_add("highlight_fragments", _highlighted)
+_add("scroll_pages", _scrolled)
+_add("asciifold", lambda s, sf: _table(s, sf, "documents").select("doc_id", an.asciifold(F.col("text")).alias("folded")))
