@@ -126,7 +126,7 @@ _add("match_and", _ranked("documents", {"query": {"match": {"text": {"query": "t
 _add("match_repeat_boost", _ranked("documents", {"query": {"match": {"text": "der der die"}}}), _ranked_sql("documents", T, "list_has_any(toks, ['der','die'])", _bm25_sql(T2, ["der", "der", "die"])))
 _add("match_phrase", _ranked("documents", {"query": {"match_phrase": {"text": "of the"}}, "size": 50}), _ranked_sql("documents", T, "contains(' ' || array_to_string(toks, ' ') || ' ', ' of the ')", _bm25_sql(T2, ["of", "the"]), 50))
 _mm = {"n": _toks("p_name"), "y": _toks("p_type", "standard")}
-_add("multi_match_max", _ranked("part", {"query": {"multi_match": {"query": "steel red part", "fields": ["p_name", "p_type"]}}, "size": 20}), _ranked_sql("part", _mm, "list_has_any(n, ['steel','red','part']) OR list_has_any(y, ['steel','red','part'])", f"greatest(1e-9, {_bm25_sql('n', ['steel', 'red', 'part'])}, {_bm25_sql('y', ['steel', 'red', 'part'])})", 20))
+_add("multi_match_max", _ranked("part", {"query": {"multi_match": {"query": "economy red widget", "fields": ["p_name", "p_type"]}}, "size": 20}), _ranked_sql("part", _mm, "list_has_any(n, ['economy','red','widget']) OR list_has_any(y, ['economy','red','widget'])", f"greatest(1e-9, {_bm25_sql('n', ['economy', 'red', 'widget'])}, {_bm25_sql('y', ['economy', 'red', 'widget'])})", 20))
 _add("multi_match_and", _ranked("documents", {"query": {"multi_match": {"query": "the that", "fields": ["text", "lang"], "operator": "and"}}}), _ranked_sql("documents", T, "list_has_all(toks, ['the','that'])", f"greatest(1e-9, {_bm25_sql(T2, ['the', 'that'])})"))
 _bool = {"bool": {"must": [{"match": {"text": "the"}}], "should": [{"match": {"text": "and"}}, {"term": {"lang": "en"}}], "filter": [{"range": {"n_chars": {"gte": 500}}}], "must_not": [{"term": {"source": "src0"}}]}}
 _one_ = lambda w: f"(CASE WHEN {_bm25_sql(T2, [w])} > 0 THEN {_bm25_sql(T2, [w])} ELSE 1.0 END)"
@@ -161,9 +161,9 @@ _add("range_lexicographic", _selected("part", {"range": {"p_brand": {"gt": "Bran
 _add("range_other_kind_ignored", _selected("part", {"range": {"p_size": {"gte": 10, "lt": "abc"}}}), _selected_sql("part", "p_size >= 10"))
 _add("range_date", _selected("orders", {"range": {"day": {"gte": "19950101", "lt": "19960101"}}}), _selected_sql("orders", "day >= '19950101' AND day < '19960101'"))
 _add("range_date_math", _selected("orders", {"range": {"day": {"gt": "now-2y/d", "lte": "now-1M-1w"}}}), _selected_sql("orders", "day > '19960615' AND day <= '19980508'"))
-_add("prefix_token", _selected("part", {"prefix": {"p_name": "st"}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'st'))) > 0"))
-_add("wildcard_token", _selected("part", {"wildcard": {"p_type": "*e?l*"}}), _selected_sql("part", f"len(list_filter({_toks('p_type', 'standard')}, lambda t: regexp_full_match(t, '.*e.l.*'))) > 0"))
-_add("edge_ngram_match", _selected("part", {"match": {"p_name.auto": "pa"}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'pa'))) > 0"))
+_add("prefix_token", _selected("part", {"prefix": {"p_name": "sm"}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'sm'))) > 0"))
+_add("wildcard_token", _selected("part", {"wildcard": {"p_type": "*o?o*"}}), _selected_sql("part", f"len(list_filter({_toks('p_type', 'standard')}, lambda t: regexp_full_match(t, '.*o.o.*'))) > 0"))
+_add("edge_ngram_match", _selected("part", {"match": {"p_name.auto": "wi"}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'wi'))) > 0"))
 _b = lambda should, least: {"bool": {"should": should, "minimum_should_match": least}}
 _four = [{"term": {"lang": "en"}}, {"range": {"n_chars": {"gte": 1000}}}, {"match": {"text": "the"}}, {"term": {"source": "src1"}}]
 _sum = f"(lang = 'en')::INT + (n_chars >= 1000)::INT + list_contains({_toks('text')}, 'the')::INT + (source = 'src1')::INT"
@@ -172,7 +172,7 @@ _add("bool_msm_negative", _selected("documents", _b(_four, -1)), _selected_sql("
 _add("bool_msm_percent_floor", _selected("documents", _b(_four, "70%")), _selected_sql("documents", f"{_sum} >= 2"))
 _add("bool_msm_all", _selected("documents", _b(_four, 4)), _selected_sql("documents", f"{_sum} >= 4"))
 _add("bool_must_filter_mustnot", _selected("documents", {"bool": {"must": {"term": {"lang": "fr"}}, "filter": [{"range": {"n_chars": {"lt": 3000}}}], "must_not": {"match": {"text": "les"}}}}), _selected_sql("documents", f"lang = 'fr' AND n_chars < 3000 AND NOT list_contains({_toks('text')}, 'les')"))
-_add("fuzzy_edits1", _selected("part", {"fuzzy": {"p_name": {"value": "sreel", "fuzziness": 1}}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: damerau_levenshtein(t, 'sreel') <= 1)) > 0"))
+_add("fuzzy_edits1", _selected("part", {"fuzzy": {"p_name": {"value": "samll", "fuzziness": 1}}}), _selected_sql("part", f"len(list_filter({_toks('p_name', 'standard')}, lambda t: damerau_levenshtein(t, 'samll') <= 1)) > 0"))
 _add("fuzzy_auto", _selected("part", {"match": {"p_type": {"query": "ecomony", "fuzziness": "AUTO"}}}), _selected_sql("part", f"len(list_filter({_toks('p_type', 'standard')}, lambda t: damerau_levenshtein(t, 'ecomony') <= 2)) > 0"))
 _hav = "2 * 6371008.8 * asin(least(1.0, sqrt(pow(sin(radians(lat - 48.85) / 2), 2) + cos(radians(48.85)) * cos(radians(lat)) * pow(sin(radians(lon - 2.35) / 2), 2))))"
 _add("geo_distance", _selected("customer", {"geo_distance": {"distance": "3000km", "location": {"lat": 48.85, "lon": 2.35}}}), _selected_sql("customer", f"{_hav} <= 3000000"))
@@ -333,7 +333,7 @@ r AS (SELECT _id, n, action, CASE action WHEN 'index' THEN 201 WHEN 'create' THE
   UNION ALL SELECT o._id, o.n, o.action, CASE WHEN o.action = 'create' AND r.live THEN 409 WHEN o.action = 'delete' THEN 200 ELSE 201 END, o.action <> 'delete' FROM o JOIN r ON o._id = r._id AND o.n = r.n + 1)
 SELECT action, CAST(status AS INT) AS status, count(*) AS n FROM r GROUP BY 1, 2""")
 _add("address_label", lambda s, sf: _table(s, sf, "supplier").select("s_suppkey", files.address_label(F.when(F.col("s_suppkey") % 3 > 0, F.col("s_suppkey").cast("string")), F.when(F.col("s_suppkey") % 2 == 0, "B"), F.lit("Rue de la Paix"), F.lpad(F.col("s_nationkey").cast("string"), 5, "0"), F.col("s_name")).alias("label")), "SELECT s_suppkey, concat_ws(' ', nullif(coalesce(CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey AS VARCHAR) END, '') || coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'B' END, ''), ''), 'Rue de la Paix', lpad(CAST(s_nationkey AS VARCHAR), 5, '0'), s_name) AS label FROM supplier")
-_add("suggest_contains", lambda s, sf: rv.suggest(_table(s, sf, "part"), "stéel", ["p_name", "p_type"], "p_partkey").select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type), 'steel') ORDER BY p_partkey LIMIT 8")
+_add("suggest_contains", lambda s, sf: rv.suggest(_table(s, sf, "part"), "bólt", ["p_name", "p_type"], "p_partkey").select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name || ' ' || p_type), 'bolt') ORDER BY p_partkey LIMIT 8")
 
 
 def _judged(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +373,7 @@ def _highlighted(spark, sf) -> DataFrame:
 
 def _scrolled(spark, sf) -> DataFrame:
     e = engine(spark, sf, "part")
-    page = e.search("part", {"query": {"match": {"p_name": "part"}}, "size": 20}, scroll="1m")
+    page = e.search("part", {"query": {"match": {"p_name": "widget"}}, "size": 20}, scroll="1m")
     rows, n = [], 0
     while page["hits"]["hits"] and n < 3:
         rows += [(n, h["_id"]) for h in page["hits"]["hits"]]

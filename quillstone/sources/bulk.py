@@ -74,8 +74,8 @@ def read(spark, path: str) -> DataFrame:
     marked = lines.withColumn("action_line", is_action).withColumns({"next": F.lead("line").over(w), "next_is_action": F.lead(is_action).over(w)})
     action = F.regexp_extract("line", r'"(index|create|update|delete)"', 1)
     return marked.filter("action_line").select(
-        "file", "n", action.alias("action"), F.get_json_object("line", F.concat(F.lit("$."), action, F.lit("._index"))).alias("_index"),
-        F.get_json_object("line", F.concat(F.lit("$."), action, F.lit("._id"))).alias("_id"),
+        "file", "n", action.alias("action"), F.call_function("get_json_object", F.col("line"), F.concat(F.lit("$."), action, F.lit("._index"))).alias("_index"),
+        F.call_function("get_json_object", F.col("line"), F.concat(F.lit("$."), action, F.lit("._id"))).alias("_id"),
         F.when((action != "delete") & ~F.coalesce("next_is_action", F.lit(True)), F.when(action == "update", F.coalesce(F.get_json_object("next", "$.doc"), F.col("next"))).otherwise(F.col("next"))).alias("source"),
     )
 
