@@ -38,7 +38,7 @@ from ._common import LETTERS, Words, blocks
 STEM = 4
 WINDOW = 32
 DISCOUNT = 0.75
-WORD_BITS, STEM_BITS = 21, 18
+WORD_BITS, STEM_BITS = 20, 17
 SAMPLE = 20_000
 FOLDS = 5
 #: Of the folds 1 to 4 that may be learnt from, the one for the logistic curve.
@@ -166,12 +166,13 @@ def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -
         rows.filter(fold(F.col("doc_id")) != CURVE_FOLD).select("text", "toxic")
         .mapInArrow(_count, "word int, stem int, rest int, ordinary long, toxic long")
         .groupBy("word").agg(F.max("stem").alias("stem"), F.max("rest").alias("rest"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        .toPandas()  # at most 2**WORD_BITS rows
+        .toArrow()  # at most 2**WORD_BITS rows
     )
-    counts = table[["ordinary", "toxic"]].to_numpy().T if len(table) else np.zeros((2, 0))
+    counts = np.array([table["ordinary"].to_numpy(), table["toxic"].to_numpy()])
     if not counts.sum(axis=1).all():
         return None
     model = Model(*(table[c].to_numpy() for c in ("word", "stem", "rest")), counts)
+    del table
     curve = rows.filter(fold(F.col("doc_id")) == CURVE_FOLD)
     n_labels = labels.count()
     share = min(1.0, SAMPLE * FOLDS / max(1, n_labels))  # a fifth of the labels are in the fold
@@ -185,27 +186,27 @@ def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -
     return model
 
 
-def _measured(rows: DataFrame, model: Model, make, schema: str) -> DataFrame:
-    """``rows`` without their column ``text`` (the second), with the columns that ``make`` gives."""
+def _measured(rows: DataFrame, model: Model, make, schema: str, keep_text: bool = False) -> DataFrame:
+    """``rows`` with the columns that ``make`` gives; ``text`` only if asked for."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in rows.schema.fields if f.name != "text"]
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
     names = [*(f.name for f in kept), *(c.split()[0] for c in schema.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             found = [make(m, m.ratios(parts)) for _, parts in blocks(_lowered(batch.column("text")))]
-            values = np.concatenate([np.atleast_2d(f.T).T for f in found]) if found else np.zeros((0, len(names) - len(kept)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(c) for c in values.T)], names=names)
+            values = np.concatenate(found).reshape(batch.num_rows, -1) if found else np.zeros((0, len(names) - len(kept)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(np.ascontiguousarray(c)) for c in values.T)], names=names)
 
     return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema]))
 
 
-def score(docs: DataFrame, model: Model | None, out: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1; ``text`` is dropped."""
+def score(docs: DataFrame, model: Model | None, out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``docs`` with a score from 0 to 1; ``text`` is dropped unless asked for."""
     if model is None:
-        return docs.drop("text").withColumn(out, F.lit(0.0))
-    return _measured(docs, model, lambda m, r: m.score(r), f"{out} double")
+        return (docs if keep_text else docs.drop("text")).withColumn(out, F.lit(0.0))
+    return _measured(docs.drop(out), model, lambda m, r: m.score(r), f"{out} double", keep_text)  # a column of that name gives way
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
