@@ -9,13 +9,13 @@ when 100 * intersection >= PERCENT * union, confirmed on the full sets.
    chunk with at most one difference, so each chunk is emitted once for each position left out, and all
    pairs under that signature distance meet in a bucket. At a similarity of exactly 0.85, where the distance
    varies, a pair is missed with probability (1 - 0.717)**8, about 4 in 100 000; at 0.9, 3 in 10 million.
-3. Buckets of up to ``SMALL`` nodes give all their pairs. Larger ones give a star and a chain, a number
-   of pairs that grows linearly with the bucket.
-4. Pairs beyond ``FAR`` differing values (five standard deviations above the mean at 0.85) and of too
-   different sizes are no links. Of the rest, each node's nearest is confirmed first on the full sets;
+3. Buckets of up to ``SMALL`` nodes give all their pairs. Larger ones give a star, a number of pairs that
+   grows linearly with the bucket.
+4. Pairs of too different sizes, or with more than ``FAR`` of ``CHECK`` further MinHash values differing, are
+   no links. Of the rest, each node's nearest is confirmed first on the full sets;
    then those pairs whose ends are not yet in one component.
 5. Members of larger buckets that still lie in different components are compared with each other by their
-   signatures and, where near, confirmed: so no link between different texts is lost to the stars.
+   check signatures and, where near, confirmed: so no link between different texts is lost to the stars.
 
 Components come from alternating large-star and small-star steps on the links.
 
@@ -34,9 +34,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import NOT_SPACE, Words, as_signed, blocks, mix, staged
 
@@ -44,13 +46,15 @@ SHINGLE = 5
 PERCENT = 85
 CHUNKS, WIDTH = 8, 7
 VALUES = CHUNKS * WIDTH
-FAR = 22
+#: One-byte MinHash values, of other seeds, that tell pairs apart before full sets are compared, and how many may differ:
+#: five standard deviations above the mean at a similarity of 0.85.
+CHECK, FAR = 256, 67
 SMALL = 6
-#: Nodes of one part of a salted bucket, if a third of all nodes shared it.
-PART = 50_000
+#: Nodes of one part of a salted bucket, if a third of all nodes shared it (24 bytes each).
+PART = 2_000_000
 
-_SEEDS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
-_STEPS = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, VALUES + CHECK + 1, dtype=np.uint64)) | np.uint64(1)
+_STEPS = mix(np.arange(2001, 2001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(parts: list[bytes]) -> list[np.ndarray]:
@@ -80,25 +84,29 @@ def set_identity(s: np.ndarray) -> int:
         return int(as_signed(mix(np.array([s.sum() * np.uint64(0x2545F4914F6CDD1D) + a + np.uint64(len(s))], np.uint64)))[0])
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """MinHash values, 16 bits each."""
+def signature(s: np.ndarray) -> tuple[bytes, bytes]:
+    """MinHash values: 16 bits each for the keys, 8 bits each for the check."""
     with np.errstate(over="ignore"):
-        least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 4096):
-            np.minimum(least, (s[at : at + 4096, None] * _SEEDS[None, :]).min(axis=0), out=least)
-        return (mix(least) >> np.uint64(48)).astype("<u2")
+        least = np.full(VALUES + CHECK, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(s), 1024):
+            np.minimum(least, (s[at : at + 1024, None] * _SEEDS[None, :]).min(axis=0), out=least)
+        least = mix(least)
+    return (least[:VALUES] >> np.uint64(48)).astype("<u2").tobytes(), (least[VALUES:] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, ids, sigs = [], [], []
+        sizes, ids, sigs, checks = [], [], [], []
         for _, parts in blocks(batch.column(1).to_pylist()):
             for s in shingle_sets(parts):
                 sizes.append(len(s))
                 ids.append(set_identity(s) if len(s) else None)
-                sigs.append(signature(s).tobytes() if len(s) else None)
+                sig, check = signature(s) if len(s) else (None, None)
+                sigs.append(sig)
+                checks.append(check)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "sid", "sig"]
+            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(checks, pa.binary())],
+            names=["doc_id", "n_shingles", "sid", "sig", "check"],
         )
 
 
@@ -161,11 +169,8 @@ def _paired(final: bool):
             star = at[at > leader]
             a.append(leader[star])
             b.append(star)
-            chain = star[star - 1 > leader[star]]
-            a.append(chain - 1)
-            b.append(chain)
             small = np.repeat(size, size) <= SMALL
-            for gap in range(2, SMALL):  # the other pairs of small buckets
+            for gap in range(1, SMALL):  # the other pairs of small buckets
                 x = at[small & (at - gap > leader)]
                 a.append(x - gap)
                 b.append(x)
@@ -193,9 +198,9 @@ def _paired(final: bool):
 _PAIRED = "kind int, key long, a long, b long, n int"
 
 
-def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _candidates(nodes: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b, memberships key/sid of large buckets) of the multi-index join."""
-    n_salts = max(1, -(-nodes.count() // (3 * PART)))
+    n_salts = max(1, -(-nodes.count() // (3 * part)))
     keys = nodes.select("sid", "n", "sig").mapInArrow(_keys(n_salts), "key long, salt int, sid long, n int")
     found = staged(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(n_salts == 1), _PAIRED), "buckets")
     pairs, members = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1").select("key", F.col("a").alias("sid"))
@@ -210,9 +215,11 @@ def _candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs.distinct(), members
 
 
-def _distance(a: str, b: str):
-    """Differing 16-bit values of two signatures, as SQL."""
-    return F.expr(f"aggregate(sequence(0, {VALUES - 1}), 0, (s, i) -> s + if(substring({a}, i * 2 + 1, 2) = substring({b}, i * 2 + 1, 2), 0, 1))")
+@F.pandas_udf(T.IntegerType())
+def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Differing values of two check signatures."""
+    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, CHECK) for c in (a, b))
+    return pd.Series((x != y).sum(axis=1).astype(np.int32))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,35 +318,43 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Near pairs of different components within each bucket; rows: key, sid, label, n, sig, sorted by key."""
-    for key, sid, label, n, sig in _groups(batches, 1):
+    """Near pairs of different components within each bucket; rows: key, sid, label, n, check, sorted by key.
+
+    Members of a bucket's largest component are only compared with the others.
+    """
+    for key, sid, label, n, check in _groups(batches, 1):
         new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        a_out, b_out = [], []
         for lo, hi in zip(new, np.append(new[1:], len(key))):
-            s = np.frombuffer(b"".join(sig[lo:hi]), "<u2").reshape(-1, VALUES)
-            for i in range(hi - lo - 1):  # a row against the block of those after it
-                j = np.arange(i + 1, hi - lo)
-                j = j[(label[lo + j] != label[lo + i]) & (100 * np.minimum(n[lo + i], n[lo + j]) >= PERCENT * np.maximum(n[lo + i], n[lo + j]))]
-                j = j[(s[j] != s[i]).sum(axis=1) <= FAR]
-                a_out.append(np.minimum(sid[lo + i], sid[lo + j]))
-                b_out.append(np.maximum(sid[lo + i], sid[lo + j]))
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+            labels, count = np.unique(label[lo:hi], return_counts=True)
+            order = lo + np.argsort(label[lo:hi] == labels[np.argmax(count)], kind="stable")  # the largest component last
+            s = np.frombuffer(b"".join(check[order]), np.uint8).reshape(-1, CHECK)
+            l, m, ids = label[order], n[order].astype(np.int64), sid[order]
+            minor = len(l) - int(count.max())
+            step = max(1, (16 << 20) // (CHECK * len(l)))
+            for at in range(0, minor, step):
+                i = np.arange(at, min(at + step, minor))[:, None]
+                j = np.arange(at + 1, len(l))[None, :]
+                fit = (j > i) & (l[i] != l[j]) & (100 * np.minimum(m[i], m[j]) >= PERCENT * np.maximum(m[i], m[j]))
+                x, y = np.nonzero(fit)
+                x, y = i[x, 0], j[0, y]
+                near = np.concatenate([(s[x[k : k + 65536]] != s[y[k : k + 65536]]).sum(axis=1) <= FAR for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+                a, b = ids[x[near]], ids[y[near]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, sid, sig) of ``docs`` (doc_id, text); sid and sig are null without shingles."""
-    return docs.select("doc_id", "text").mapInArrow(_described, "doc_id long, n_shingles long, sid long, sig binary")
+    """(doc_id, n_shingles, sid, sig, check) of ``docs`` (doc_id, text); the last three are null without shingles."""
+    return docs.select("doc_id", "text").mapInArrow(_described, "doc_id long, n_shingles long, sid long, sig binary, check binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, part: int = PART) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text)."""
     about = staged(describe(docs), "signatures")
     nodes = staged(
-        about.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").cast("int").alias("n"), F.min("sig").alias("sig")), "nodes"
+        about.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").cast("int").alias("n"), F.min("sig").alias("sig"), F.min("check").alias("check")), "nodes"
     )
-    pairs, members = _candidates(nodes)
-    of = lambda c: nodes.select(F.col("sid").alias(c), F.col("sig").alias(f"s{c}"), F.col("doc_id").alias(f"d{c}"))
+    pairs, members = _candidates(nodes, part)
+    of = lambda c: nodes.select(F.col("sid").alias(c), F.col("check").alias(f"s{c}"), F.col("doc_id").alias(f"d{c}"))
     near = staged(
         pairs.join(of("a"), "a").join(of("b"), "b").withColumn("far", _distance("sa", "sb")).filter(f"far <= {FAR}").select("a", "b", "far", "da", "db"), "near"
     )
@@ -356,7 +371,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", own)
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     crossed = (
-        placed.join(mixed, "key").join(nodes.select("sid", "n", "sig"), "sid").select("key", "sid", "label", "n", "sig")
+        placed.join(mixed, "key").join(nodes.select("sid", "n", "check"), "sid").select("key", "sid", "label", "n", "check")
         .repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_crossed, "a long, b long").distinct()
     )
     extra = staged(_confirm(crossed.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts), "links")
