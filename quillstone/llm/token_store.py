@@ -40,9 +40,9 @@ from ._encode import encoder
 
 END = 2
 WINDOW = 8
-#: A cut is made where a hash has this many low zero bits: 2**8 ids on average beyond the least.
-BITS = 8
-LEAST, MOST = 64, 2048
+#: A cut is made where a hash has this many low zero bits: 2**9 ids on average beyond the least.
+BITS = 9
+LEAST, MOST = 128, 4096
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -132,11 +132,6 @@ def join_crcs(crcs: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
 
 
 def _encoded(tokenizer: str, end: int):
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("root", pa.binary()),
-        ("fresh", pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary())]))),
-    ])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         last = np.array([end], "<u4").tobytes()
@@ -150,20 +145,30 @@ def _encoded(tokenizer: str, end: int):
                 ids = np.frombuffer(b"".join(raw), "<u4")
                 data = ids.astype(width).tobytes()
                 size = int(width[-1])
-                rows = {f.name: [] for f in schema}
+                lists, digests, roots, fresh_lists, fresh, sizes, datas = [0], [], [], [0], [], [], []
                 for i, ends in enumerate(cut_points(ids, bounds)):
-                    digests, fresh, a = [], [], int(bounds[i])
+                    base = a = int(bounds[i])
                     for b in ends:
-                        b += int(bounds[i])
+                        b += base
                         d = hashlib.sha256(chunk := data[a * size : b * size]).digest()
                         digests.append(d)
                         if d not in seen:
                             seen.add(d)
-                            fresh.append({"digest": d, "n": b - a, "data": chunk})
+                            fresh.append(d)
+                            sizes.append(b - a)
+                            datas.append(chunk)
                         a = b
-                    for name, v in zip(rows, (keys[at + i], int(bounds[i + 1] - bounds[i]), digests, merkle(digests), fresh)):
-                        rows[name].append(v)
-                yield pa.RecordBatch.from_pydict(rows, schema=schema)
+                    roots.append(merkle(digests[lists[-1] :]))
+                    lists.append(len(digests))
+                    fresh_lists.append(len(fresh))
+                stored = pa.StructArray.from_arrays([pa.array(fresh, pa.binary()), pa.array(sizes, pa.int32()), pa.array(datas, pa.binary())], ["digest", "n", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(keys[at : at + len(raw)], pa.int64()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(digests, pa.binary())),
+                        pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(fresh_lists, pa.int32()), stored),
+                    ],
+                    names=["doc_id", "n_tokens", "digests", "root", "fresh"],
+                )
 
     return run
 
