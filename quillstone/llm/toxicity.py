@@ -15,10 +15,13 @@ the window of ``WINDOW`` words where the ratio is highest, and over its two most
 curve turns the three ratios into a score; it is fitted on one fold of the labelled rows that the counts do
 not use, on at most about ``SAMPLE`` of them (the documented bound). Counts cover every other labelled row.
 
-Words are counted in 2**WORD_BITS hash buckets, so the model's size is bounded whatever the corpus.
+Words, stems and rests are told apart by hashes of 64 bits, so the model grows with the labelled text.
 
 Scale: labels are broadcast when their counted rows are at most ``broadcast_labels``, else they meet the
-documents in a shuffle join. Counting sends at most a row a bucket from each task; scoring is one pass.
+documents in a shuffle join. Counts and ratios are a distributed table. Its most frequent rows, at most
+``HELD``, are sent to every task; if these are all, scoring is one pass. The others are joined: documents are
+dealt to blocks of about ``BLOCK_BYTES``, blocks ask for the words and stems that are not held, and the ratios
+that are found meet the block's texts.
 
 Defined results: a null or empty text has ratios of 0. Labels that are null are ignored, of repeated labels
 the highest counts. Without examples of both classes every score is 0. Repeated rows each get their row.
@@ -27,18 +30,24 @@ the highest counts. Without examples of both classes every score is 0. Repeated
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LETTERS, Words, blocks
+from ._common import LETTERS, Words, as_signed, blocks, staged
 
 STEM = 4
 WINDOW = 32
 DISCOUNT = 0.75
-WORD_BITS, STEM_BITS = 20, 17
+#: Rows of the table of ratios that every task may get, and bytes of a block of documents if there are more.
+HELD, BLOCK_BYTES = 1 << 20, 16 << 20
+#: Distinct words of a task that are added up before they are sent on.
+ADDED = 1 << 19
+#: Tells a stem's key from that of an equal word.
+STEM_KEY = 0x5DEECE66D1234567
 SAMPLE = 20_000
 FOLDS = 5
 #: Of the folds 1 to 4 that may be learnt from, the one for the logistic curve.
@@ -50,71 +59,100 @@ def fold(doc_id: Column) -> Column:
 
 
 def _units(parts: list[bytes]):
-    """Word, stem and rest buckets of the words of several texts, and the bounds of each text."""
+    """Hashes of the words, stems and rests of several texts, and the bounds of each text."""
     w = Words(parts, LETTERS)
     cut = np.minimum(w.starts + STEM, w.ends)
-    stem = (w.hashes(w.starts, cut) >> np.uint64(64 - STEM_BITS)).astype(np.int32)
-    rest = (w.hashes(cut, w.ends) >> np.uint64(64 - STEM_BITS)).astype(np.int32)
-    word = (w.hashes() >> np.uint64(64 - WORD_BITS)).astype(np.int32)
-    return word, stem, rest, w.bounds
+    stem, rest = as_signed(w.hashes(w.starts, cut)), as_signed(w.hashes(cut, w.ends))
+    return as_signed(w.hashes()), stem, rest, w.bounds
 
 
 def _lowered(column: pa.Array) -> list[str]:
     return [(t or "").lower() for t in column.to_pylist()]
 
 
+def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """One row a word from several tables of (word, stem, rest, ordinary, toxic)."""
+    word, stem, rest, *counts = (np.concatenate(c) for c in zip(*held))
+    word, first, of = np.unique(word, return_index=True, return_inverse=True)
+    return word, stem[first], rest[first], *(np.bincount(of, weights=n, minlength=len(word)).astype(np.int64) for n in counts)
+
+
+_COUNTS = ("word", "stem", "rest", "ordinary", "toxic")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros((2, 1 << WORD_BITS), np.int64)
-    stem_of, rest_of = np.zeros((2, 1 << WORD_BITS), np.int32)
+    held: list[tuple[np.ndarray, ...]] = []
+    n = 0
     for batch in batches:
         toxic = np.array(batch.column(1).to_pylist(), np.int64)
         for at, parts in blocks(_lowered(batch.column(0))):
             word, stem, rest, bounds = _units(parts)
             of = np.repeat(toxic[at : at + len(parts)], np.diff(bounds))
-            for c in (0, 1):
-                mine = word[of == c]
-                if len(mine):
-                    buckets, counts = np.unique(mine, return_counts=True)
-                    n[c][buckets] += counts
-            stem_of[word], rest_of[word] = stem, rest
-    have = np.flatnonzero(n.sum(axis=0))
-    for k in range(0, len(have), 1 << 16):
-        b = have[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(b.astype(np.int32)), pa.array(stem_of[b]), pa.array(rest_of[b]), pa.array(n[0][b]), pa.array(n[1][b])],
-            names=["word", "stem", "rest", "ordinary", "toxic"],
-        )
-
-
-class Model:
-    """Log-likelihood ratios by word bucket, and by stem bucket for words that were not seen."""
-
-    def __init__(self, word: np.ndarray, stem: np.ndarray, rest: np.ndarray, counts: np.ndarray):
-        d, n_stems = DISCOUNT, 1 << STEM_BITS
-        begins = np.bincount(stem, minlength=n_stems).astype(float)  # distinct words that a stem begins
-        follows = np.bincount(rest, minlength=n_stems).astype(float)  # distinct stems that a rest follows
-        q_stem = (begins + 1 / n_stems) / (begins.sum() + 1)
-        q_rest = (follows + 1 / n_stems) / (follows.sum() + 1)
-        logs, unseen = [], []
-        for n in counts.astype(float):
-            total = n.sum()
-            by_stem = np.bincount(stem, weights=n, minlength=n_stems)
-            types = np.bincount(stem, weights=n > 0, minlength=n_stems)
-            p_stem = np.maximum(by_stem - d, 0) / total + d * (by_stem > 0).sum() / total * q_stem
-            back = np.where(by_stem > 0, d * types / np.maximum(by_stem, 1), 1.0)
-            p_rest = np.maximum(n - d, 0) / np.maximum(by_stem[stem], 1) + back[stem] * q_rest[rest]
-            logs.append(np.log(p_stem[stem] * p_rest))
-            unseen.append(np.log(p_stem * back))
-        self.stem = (unseen[1] - unseen[0]).astype(np.float32)
-        self.word = np.full(1 << WORD_BITS, np.nan, np.float32)
-        self.word[word] = logs[1] - logs[0]
-        self.curve = np.zeros(4)
+            mine = (of == 0) | (of == 1)
+            held.append(_added([(word[mine], stem[mine], rest[mine], of[mine] == 0, of[mine] == 1)]))
+            n += len(held[-1][0])
+            if n > 2 * ADDED:
+                held = [_added(held)]
+                n = len(held[0][0])
+                if n > ADDED:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=_COUNTS)
+                    held, n = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(held)], names=_COUNTS)
+
+
+def _tables(counted: DataFrame) -> tuple[DataFrame, float] | None:
+    """(key, ratio, n) of every counted word and stem, and the ratio of a word whose stem was not seen."""
+    words = staged(
+        counted.groupBy("word").agg(F.first("stem").alias("stem"), F.first("rest").alias("rest"), F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1")), "words"
+    )
+    d, seen = DISCOUNT, lambda c: F.sum((F.col(c) > 0).cast("long"))
+    stems = words.groupBy("stem").agg(F.count("*").alias("begins"), F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), seen("n0").alias("t0"), seen("n1").alias("t1"))
+    rests = words.groupBy("rest").agg(F.count("*").alias("follows"))  # distinct stems that a rest follows
+    total = stems.agg(F.sum("begins").alias("words"), F.count("*").alias("stems"), F.sum("s0").alias("n0"), F.sum("s1").alias("n1"), seen("s0").alias("k0"), seen("s1").alias("k1")).first()
+    if not (total["n0"] and total["n1"]):
+        return None
+    n_rests = rests.count()
+    q_stem = (F.col("begins") + 1 / (total["stems"] + 1)) / (total["words"] + 1)
+    q_rest = (F.col("follows") + 1 / (n_rests + 1)) / (total["words"] + 1)
+    for c in "01":
+        of, n = F.col(f"s{c}"), total[f"n{c}"]
+        stems = stems.withColumn(f"p{c}", F.greatest(of - d, F.lit(0.0)) / n + d * total[f"k{c}"] / n * q_stem)
+        stems = stems.withColumn(f"back{c}", F.when(of > 0, d * F.col(f"t{c}") / of).otherwise(1.0))
+    unseen = F.log(F.col("p1") * F.col("back1")) - F.log(F.col("p0") * F.col("back0"))
+    p = {c: F.col(f"p{c}") * (F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.greatest(F.col(f"s{c}"), F.lit(1)) + F.col(f"back{c}") * q_rest) for c in "01"}
+    by_word = words.join(stems, "stem").join(rests, "rest").select(F.col("word").alias("key"), (F.log(p["1"]) - F.log(p["0"])).cast("float").alias("ratio"), (F.col("n0") + F.col("n1")).alias("n"))
+    by_stem = stems.select(F.col("stem").bitwiseXOR(F.lit(STEM_KEY)).alias("key"), unseen.cast("float").alias("ratio"), (F.col("s0") + F.col("s1")).alias("n"))
+    return staged(by_word.unionAll(by_stem), "ratios"), float(np.log(total["k1"] / total["n1"]) - np.log(total["k0"] / total["n0"]))
+
+
+class Ratios:
+    """Log-likelihood ratios by word, by stem for words that were not seen, and one for all others."""
+
+    def __init__(self, table: pa.Table, other: float):
+        keys = table["key"].to_numpy()
+        order = np.argsort(keys)
+        self.keys, self.values, self.other = keys[order], table["ratio"].to_numpy()[order], other
+        self.curve, self.more = np.zeros(4), None
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The keys' ratios; not a number where there is none."""
+        x = np.full(len(keys), np.nan)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            x = np.where(self.keys[at] == keys, self.values[at], np.nan).astype(np.float64)
+        if self.more is not None:
+            new = np.flatnonzero(np.isnan(x))
+            x[new] = self.more.find(keys[new])
+        return x
 
     def ratios(self, parts: list[bytes]) -> np.ndarray:
         """For each text: the ratio a word over the text, in its highest window, and of its two highest words."""
         word, stem, _, bounds = _units(parts)
-        x = self.word[word].astype(np.float64)
-        x = np.where(np.isnan(x), self.stem[stem], x)
+        x = self.find(word)
+        new = np.flatnonzero(np.isnan(x))
+        x[new] = self.find(stem[new] ^ STEM_KEY)
+        x[np.isnan(x)] = self.other
         out = np.zeros((len(parts), 3))
         size = np.diff(bounds)
         full = np.flatnonzero(size)
@@ -152,6 +190,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + ratios @ self.curve[1:], -500, 500)))
 
 
+class Model:
+    """The most frequent rows of the table of ratios, and, if it has more than ``HELD``, the rest of it."""
+
+    def __init__(self, table: DataFrame, other: float):
+        self.rest = None
+        if table.count() > HELD:
+            sizes = table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).toArrow()
+            n, rows = sizes["n"].to_numpy(), np.cumsum(sizes["count"].to_numpy())
+            least = int(n[np.searchsorted(rows, HELD, "right")]) + 1  # the first count whose rows do not fit
+            table, self.rest = table.filter(F.col("n") >= least), table.filter(F.col("n") < least)
+            if least > 1 << 20:
+                table, self.rest = table.limit(0), table.unionAll(self.rest)
+        self.ratios = Ratios(table.select("key", "ratio").toArrow(), other)
+
+
 def _with_labels(docs: DataFrame, labels: DataFrame, broadcast_labels: int) -> DataFrame:
     """(doc_id, text, toxic) of the labelled rows that may be learnt from."""
     known = labels.dropna(subset=["doc_id", "toxic"]).filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -162,17 +215,10 @@ def _with_labels(docs: DataFrame, labels: DataFrame, broadcast_labels: int) -> D
 def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -> Model | None:
     """A model from labelled documents; None without examples of both classes."""
     rows = _with_labels(docs, labels, broadcast_labels)
-    table = (
-        rows.filter(fold(F.col("doc_id")) != CURVE_FOLD).select("text", "toxic")
-        .mapInArrow(_count, "word int, stem int, rest int, ordinary long, toxic long")
-        .groupBy("word").agg(F.max("stem").alias("stem"), F.max("rest").alias("rest"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-        .toArrow()  # at most 2**WORD_BITS rows
-    )
-    counts = np.array([table["ordinary"].to_numpy(), table["toxic"].to_numpy()])
-    if not counts.sum(axis=1).all():
+    tables = _tables(rows.filter(fold(F.col("doc_id")) != CURVE_FOLD).select("text", "toxic").mapInArrow(_count, "word long, stem long, rest long, ordinary long, toxic long"))
+    if tables is None:
         return None
-    model = Model(*(table[c].to_numpy() for c in ("word", "stem", "rest")), counts)
-    del table
+    model = Model(*tables)
     curve = rows.filter(fold(F.col("doc_id")) == CURVE_FOLD)
     n_labels = labels.count()
     share = min(1.0, SAMPLE * FOLDS / max(1, n_labels))  # a fifth of the labels are in the fold
@@ -182,24 +228,53 @@ def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -
         got = _measured(rows.select("doc_id", "text", "toxic").limit(SAMPLE), model, lambda m, r: r, "a double, b double, c double").toPandas()
     if got["toxic"].nunique() < 2:
         return None
-    model.fit_curve(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy())
+    model.ratios.fit_curve(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy())
     return model
 
 
-def _measured(rows: DataFrame, model: Model, make, schema: str, keep_text: bool = False) -> DataFrame:
-    """``rows`` with the columns that ``make`` gives; ``text`` only if asked for."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-    names = [*(f.name for f in kept), *(c.split()[0] for c in schema.split(", "))]
+def _asked(shared):
+    """The distinct keys that are not held of words and stems, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m: Ratios = shared.value
         for batch in batches:
-            found = [make(m, m.ratios(parts)) for _, parts in blocks(_lowered(batch.column("text")))]
-            values = np.concatenate(found).reshape(batch.num_rows, -1) if found else np.zeros((0, len(names) - len(kept)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(np.ascontiguousarray(c)) for c in values.T)], names=names)
+            block = batch.column(0).to_numpy()
+            for at, parts in blocks(_lowered(batch.column(1))):
+                word, stem, _, bounds = _units(parts)
+                of = np.repeat(block[at : at + len(parts)], np.diff(bounds))
+                new = np.isnan(m.find(word))
+                of, word, stem = of[new], word[new], stem[new] ^ STEM_KEY
+                missing = np.isnan(m.find(stem))
+                pairs = pa.table({"__block": np.concatenate([of, of[missing]]), "key": np.concatenate([word, stem[missing]])})
+                yield from pairs.group_by(["__block", "key"]).aggregate([]).select(["__block", "key"]).to_batches()
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema]))
+    return run
+
+
+def _measured(rows: DataFrame, model: Model, make, schema: str, keep_text: bool = False) -> DataFrame:
+    """``rows`` with the columns that ``make`` gives; ``text`` only if asked for."""
+    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
+    names = [*(f.name for f in kept), *(c.split()[0] for c in schema.split(", "))]
+    whole = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), schema])
+
+    def one(m: Ratios, batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [make(m, m.ratios(parts)) for _, parts in blocks(_lowered(batch.column("text")))]
+        values = np.concatenate(found).reshape(batch.num_rows, -1) if found else np.zeros((0, len(names) - len(kept)))
+        return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *(pa.array(np.ascontiguousarray(c)) for c in values.T)], names=names)
+
+    shared = rows.sparkSession.sparkContext.broadcast(model.ratios)
+    if model.rest is None:
+        return rows.mapInArrow(lambda batches: (one(shared.value, b) for b in batches), whole)
+
+    def joined(left: pa.Table, right: pa.Table) -> pa.Table:
+        m = copy(shared.value)
+        m.more = Ratios(right, m.other)
+        return pa.Table.from_batches([one(m, b) for b in left.to_batches()])
+
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    dealt = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)))
+    found = dealt.select("__block", "text").mapInArrow(_asked(shared), "__block long, key long").join(model.rest.select("key", "ratio"), "key").select("__block", "key", "ratio")
+    return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(joined, whole)
 
 
 def score(docs: DataFrame, model: Model | None, out: str = "score", keep_text: bool = False) -> DataFrame:

@@ -272,6 +272,23 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.fit(docs, labels.limit(0)) is None and {r["score"] for r in toxicity.score(docs.limit(3), None).collect()} == {0.0}
 
 
+def test_toxicity_tells_all_words_apart(spark, monkeypatch):
+    words = [f"n{i}x" for i in range(20_000)]
+    texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
+    rows = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, toxic int")
+    counted = rows.mapInArrow(toxicity._count, "word long, stem long, rest long, ordinary long, toxic long")
+    assert counted.select("word").distinct().count() == len(words)  # a table of 2**20 buckets loses about 190
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    docs = documents(spark, [*texts, None, "", "never seen", LONG])
+    few = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "HELD", 100)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 5000)
+    many = toxicity.fit(docs, labels)
+    assert few.rest is None and many.rest is not None
+    a, b = ({r["doc_id"]: (round(r["score"], 9), r["text"]) for r in toxicity.score(docs, m, keep_text=True).collect()} for m in (few, many))
+    assert a == b and len(a) == len(texts) + 4  # a table that is joined gives what one that is broadcast gives
+
+
 # ---------------------------------------------------------------- 9
 
 
