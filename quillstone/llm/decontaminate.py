@@ -4,28 +4,27 @@ Texts are normalised: lower-cased, words (letters, digits and all beyond ASCII)
 A document is contaminated by an item when some stretch of it is within ``floor(ERROR * item length)``
 edits of the whole item; lengths and edits count UTF-8 bytes of normalised text.
 
-1. Windows. An edit destroys a word, so of an item's anchors (the three quarters of its words that fewest
-   items share) at least ``anchors - edits`` survive, each displaced by at most the number of edits. Every
-   place of a document where so many anchors of an item agree on a diagonal gives one item-sized window;
-   no window is dropped and none is capped.
+1. Windows. An item is cut into pieces of 8 bytes (6 or 5 if it is short). An edit destroys one piece at
+   most, so at least ``pieces - edits`` of them are in any match, on diagonals that differ by at most the
+   number of edits. Every place of a document where so many pieces of an item agree gives one stretch that
+   holds all its matches; no window is dropped and none is capped. Words play no part in it.
 2. CGK: a random walk copies a string's characters to a longer output, moving on at random
    bits that depend on step and character, followed for 1.8 times its length. Strings at a small edit distance come out at a small Hamming
    distance. Item and window take the same walks.
 3. Bit sampling: windows that agree with the item in all ``BITS`` sampled places of one of ``TABLES``
-   tables stay. Exact copies always do. At 5, 8 and 10 % random edits a place agrees with probability
-   about 0.65, 0.53 and 0.48, and about 99 % or more of such windows stay (of unrelated ones, 4 %).
-4. Verification: the least edit distance of the item to any stretch around the window, exactly.
+   tables are verified first. The others follow, unless the document is known to hold the item unchanged.
+4. Verification: the least edit distance of the item to any part of the stretch, exactly. So the pairs and
+   edits found are those of brute force.
 
 Scale: documents are read once, without a shuffle. The items are collected in groups of at most
 ``GROUP_BYTES``, which every task gets; a larger benchmark takes further passes.
 
 Defined results: null and empty texts, and items without words, match nothing. Repeated documents and
-items each give their rows. Rows: doc_id, item_id, edits (the fewest found).
+items each give their rows. Rows: doc_id, item_id, edits (the fewest of any stretch).
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -82,37 +81,38 @@ def least_edits(item: bytes, text: bytes, most: int) -> int:
     return min(best, most + 1)
 
 
+def piece_size(length: int, most: int) -> int:
+    """Bytes of an item's pieces: the longest of which more than ``most`` fit, if possible by two."""
+    for least in (2, 1):
+        for size in (8, 6, 5):
+            if length // size - most >= least:
+                return size
+    return length  # shorter than five bytes
+
+
 class Items:
-    """Anchors of one group of items, their texts and sampled walks."""
+    """Pieces of one group of items, their texts and sampled walks."""
 
     def __init__(self, rows: list[tuple[int, str]], error: float = ERROR):
-        self.error = error
-        self.keys, self.texts, split = [], [], []
+        self.keys, self.texts = [], []
         for key, text in rows:
             w = Words([(text or "").lower().encode("utf-8", "surrogatepass")], LETTERS)
             if len(w.starts):
-                joined, at = normalised(w)
                 self.keys.append(key)
-                self.texts.append(joined[:-1])
-                split.append((w.hashes(), at, w.ends - w.starts))
-        shared = Counter(h for hashes, _, _ in split for h in set(hashes.tolist()))
-        anchors, self.need, self.most = [], [], []
-        for i, (hashes, at, size) in enumerate(split):
-            n = len(hashes)
-            order = sorted(range(n), key=lambda k: (shared[int(hashes[k])], -size[k], k))[: -(-3 * n // 4)]
-            most = int(len(self.texts[i]) * error)
-            self.most.append(most)
-            self.need.append(max(1, len(order) - most))
-            anchors += [(int(hashes[k]), i, int(at[k])) for k in order]
-        anchors.sort()
-        self.hash = np.array([a[0] for a in anchors], np.uint64)
-        self.item = np.array([a[1] for a in anchors], np.int64)
-        self.at = np.array([a[2] for a in anchors], np.int64)
-        self.need, self.most = np.array(self.need, np.int64), np.array(self.most, np.int64)
+                self.texts.append(normalised(w)[0][:-1])
         self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int(len(t) * error) for t in self.texts], np.int64)
+        size = np.array([piece_size(n, k) for n, k in zip(self.length.tolist(), self.most.tolist())], np.int64)
+        self.need = self.length // size - self.most
+        #: For each size: the pieces' bytes as sorted numbers, their items and places, and a filter.
+        self.pieces = []
+        for n in sorted(set(size.tolist())):
+            rows = sorted((int.from_bytes(self.texts[i][at : at + n], "little"), int(i), at) for i in np.flatnonzero(size == n) for at in range(0, len(self.texts[i]) - n + 1, n))
+            value, item, at = np.array([r[0] for r in rows], np.uint64), *(np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+            some = np.zeros(1 << 20, bool)
+            some[_slot(value)] = True
+            self.pieces.append((n, value, item, at, some))
         self._samples = None
-        self.some = np.zeros(1 << 20, bool)
-        self.some[(self.hash & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def samples(self) -> np.ndarray:
         """The items' own sampled bytes, made once in each worker."""
@@ -120,39 +120,43 @@ class Items:
             self._samples = sampled(self.texts, self.length)
         return self._samples
 
-    def windows(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text number, item, start in the block's normalised bytes) of windows with enough anchors on a diagonal."""
-        hashes = words.hashes()
-        hit = np.flatnonzero(self.some[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.hash, hashes[hit], "left"), np.searchsorted(self.hash, hashes[hit], "right")
-        hit, lo, n = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-        none = np.zeros(0, np.int64)
-        if not len(hit):
-            return none, none, none
-        word = np.repeat(hit, n)
-        post = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        size = words.ends - words.starts
-        place = np.cumsum(size + 1) - (size + 1)
-        text = np.searchsorted(words.bounds, word, "right") - 1
-        # One sortable number: text, item and, in the lowest bits, diagonal.
+    def windows(self, joined: bytes, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(text number, item, start, low, high): stretches from low to high hold every match; text ``i`` starts at ``first[i]``."""
         n_items, middle = len(self.texts), 1 << (DIAGONAL - 1)
-        key = np.sort(((text * n_items + self.item[post]) << DIAGONAL) + (place[word] - self.at[post]) + middle)
-        item = (key >> DIAGONAL) % n_items
-        # Number of hits of the same text and item within twice the edits after each.
-        agree = np.searchsorted(key, np.minimum(key + 2 * self.most[item], key | ((1 << DIAGONAL) - 1)), "right") - np.arange(len(key))
+        every = np.ndarray(len(joined), "<u8", joined + bytes(8), 0, (1,)).astype(np.uint64)  # the eight bytes from each place on
+        keys = []
+        for n, value, item, at, some in self.pieces:
+            here = every & np.uint64((1 << 8 * n) - 1)
+            hit = np.flatnonzero(some[_slot(here)])
+            lo, hi = np.searchsorted(value, here[hit], "left"), np.searchsorted(value, here[hit], "right")
+            hit, lo, count = hit[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
+            place = np.repeat(hit, count)
+            post = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            text = np.searchsorted(first, place, "right") - 1
+            # One sortable number: text, item and, in the lowest bits, diagonal.
+            keys.append(((text * n_items + item[post]) << DIAGONAL) + (place - at[post]) + middle)
+        key = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        item = (key >> DIAGONAL) % max(1, n_items)
+        # Number of hits of the same text and item within the edits after each.
+        agree = np.searchsorted(key, np.minimum(key + self.most[item], key | ((1 << DIAGONAL) - 1)), "right") - np.arange(len(key))
         good = np.flatnonzero(agree >= self.need[item])
-        if not len(good):
-            return none, none, none
-        # Of the hits that start such a run, the one with most agreement in each cell of a diagonal's width.
-        pair = key[good] >> DIAGONAL
-        cell = (key[good] - (pair << DIAGONAL)) // (2 * self.most[item[good]] + 1)
+        # Runs that start in one cell of a diagonal's width have one stretch; the one with most agreement aligns the window.
+        pair, width = key[good] >> DIAGONAL, self.most[item[good]] + 1
+        cell = (key[good] & ((1 << DIAGONAL) - 1)) // width
         order = np.lexsort((-agree[good], cell, pair))
-        good, cell, pair = good[order], cell[order], pair[order]
-        first = np.ones(len(good), bool)
-        first[1:] = (pair[1:] != pair[:-1]) | (cell[1:] != cell[:-1])
-        good, pair = good[first], pair[first]
-        chosen = key[good + (agree[good] - 1) // 2]
-        return pair // n_items, pair % n_items, (chosen & ((1 << DIAGONAL) - 1)) - middle
+        good, cell, pair, width = good[order], cell[order], pair[order], width[order]
+        new = np.ones(len(good), bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (cell[1:] != cell[:-1])
+        good, cell, pair, width = good[new], cell[new], pair[new], width[new]
+        item, most = pair % max(1, n_items), width - 1
+        start = (key[good + (agree[good] - 1) // 2] & ((1 << DIAGONAL) - 1)) - middle
+        low = cell * width - middle
+        return pair // max(1, n_items), item, start, low - most, low + 3 * most + self.length[item]
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    """A place in a filter of 2**20 bits."""
+    return ((values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
 #: Walks are followed for this many steps a byte of the item; at a half step on average, a walk is then
@@ -204,8 +208,11 @@ def _matches(shared):
 
             def settle() -> None:
                 if item:
-                    for k in np.flatnonzero(similar(items, np.array(item), window)):
+                    near = similar(items, np.array(item), window)
+                    for k in np.argsort(~near, kind="stable").tolist():
                         i, most = item[k], int(items.most[item[k]])
+                        if found.get((row[k], i)) == 0:
+                            continue
                         edits = least_edits(items.texts[i], around[k], most)
                         if edits <= most:
                             found[row[k], i] = min(edits, found.get((row[k], i), edits))
@@ -214,18 +221,15 @@ def _matches(shared):
 
             for first, parts in blocks([(t or "").lower() for t in batch.column(1).to_pylist()]):
                 words = Words(parts, LETTERS)
-                text, which, start = items.windows(words)
-                if not len(text):
-                    continue
                 joined, at = normalised(words)
-                at = np.append(at, len(joined))
-                lo, hi = at[words.bounds[text]], at[words.bounds[text + 1]]
-                for t, i, s, a, b in zip(text.tolist(), which.tolist(), start.tolist(), lo.tolist(), hi.tolist()):
-                    n, most = int(items.length[i]), int(items.most[i])
+                bounds = np.append(at, len(joined))[words.bounds]
+                text, which, start, low, high = items.windows(joined, bounds[:-1])
+                lo, hi = bounds[text], bounds[text + 1] - 1
+                for t, i, s, a, b in zip(text.tolist(), which.tolist(), start.tolist(), np.maximum(low, lo).tolist(), np.minimum(high, hi).tolist()):
                     row.append(first + t)
                     item.append(i)
-                    window.append(joined[max(a, s) : min(b, s + n)])
-                    around.append(joined[max(a, s - 2 * most) : min(b, s + n + 2 * most)])
+                    window.append(joined[max(a, s) : min(b, s + int(items.length[i]))])
+                    around.append(joined[a:b])
                 if len(item) > 20_000:
                     settle()
             settle()

@@ -249,6 +249,38 @@ def test_leaks_exact_and_edited(spark):
     assert decontaminate.matches(empty(spark), bench).count() == 0
 
 
+def test_leaks_do_not_depend_on_words(spark):
+    rng = random.Random(12)
+    short = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40))
+    long = " ".join("".join(rng.choices("abcdefghij", k=12)) for _ in range(12))
+    han = "".join(rng.choices([chr(c) for c in range(0x4E00, 0x4F00)], k=40))
+    joined = "".join(w + (" " if i % 2 else "") for i, w in enumerate(short.split()))  # every second space is lost
+    typos = " ".join(w[:6] + "z" + w[7:] for w in long.split())
+    items = [short, long, han, "abc"]
+    texts = [f"so {joined} it goes", f"so {typos} it goes", "".join(rng.choices(han, k=30)) + han + "日本語", "none of them", "x abc", "xabcx"]
+    docs, bench = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.matches(docs, bench).collect()}
+    assert {(0, 0), (1, 1), (2, 2), (4, 3), (5, 3)} == set(found) and found[2, 2] == 0
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choices("abcde ", k=n)).strip() or "a"
+    items = [text(rng.randint(1, 160)) for _ in range(60)]
+    texts = []
+    for t in items:
+        s = list(t)
+        for _ in range(round(rng.uniform(0, 0.12) * len(t))):
+            at, kind = rng.randrange(len(s) + 1), rng.randrange(3)
+            s[at : at + (kind > 0)] = [] if kind == 1 else [rng.choice("abcde ")]
+        texts.append(text(rng.randint(1, 60)) + "".join(s) + text(rng.randint(1, 60)))
+    norm = lambda t: " ".join(re.findall(r"[a-z]+", t)).encode()
+    want = {(d, i): e for d, x in enumerate(texts) for i, t in enumerate(items) if (e := decontaminate.least_edits(norm(t), norm(x), 999)) <= int(len(norm(t)) * 0.1)}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.matches(documents(spark, texts), bench).collect()}
+    assert found == want
+
+
 # ---------------------------------------------------------------- 8
 
 
