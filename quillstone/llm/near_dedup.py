@@ -1,7 +1,8 @@
 """Near-duplicate detection: a multi-index Hamming join of b-bit MinHash signatures (operator 4).
 
 A document's set holds the hashes of its distinct shingles of ``SHINGLE`` words; two documents are linked
-when 100 * intersection >= PERCENT * union, confirmed on the full sets.
+when 100 * intersection >= percent * union, confirmed on the full sets. The threshold is a parameter
+(85 if not given), from which ``plan`` derives the numbers of chunks and values and ``FAR``; those below are for 85.
 
 1. One scan gives each document its set's size, a 64-bit set identity and ``CHUNKS * WIDTH`` MinHash
    values of 16 bits. Documents of equal sets are one node from here on.
@@ -31,7 +32,9 @@ are judged each by its own text, and share what their texts give.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,16 +47,45 @@ from ._common import NOT_SPACE, Words, as_signed, blocks, mix, staged
 
 SHINGLE = 5
 PERCENT = 85
-CHUNKS, WIDTH = 8, 7
+#: Most MinHash values of 16 bits, each of which is left out of one key, and how often a pair at the threshold may have no key in common.
+MOST_VALUES, MISSED = 60, 5e-5
+#: One-byte MinHash values, of other seeds, that tell pairs apart before full sets are compared.
+CHECK = 256
+
+
+class Plan(NamedTuple):
+    """What follows from the threshold: the keys' chunks and their width, and how many check values may differ."""
+
+    percent: int
+    chunks: int
+    width: int
+    far: int
+
+
+def plan(percent: int) -> Plan:
+    """The longest chunks with which at most ``MOST_VALUES`` values miss fewer than ``MISSED`` of the pairs at the
+    threshold; FAR is five standard deviations above the mean there."""
+    if not 0 < percent <= 100:
+        raise ValueError("the similarity is a whole number of per cent from 1 to 100")
+    j = percent / 100
+    d = (1 - j) * 255 / 256
+    far = min(CHECK, math.ceil(CHECK * d + 5 * math.sqrt(CHECK * d * (1 - d))))
+    for width in range(7, 1, -1):
+        meet = j**width + width * j ** (width - 1) * (1 - j)
+        chunks = 1 if meet >= 1 else math.ceil(math.log(MISSED) / math.log(1 - meet))
+        if chunks * width <= MOST_VALUES:
+            return Plan(percent, chunks, width, far)
+    raise ValueError(f"{MOST_VALUES} values are too few for a similarity of {percent} %")
+
+
+PLAN = plan(PERCENT)
+CHUNKS, WIDTH, FAR = PLAN.chunks, PLAN.width, PLAN.far
 VALUES = CHUNKS * WIDTH
-#: One-byte MinHash values, of other seeds, that tell pairs apart before full sets are compared, and how many may differ:
-#: five standard deviations above the mean at a similarity of 0.85.
-CHECK, FAR = 256, 67
 SMALL = 6
 #: Nodes of one part of a salted bucket, if a third of all nodes shared it (24 bytes each).
 PART = 2_000_000
 
-_SEEDS = mix(np.arange(1, VALUES + CHECK + 1, dtype=np.uint64)) | np.uint64(1)
+_SEEDS = mix(np.arange(1, MOST_VALUES + CHECK + 1, dtype=np.uint64)) | np.uint64(1)
 _STEPS = mix(np.arange(2001, 2001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -84,50 +116,54 @@ def set_identity(s: np.ndarray) -> int:
         return int(as_signed(mix(np.array([s.sum() * np.uint64(0x2545F4914F6CDD1D) + a + np.uint64(len(s))], np.uint64)))[0])
 
 
-def signature(s: np.ndarray) -> tuple[bytes, bytes]:
+def signature(s: np.ndarray, values: int = VALUES) -> tuple[bytes, bytes]:
     """MinHash values: 16 bits each for the keys, 8 bits each for the check."""
     with np.errstate(over="ignore"):
-        least = np.full(VALUES + CHECK, np.iinfo(np.uint64).max, np.uint64)
+        least = np.full(values + CHECK, np.iinfo(np.uint64).max, np.uint64)
         for at in range(0, len(s), 1024):
-            np.minimum(least, (s[at : at + 1024, None] * _SEEDS[None, :]).min(axis=0), out=least)
+            np.minimum(least, (s[at : at + 1024, None] * _SEEDS[None, : values + CHECK]).min(axis=0), out=least)
         least = mix(least)
-    return (least[:VALUES] >> np.uint64(48)).astype("<u2").tobytes(), (least[VALUES:] >> np.uint64(56)).astype(np.uint8).tobytes()
+    return (least[:values] >> np.uint64(48)).astype("<u2").tobytes(), (least[values:] >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, ids, sigs, checks = [], [], [], []
-        for _, parts in blocks(batch.column(1).to_pylist()):
-            for s in shingle_sets(parts):
-                sizes.append(len(s))
-                ids.append(set_identity(s) if len(s) else None)
-                sig, check = signature(s) if len(s) else (None, None)
-                sigs.append(sig)
-                checks.append(check)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(checks, pa.binary())],
-            names=["doc_id", "n_shingles", "sid", "sig", "check"],
-        )
-
-
-def _keys(n_salts: int):
+def _described(values: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, ids, sigs, checks = [], [], [], []
+            for _, parts in blocks(batch.column(1).to_pylist()):
+                for s in shingle_sets(parts):
+                    sizes.append(len(s))
+                    ids.append(set_identity(s) if len(s) else None)
+                    sig, check = signature(s, values) if len(s) else (None, None)
+                    sigs.append(sig)
+                    checks.append(check)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(checks, pa.binary())],
+                names=["doc_id", "n_shingles", "sid", "sig", "check"],
+            )
+
+    return run
+
+
+def _keys(n_salts: int, of: Plan = PLAN):
     """(key, salt, sid, n) for each chunk and each position left out of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        factors = mix(np.arange(1001, 1001 + VALUES, dtype=np.uint64)) | np.uint64(1)
+        values = of.chunks * of.width
+        factors = mix(np.arange(1001, 1001 + values, dtype=np.uint64)) | np.uint64(1)
         for batch in batches:
             if not batch.num_rows:
                 continue
             sid = np.array(batch.column(0).to_pylist(), np.int64)
             n = np.array(batch.column(1).to_pylist(), np.int32)
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, VALUES).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u2").reshape(-1, values).astype(np.uint64)
             with np.errstate(over="ignore"):
                 terms = (sig + np.uint64(1)) * factors
-                terms = mix(terms).reshape(-1, CHUNKS, WIDTH)
+                terms = mix(terms).reshape(-1, of.chunks, of.width)
                 left_out = terms.sum(axis=2, keepdims=True) - terms
-                place = np.arange(CHUNKS * WIDTH, dtype=np.uint64).reshape(1, CHUNKS, WIDTH)
+                place = np.arange(values, dtype=np.uint64).reshape(1, of.chunks, of.width)
                 key = as_signed(mix(left_out + (place + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)).reshape(-1))
-            each = CHUNKS * WIDTH
+            each = values
             salt = (mix(sid.view(np.uint64)) % np.uint64(n_salts)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(salt, each)), pa.array(np.repeat(sid, each)), pa.array(np.repeat(n, each))], names=["key", "salt", "sid", "n"])
 
@@ -154,7 +190,7 @@ def _groups(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[lis
         yield held
 
 
-def _paired(final: bool):
+def _paired(final: bool, percent: int):
     """From rows sorted by key: pairs of a bucket, memberships of large buckets, and (unless final) each part's leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +211,7 @@ def _paired(final: bool):
                 a.append(x - gap)
                 b.append(x)
             a, b = np.concatenate(a), np.concatenate(b)
-            near = 100 * np.minimum(n[a], n[b]) >= PERCENT * np.maximum(n[a], n[b])
+            near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             a, b = a[near & (sid[a] != sid[b])], b[near & (sid[a] != sid[b])]
             pair = np.unique(np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])]), axis=1)
             big = np.flatnonzero(~small)
@@ -198,15 +234,15 @@ def _paired(final: bool):
 _PAIRED = "kind int, key long, a long, b long, n int"
 
 
-def _candidates(nodes: DataFrame, part: int = PART) -> tuple[DataFrame, DataFrame]:
+def _candidates(nodes: DataFrame, part: int = PART, of: Plan = PLAN) -> tuple[DataFrame, DataFrame]:
     """(pairs a < b, memberships key/sid of large buckets) of the multi-index join."""
     n_salts = max(1, -(-nodes.count() // (3 * part)))
-    keys = nodes.select("sid", "n", "sig").mapInArrow(_keys(n_salts), "key long, salt int, sid long, n int")
-    found = staged(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(n_salts == 1), _PAIRED), "buckets")
+    keys = nodes.select("sid", "n", "sig").mapInArrow(_keys(n_salts, of), "key long, salt int, sid long, n int")
+    found = staged(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(n_salts == 1, of.percent), _PAIRED), "buckets")
     pairs, members = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1").select("key", F.col("a").alias("sid"))
     if n_salts > 1:
         leaders = found.filter("kind = 2").select("key", F.lit(0).alias("salt"), F.col("a").alias("sid"), "n")
-        upper = staged(leaders.repartition("key").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(True), _PAIRED), "leaders")
+        upper = staged(leaders.repartition("key").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(True, of.percent), _PAIRED), "leaders")
         pairs = pairs.unionAll(upper.filter("kind = 0").select("a", "b"))
         # Of a bucket with several parts, all members count as those of a large one.
         split = leaders.groupBy("key").count().filter("count > 1").select("key")
@@ -222,26 +258,29 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x != y).sum(axis=1).astype(np.int32))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _confirmed(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-    unpack = zstandard.ZstdDecompressor()
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            s, t = shingle_sets([unpack.decompress(x), unpack.decompress(y)])
-            shared = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * shared >= PERCENT * (len(s) + len(t) - shared))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keep)], names=["a", "b", "ok"])
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                s, t = shingle_sets([unpack.decompress(x), unpack.decompress(y)])
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keep)], names=["a", "b", "ok"])
 
+    return run
 
-def _confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs that are links, by their full sets."""
     t = texts.select("sid", "z")
     return (
         pairs.join(t.withColumnsRenamed({"sid": "b", "z": "zb"}), "b").join(t.withColumnsRenamed({"sid": "a", "z": "za"}), "a")
-        .select("a", "b", "za", "zb").mapInArrow(_confirmed, "a long, b long, ok boolean").filter("ok").select("a", "b")
+        .select("a", "b", "za", "zb").mapInArrow(_confirmed(percent), "a long, b long, ok boolean").filter("ok").select("a", "b")
     )
 
 
@@ -317,64 +356,69 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _crossed(of: Plan):
     """Near pairs of different components within each bucket; rows: key, sid, label, n, check, sorted by key.
 
     Members of a bucket's largest component are only compared with the others.
     """
-    for key, sid, label, n, check in _groups(batches, 1):
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        for lo, hi in zip(new, np.append(new[1:], len(key))):
-            labels, count = np.unique(label[lo:hi], return_counts=True)
-            order = lo + np.argsort(label[lo:hi] == labels[np.argmax(count)], kind="stable")  # the largest component last
-            s = np.frombuffer(b"".join(check[order]), np.uint8).reshape(-1, CHECK)
-            l, m, ids = label[order], n[order].astype(np.int64), sid[order]
-            minor = len(l) - int(count.max())
-            step = max(1, (16 << 20) // (CHECK * len(l)))
-            for at in range(0, minor, step):
-                i = np.arange(at, min(at + step, minor))[:, None]
-                j = np.arange(at + 1, len(l))[None, :]
-                fit = (j > i) & (l[i] != l[j]) & (100 * np.minimum(m[i], m[j]) >= PERCENT * np.maximum(m[i], m[j]))
-                x, y = np.nonzero(fit)
-                x, y = i[x, 0], j[0, y]
-                near = np.concatenate([(s[x[k : k + 65536]] != s[y[k : k + 65536]]).sum(axis=1) <= FAR for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-                a, b = ids[x[near]], ids[y[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def describe(docs: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, sid, label, n, check in _groups(batches, 1):
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            for lo, hi in zip(new, np.append(new[1:], len(key))):
+                labels, count = np.unique(label[lo:hi], return_counts=True)
+                order = lo + np.argsort(label[lo:hi] == labels[np.argmax(count)], kind="stable")  # the largest component last
+                s = np.frombuffer(b"".join(check[order]), np.uint8).reshape(-1, CHECK)
+                l, m, ids = label[order], n[order].astype(np.int64), sid[order]
+                minor = len(l) - int(count.max())
+                step = max(1, (16 << 20) // (CHECK * len(l)))
+                for at in range(0, minor, step):
+                    i = np.arange(at, min(at + step, minor))[:, None]
+                    j = np.arange(at + 1, len(l))[None, :]
+                    fit = (j > i) & (l[i] != l[j]) & (100 * np.minimum(m[i], m[j]) >= of.percent * np.maximum(m[i], m[j]))
+                    x, y = np.nonzero(fit)
+                    x, y = i[x, 0], j[0, y]
+                    near = np.concatenate([(s[x[k : k + 65536]] != s[y[k : k + 65536]]).sum(axis=1) <= of.far for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
+                    a, b = ids[x[near]], ids[y[near]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def describe(docs: DataFrame, values: int = VALUES) -> DataFrame:
     """(doc_id, n_shingles, sid, sig, check) of ``docs`` (doc_id, text); the last three are null without shingles."""
-    return docs.select("doc_id", "text").mapInArrow(_described, "doc_id long, n_shingles long, sid long, sig binary, check binary")
+    return docs.select("doc_id", "text").mapInArrow(_described(values), "doc_id long, n_shingles long, sid long, sig binary, check binary")
 
 
-def near_duplicates(docs: DataFrame, part: int = PART) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text)."""
-    about = staged(describe(docs), "signatures")
+def near_duplicates(docs: DataFrame, part: int = PART, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text), linked from a similarity of ``percent`` on."""
+    how = plan(percent)
+    about = staged(describe(docs, how.chunks * how.width), "signatures")
     nodes = staged(
         about.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").cast("int").alias("n"), F.min("sig").alias("sig"), F.min("check").alias("check")), "nodes"
     )
-    pairs, members = _candidates(nodes, part)
+    pairs, members = _candidates(nodes, part, how)
     of = lambda c: nodes.select(F.col("sid").alias(c), F.col("check").alias(f"s{c}"), F.col("doc_id").alias(f"d{c}"))
     near = staged(
-        pairs.join(of("a"), "a").join(of("b"), "b").withColumn("far", _distance("sa", "sb")).filter(f"far <= {FAR}").select("a", "b", "far", "da", "db"), "near"
+        pairs.join(of("a"), "a").join(of("b"), "b").withColumn("far", _distance("sa", "sb")).filter(f"far <= {how.far}").select("a", "b", "far", "da", "db"), "near"
     )
     wanted = near.select(F.explode(F.array("da", "db")).alias("doc_id")).unionAll(members.join(nodes, "sid").select("doc_id")).distinct()
     texts = docs.select("doc_id", "text").mapInArrow(_packed(_bit_filter(wanted)), "sid long, z binary")
     texts = staged(texts.join(wanted_nodes(near, members), "sid").groupBy("sid").agg(F.first("z").alias("z")), "texts")
     nearest = near.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
-    links = staged(_confirm(nearest, texts), "links")
+    links = staged(_confirm(nearest, texts, percent), "links")
     labels = components(links)
     rest = _apart(near.select("a", "b"), labels).join(nearest, ["a", "b"], "left_anti")
-    links = links.unionAll(staged(_confirm(rest, texts), "links"))
+    links = links.unionAll(staged(_confirm(rest, texts, percent), "links"))
     labels = components(links)
     own = F.coalesce("label", "sid").alias("label")
     placed = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", own)
     mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     crossed = (
         placed.join(mixed, "key").join(nodes.select("sid", "n", "check"), "sid").select("key", "sid", "label", "n", "check")
-        .repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_crossed, "a long, b long").distinct()
+        .repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_crossed(how), "a long, b long").distinct()
     )
-    extra = staged(_confirm(crossed.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts), "links")
+    extra = staged(_confirm(crossed.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts, percent), "links")
     if not extra.isEmpty():
         labels = components(links.unionAll(extra))
     return _labelled(about, nodes, staged(labels, "labels"))
@@ -395,4 +439,4 @@ def _labelled(about: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFram
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)

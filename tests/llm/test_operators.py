@@ -142,6 +142,25 @@ def test_near_duplicates_equal_brute_force(spark):
         assert got == want
 
 
+def test_near_duplicates_at_other_thresholds(spark, monkeypatch):
+    assert near_dedup.plan(85) == (85, 8, 7, 67) and near_dedup.plan(80) == (80, 10, 6, 83)
+    rng = random.Random(14)
+    texts = []
+    for n in range(40, 240, 10):  # pairs that differ in one run of words: similarities about 0.70 to 0.95
+        base = [f"x{rng.randint(0, 10**6)}" for _ in range(n)]
+        cut = rng.randint(1, n // 7)
+        texts += [" ".join(base), " ".join([*base[:5], *(f"y{rng.randint(0, 10**6)}" for _ in range(cut)), *base[5 + cut :]])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    for percent in (80, 85):
+        linked = {k for k in range(0, len(texts), 2) if 100 * len(sets[k] & sets[k + 1]) >= percent * len(sets[k] | sets[k + 1])}
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(documents(spark, texts), percent=percent).collect()}
+        assert {k for k in range(0, len(texts), 2) if got[k + 1] == k} == linked and linked
+        import corpus_pipeline as cp
+
+        monkeypatch.setattr(cp, "NEAR", percent)
+        assert {r["doc_id"] for r in cp.drop_near_duplicates(spark, documents(spark, texts), "").collect()} == set(range(len(texts))) - {k + 1 for k in linked}
+
+
 def test_minhash_keys_meet_within_the_guarantee():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 16, near_dedup.VALUES).astype("<u2")
