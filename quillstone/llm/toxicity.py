@@ -12,8 +12,10 @@ seen thus differs between the classes only by its stem.
 
 A text's toxic and ordinary log-likelihoods are compared after dividing by length: over the whole text, in
 the window of ``WINDOW`` words where the ratio is highest, and over its two most telling words. A logistic
-curve turns the three ratios into a score; it is fitted on one fold of the labelled rows that the counts do
-not use, on at most about ``SAMPLE`` of them (the documented bound). Counts cover every other labelled row.
+curve turns the three ratios into a score. It is fitted on a sample of each class that the counts do not use:
+by a hash of doc_id a quarter of the class, at most about ``SAMPLE / 2`` documents (the documented bound), each
+weighted by the documents of its class that it stands for. Counts cover every other labelled row. A class of
+fewer than four documents is counted whole, and the curve uses these.
 
 Words, stems and rests are told apart by hashes of 64 bits, so the model grows with the labelled text.
 
@@ -51,7 +53,6 @@ STEM_KEY = 0x5DEECE66D1234567
 SAMPLE = 20_000
 FOLDS = 5
 #: Of the folds 1 to 4 that may be learnt from, the one for the logistic curve.
-CURVE_FOLD = 4
 
 
 def fold(doc_id: Column) -> Column:
@@ -173,14 +174,19 @@ class Ratios:
         out[full, 2] = np.where(n > 1, (top + np.where(n > 1, second, 0)) / 2, top / 2)
         return out
 
-    def fit_curve(self, ratios: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic regression by Newton's steps with a small ridge."""
+    def fit_curve(self, ratios: np.ndarray, toxic: np.ndarray, weights: np.ndarray) -> None:
+        """Logistic regression by Newton's steps, halved where they overshoot, with a small ridge."""
         x = np.column_stack([np.ones(len(ratios)), ratios])
         w = np.zeros(4)
-        for _ in range(50):
+        loss = lambda w: (weights * np.logaddexp(0, (1 - 2 * toxic) * (x @ w))).sum() + 0.05 * w @ w
+        for _ in range(100):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
-            step = np.linalg.solve(h, x.T @ (toxic - p) - 0.1 * w)
+            h = (x * (weights * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(4)
+            step = np.linalg.solve(h, x.T @ (weights * (toxic - p)) - 0.1 * w)
+            for _ in range(30):
+                if loss(w + step) <= loss(w):
+                    break
+                step = step / 2
             w += step
             if np.abs(step).max() < 1e-8:
                 break
@@ -205,30 +211,51 @@ class Model:
         self.ratios = Ratios(table.select("key", "ratio").toArrow(), other)
 
 
-def _with_labels(docs: DataFrame, labels: DataFrame, broadcast_labels: int) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled rows that may be learnt from."""
-    known = labels.dropna(subset=["doc_id", "toxic"]).filter(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    few = labels.select("doc_id").limit(broadcast_labels + 1).count() <= broadcast_labels
-    return docs.select("doc_id", "text").join(F.broadcast(known) if few else known, "doc_id")
+def _known(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labels that may be learnt from."""
+    known = labels.dropna(subset=["doc_id", "toxic"]).filter(fold(F.col("doc_id")) != 0)
+    return known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)")
+
+
+def _bounds(found: DataFrame) -> tuple[dict[int, int | None], dict[int, int]]:
+    """For each class of ``found`` (doc_id, toxic): the hash up to which documents are in the sample, and its size."""
+    sizes = {r["toxic"]: r["n"] for r in found.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    half, bounds = SAMPLE // 2, {}
+    for c, n in sizes.items():
+        if n > 4 * half:  # so many that the share of all hashes is near enough
+            bounds[c] = int(half / n * 2**64) - 2**63
+        elif n >= 4:  # at most 2 * SAMPLE hashes
+            least = found.filter(F.col("toxic") == c).select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(n // 4)
+            bounds[c] = least.agg(F.max("h")).first()[0]
+        else:
+            bounds[c] = None
+    return bounds, sizes
 
 
 def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -> Model | None:
     """A model from labelled documents; None without examples of both classes."""
-    rows = _with_labels(docs, labels, broadcast_labels)
-    tables = _tables(rows.filter(fold(F.col("doc_id")) != CURVE_FOLD).select("text", "toxic").mapInArrow(_count, "word long, stem long, rest long, ordinary long, toxic long"))
+    known = _known(labels)
+    few = labels.select("doc_id").limit(broadcast_labels + 1).count() <= broadcast_labels
+    found = staged(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    bounds, sizes = _bounds(found)
+    rows = docs.select("doc_id", "text").join(F.broadcast(found) if few else found, "doc_id")
+    inside = F.lit(False)
+    for c, bound in bounds.items():
+        if bound is not None:
+            inside |= (F.col("toxic") == c) & (F.xxhash64("doc_id") <= F.lit(bound))
+    tables = _tables(rows.filter(~inside).select("text", "toxic").mapInArrow(_count, "word long, stem long, rest long, ordinary long, toxic long"))
     if tables is None:
         return None
     model = Model(*tables)
-    curve = rows.filter(fold(F.col("doc_id")) == CURVE_FOLD)
-    n_labels = labels.count()
-    share = min(1.0, SAMPLE * FOLDS / max(1, n_labels))  # a fifth of the labels are in the fold
-    sample = curve.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    got = _measured(sample.select("doc_id", "text", "toxic"), model, lambda m, r: r, "a double, b double, c double").toPandas()
-    if got["toxic"].nunique() < 2:  # too few labels to keep a fold aside
-        got = _measured(rows.select("doc_id", "text", "toxic").limit(SAMPLE), model, lambda m, r: r, "a double, b double, c double").toPandas()
-    if got["toxic"].nunique() < 2:
-        return None
-    model.ratios.fit_curve(got[["a", "b", "c"]].to_numpy(), got["toxic"].to_numpy())
+    whole = F.col("toxic").isin([c for c, bound in bounds.items() if bound is None])
+    got = (
+        _measured(rows.filter(inside | whole), model, lambda m, r: r, "a double, b double, c double")
+        .groupBy("doc_id", "toxic").agg(F.min(F.struct("a", "b", "c")).alias("x")).select("toxic", "x.*").toPandas()  # a row a document
+    )
+    toxic = got["toxic"].to_numpy().astype(float)
+    stands = np.array([sizes[c] / n for c, n in sorted(got["toxic"].value_counts().items())])
+    weights = (stands / stands.min())[toxic.astype(int)]
+    model.ratios.fit_curve(got[["a", "b", "c"]].to_numpy(), toxic, weights)
     return model
 
 

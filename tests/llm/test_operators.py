@@ -340,6 +340,29 @@ def test_toxicity_tells_all_words_apart(spark, monkeypatch):
     assert a == b and len(a) == len(texts) + 4  # a table that is joined gives what one that is broadcast gives
 
 
+def test_toxicity_with_few_toxic_rows(spark, monkeypatch):
+    rng = random.Random(15)
+    plain = [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(plain, k=40)) for _ in range(1500)]
+    rare = [700, 900, 1100]  # none of them in the fold of the curve that there was, or among the first rows of a sample
+    rare = [i + next(k for k in range(99) if zlib.crc32(str(i + k).encode()) % 5 not in (0, 4)) for i in rare]
+    for i in rare:
+        texts[i] += " vile awful vile awful vile"
+    texts.append("w1 w2 vile awful vile w3")
+    labels = spark.createDataFrame([(i, 1, int(i in rare)) for i in range(1500)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 100)
+    docs = documents(spark, texts)
+    found = toxicity._known(labels)
+    bounds, sizes = toxicity._bounds(found)
+    assert sizes[1] == 3 and bounds[1] is None and found.filter((F.col("toxic") == 0) & (F.xxhash64("doc_id") <= bounds[0])).count() < 100
+    model = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    assert min(got[i] for i in [*rare, 1500]) > max(s for i, s in got.items() if i not in (*rare, 1500))
+    monkeypatch.setattr(toxicity, "SAMPLE", 2000)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((s >= 0.5) == (i in (*rare, 1500)) for i, s in got.items())
+
+
 # ---------------------------------------------------------------- 9
 
 
