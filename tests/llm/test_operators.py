@@ -222,6 +222,25 @@ def test_token_store_round_trip(spark):
     assert sum(r["n"] for r in chunks) < 0.7 * info["n_tokens"]  # the repeated passage is stored once
 
 
+def test_token_store_shares_short_passages(spark):
+    rng = random.Random(16)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnop", k=6)) for _ in range(n))
+    path, shared = new_dir(spark, "store"), [words(n) for n in (100, 150, 200)]
+    own = [[words(40), words(40)] for _ in range(60)]
+    texts = [f"{a} {shared[i % 3]} {b}" for i, (a, b) in enumerate(own)]
+    info = token_store.write(documents(spark, texts), path)
+    e = encoder(token_store.TOKENIZER).full
+    size = [len(e.encode(" " + x, add_special_tokens=False).ids) for x in shared]
+    stored = spark.read.parquet(f"{path}/chunks").agg(F.sum("n")).first()[0]
+    # Of the 19 further copies of each passage, at most a chunk at either end (about 80 ids each) is stored again.
+    assert info["n_tokens"] - stored > 0.6 * 19 * sum(size)
+    first = [set() for _ in shared]
+    for r in spark.read.parquet(f"{path}/recipes").collect():
+        d = {bytes(x) for x in r["digests"]}
+        first[r["doc_id"] % 3] = first[r["doc_id"] % 3] & d if first[r["doc_id"] % 3] else d
+    assert all(first)  # every passage has chunks that all its documents share
+
+
 def test_token_store_notices_damage(spark):
     path = new_dir(spark, "store")
     token_store.write(documents(spark, TEXTS), path)
