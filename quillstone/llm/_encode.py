@@ -5,6 +5,10 @@ words, so the ids of every white-space separated piece are kept in a bounded mem
 worker, and the library's model only sees pieces it has not met. Texts for which the cut is not
 certain (special-token strings, unusual white space) go through the library whole; pieces with
 characters beyond Latin go through the library's full encoder. Results equal a plain ``encode``.
+
+``batch`` does this for whole blocks of texts in NumPy: pieces are spans of the block's bytes, known by a
+64-bit hash of bytes and length, and their ids lie in one array. Pieces beyond ``LONGEST`` bytes are not
+known by hash but encoded each time.
 """
 
 from __future__ import annotations
@@ -15,10 +19,15 @@ from array import array
 
 import numpy as np
 
-#: Pieces kept in a memo; a full memo is emptied, so memory stays bounded (about 200 bytes a piece).
-MEMO = 1_000_000
+from ._common import FOLD, blocks, prefix_sums, span_hashes
+
+#: Pieces kept in ``Known`` (about 60 bytes each) and in a dict (about 200 bytes); a full memo is emptied, so memory stays bounded.
+MEMO, FEW = 1_500_000, 200_000
+#: Bytes of a piece that ``Known`` may hold.
+LONGEST = 256
 #: Little-endian unsigned 32-bit ids.
 _WORD = "I" if array("I").itemsize == 4 else "L"
+_LITTLE = sys.byteorder == "little"
 
 
 def _pack(ids) -> bytes:
@@ -36,12 +45,61 @@ class _Memo(dict):
         self.make = make
 
     def __missing__(self, key):
-        if len(self) >= MEMO:
+        if len(self) >= FEW:
             self.clear()
         value = self[key] = self.make(key)
         return value
 
 
+class Known:
+    """Ids of pieces by 64-bit hash: an open-addressing table over arrays, emptied when ``MEMO`` pieces are in it."""
+
+    BITS = 22
+
+    def __init__(self):
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.rows = np.zeros(1 << self.BITS, np.int32)
+        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.ids, self.n, self.used = np.zeros(1 << 18, "<u4"), 0, 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The piece number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int32)
+        at, todo = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            there = self.keys[at]
+            hit = there == h[todo]
+            out[todo[hit]] = self.rows[at[hit]]
+            on = ~hit & (there != 0)
+            todo, at = todo[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def add(self, h: np.ndarray, found: list[bytes]) -> None:
+        """Put in distinct hashes that are not there, with their ids."""
+        if self.n + len(h) > MEMO:
+            self.keys[:] = 0
+            self.n = self.used = 0
+        more = np.frombuffer(b"".join(found), "<u4")
+        size = np.array([len(x) // 4 for x in found], np.int64)
+        while self.n + len(h) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while self.used + len(more) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + len(more)] = more
+        self.start[self.n : self.n + len(h)] = self.used + np.cumsum(size) - size
+        self.size[self.n : self.n + len(h)] = size
+        at, todo = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = self.keys[at] == 0
+            first = np.zeros(len(at), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            now = free & first
+            self.keys[at[now]], self.rows[at[now]] = h[todo[now]], self.n + todo[now]
+            taken = self.keys[at] != h[todo]
+            todo, at = todo[taken], (at[taken] + 1) & ((1 << self.BITS) - 1)
+        self.n, self.used = self.n + len(h), self.used + len(more)
+
+
 def _byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable Latin bytes stand for themselves, the others are counted up from 256."""
     keep = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -80,6 +138,7 @@ class Encoder:
         self.odd_space = re.compile(f"[{odd}]" if self.drops_space else f"[\\t\\x0b-\\r{odd}]").search
         self.letters = _byte_letters()
         self.pieces = _Memo(self._piece)
+        self.known = Known()
 
     def _pre_token(self, s: str) -> bytes:
         return _pack([t.id for t in self.model.tokenize(s.encode("utf-8").decode("latin-1").translate(self.letters))])
@@ -94,6 +153,8 @@ class Encoder:
 
     def _piece(self, s: str) -> bytes:
         """The ids of a piece: the empty one and ``" "`` cannot come up, as pieces start or end at a lone separator."""
+        if s.isascii() and s.lstrip(" ").isalpha():  # most pieces
+            return array(_WORD, [t.id for t in self.model.tokenize(s.lower() if self.drops_space else s.replace(" ", "\u0120"))]).tobytes() if _LITTLE else self._pre_token(s.lower() if self.drops_space else s)
         if self.plain(s) and s.lstrip(" ").isalpha():
             return self._pre_token(s.lower() if self.drops_space else s)
         return self._cut_up(s)
@@ -121,6 +182,88 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, filter(None, text.split("\0"))))
 
 
+    def batch(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another (each followed by ``end``, if given), and where each text's begin and end."""
+        parts, sizes, last = [], [0], [] if end is None else np.array([end], "<u4")
+        for at, raw in blocks(texts):
+            ids, bounds = self._block(texts[at : at + len(raw)], raw)
+            n = np.diff(bounds)
+            if end is not None:
+                out = np.empty(len(ids) + len(n), "<u4")
+                where = bounds[1:] + np.arange(len(n))
+                keep = np.ones(len(out), bool)
+                keep[where] = False
+                out[keep], out[where] = ids, last[0]
+                ids, n = out, n + 1
+            parts.append(ids)
+            sizes += n.tolist()
+        return (np.concatenate(parts) if parts else np.zeros(0, "<u4")), np.cumsum(sizes)
+
+    def _block(self, texts: list[str | None], raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"a".join(raw) + b"a", np.uint8)  # a letter stands between texts, in no piece
+        if self.drops_space:
+            data = FOLD[data]
+        size = np.array([len(r) for r in raw])
+        first = np.cumsum(size + 1) - (size + 1)
+        border = np.zeros(len(data) + 1, bool)
+        border[first + size] = True
+        kinds = _KIND[data]
+        kinds[first + size] = 0
+        seen = np.zeros(len(data), np.uint8)
+        seen[:-1] = _SEEN[(kinds[:-1] << 2) | kinds[1:]]
+        flags, odd = np.bitwise_or.reduceat(seen, first), np.maximum.reduceat(kinds, first) == _ODD
+        block = data.tobytes()
+        rare = any(x in block for x in (b"<|", b"\xc3\x97", b"\xc3\xb7", b"\xc4\xb0"))
+        lone = (flags & _PUNCTUATION) == 0
+        if rare:
+            odd |= np.array([b"<|" in r for r in raw])
+            lone &= ~np.array([b"\xc3\x97" in r or b"\xc3\xb7" in r or b"\xc4\xb0" in r for r in raw])
+        if not self.drops_space:
+            odd |= (flags & _SPACE) > 0
+            odd |= (size > 0) & ((kinds[first] == 1) | (kinds[np.maximum(first + size - 1, 0)] == 1))
+            lone &= (flags & _BOTH) == 0
+        spread = lambda of: np.repeat(of, size + 1)
+        inside = ~border[:-1] & spread(~odd)
+        stop = ((data == 0x2C) | (data == 0x2E)) & spread(lone)
+        begins = np.ones(len(data), bool)
+        if self.drops_space:
+            inside &= kinds != 1
+            begins[1:] = stop[1:] | ~inside[:-1]
+        else:
+            begins[1:] = stop[1:] | (kinds[1:] == 1) | (data[:-1] == 0x0A) | ~inside[:-1]
+        begins &= inside
+        starts = np.flatnonzero(begins)
+        after = np.append(~inside[1:] | begins[1:], True)
+        ends = np.flatnonzero(inside & after) + 1
+        h = span_hashes(prefix_sums(data), starts, ends)
+        np.maximum(h, np.uint64(1), out=h)
+        long = ends - starts > LONGEST
+        row = self.known.find(h)
+        if len(new := np.flatnonzero((row < 0) & ~long)):
+            each, at = np.unique(h[new], return_index=True)
+            at = new[at]
+            for k in range(0, len(each), MEMO // 4):  # (a block has fewer pieces, as a rule)
+                self.known.add(each[k : k + MEMO // 4], [self._piece(block[a:b].decode("utf-8")) for a, b in zip(starts[at[k : k + MEMO // 4]].tolist(), ends[at[k : k + MEMO // 4]].tolist())])
+            row = self.known.find(h)
+            if (row[~long] < 0).any():  # the memo was emptied in between
+                lost = np.flatnonzero((row < 0) & ~long)
+                each, at = np.unique(h[lost], return_index=True)
+                self.known.add(each, [self._piece(block[a:b].decode("utf-8")) for a, b in zip(starts[lost[at]].tolist(), ends[lost[at]].tolist())])
+                row = self.known.find(h)
+        n = np.where(row >= 0, self.known.size[row], 0)
+        upto = np.cumsum(n)
+        at = np.repeat(self.known.start[row] - (upto - n), n) + np.arange(int(n.sum()))
+        ids = self.known.ids[at]
+        edge = np.searchsorted(starts, np.append(first, len(data)))
+        bounds = np.concatenate([[0], upto])[edge]
+        if not (odd.any() or long.any()):
+            return ids, bounds
+        own = odd.copy()
+        own[np.searchsorted(first, starts[long], "right") - 1] = True
+        out = [np.frombuffer(self.ids(t), "<u4") if o else ids[a:b] for t, o, a, b in zip(texts, own.tolist(), bounds[:-1].tolist(), bounds[1:].tolist())]
+        return np.concatenate(out), np.cumsum([0, *map(len, out)])
+
+
 # Kinds of bytes: 0 letters and digits (with the lead and later bytes of U+00C0 to U+017F), 1 space or line feed,
 # 2 ASCII punctuation, 3 anything else.
 _ODD = 3

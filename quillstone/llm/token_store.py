@@ -1,26 +1,29 @@
 """Content-addressed store of token ids (operator 6).
 
-Writing: each document's ids are cut into chunks where a rolling hash over the last ``WINDOW`` ids has
-its low bits zero, so equal passages give equal chunks wherever they stand. A chunk is stored once under
+Writing: each document's ids are cut into chunks where a rolling hash over the last ``WINDOW`` ids is the largest
+of its neighbourhood, so equal passages give equal chunks wherever they stand. A chunk is stored once under
 the SHA-256 of its bytes; a document is a recipe, the list of its chunks' digests, with a Merkle root
 over them. Recipes are range-partitioned by doc_id; each part knows its token total, so the place of
 every document in the one long stream follows from a prefix sum over parts.
 
 Layout below the store's path: ``chunks/`` (digest, n, data: little-endian uint16, or uint32 for large
-vocabularies), ``recipes/`` (doc_id, n_tokens, part, local_start, digests, root), ``parts/`` (part, start,
-n_docs, n_tokens, root: a digest of the
-part's document roots and their places) and ``manifest/`` (Merkle root over all parts).
-
-Reading back: ``documents()`` joins recipes with chunks and returns whole id streams. ``audit()`` reads
-every chunk, checks its digest, recomputes each document's Merkle root, and combines the chunks' CRC-32
-values into the document's (a CRC of a concatenation follows from the parts' CRCs and lengths), so that
-no payload is shuffled.
-
-Scale: payload crosses the network once, after repeats within a task have been dropped; a passage with a
-third of all rows arrives at most once from each task. Recipes carry 32 bytes a chunk.
-
-Defined results: null and empty texts are one end id. Repeated doc_ids each keep their recipe, in an
-order fixed by (doc_id, root). An empty table gives an empty store.
+vocabularies), ``recipes/`` (doc_id, n_tokens, digests, root, part, row, local_start) in ascending doc_id
+order, ``parts/`` (part, start, n_docs, n_tokens, root: a Merkle root over the part's documents in order) and
+``manifest/`` (counts, and a Merkle root over all parts).
+
+Reading back checks everything against the manifest: counts, starts and roots of the parts are recomputed from
+the recipes, every recipe against its root, every chunk against its address; a chunk, recipe or part that
+is missing, changed or added raises. ``documents()`` returns whole id streams. ``audit()`` combines the checked
+chunks' CRC-32 values into the document's (a CRC of a concatenation follows from the parts' CRCs and lengths),
+so that no payload is shuffled.
+
+Scale: digests are dealt to buckets of about ``BUCKET_BYTES`` of input. Between tasks, the chunks of a task's documents
+travel as one row a bucket; a passage with a third of all rows is sent once by every thousand documents
+or so, and asked for as often. Recipes carry 32 bytes a chunk. Sums over parts are rows a part, not a document.
+
+Defined results: null and empty texts are one end id; very long ones are many chunks. Repeated doc_ids each keep
+their recipe, in an order fixed by (doc_id, root); null ones come first. Other columns are not read. An empty table
+gives an empty store.
 """
 
 from __future__ import annotations
@@ -30,60 +33,77 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import drop_dir, mix, new_dir
+from ._common import drop_dir, mix, new_dir, small
 from ._encode import encoder
 
 END = 2
 WINDOW = 8
-#: A cut is made where a hash has this many low zero bits: 2**6 ids on average beyond the least. Chunks of about
-#: 80 ids are shorter than the passages of 100 to 200 words that documents share.
-BITS = 6
-LEAST, MOST = 16, 2048
+#: A cut has the largest hash of so many ids on either side, so chunks have more than REACH ids and about twice as many on
+#: average: they are shorter than the passages of 100 to 200 words that documents share.
+REACH, MOST = 40, 2048
 TOKENIZER = "word_bpe_49k.json"
-
-
-def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """For each document ``ids[bounds[i]:bounds[i + 1]]`` the ends of its chunks, counted from its start."""
-    with np.errstate(over="ignore"):
-        seed = mix(ids.astype(np.uint64) + np.uint64(1))
-        h = seed.copy()
-        for k in range(1, WINDOW):
-            h[k:] += seed[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
-        where = np.flatnonzero((mix(h) & np.uint64((1 << BITS) - 1)) == 0) + 1
-    out = []
-    lo, hi = np.searchsorted(where, bounds[:-1] + LEAST), np.searchsorted(where, bounds[1:])
-    for i in range(len(bounds) - 1):
-        n, at, ends = int(bounds[i + 1] - bounds[i]), 0, []
-        for c in (where[lo[i] : hi[i]] - bounds[i]).tolist():
-            while c - at > MOST:
-                at += MOST
-                ends.append(at)
-            if c - at >= LEAST:
-                ends.append(c)
-                at = c
-        while n - at > MOST:
-            at += MOST
-            ends.append(at)
-        if n > at:
+#: Bytes of input (or of ids) whose chunks meet in one group, and digests that a task remembers as sent.
+BUCKET_BYTES, SENT = 8 << 20, 200_000
+#: Children of a node in the tree over a part's documents.
+FAN = 256
+
+
+def _most_of_next(h: np.ndarray, n: int) -> np.ndarray:
+    """The largest of each ``n`` neighbours ``h[i:i + n]``, by doubling."""
+    have, size = h, 1
+    while size < n:
+        step = min(size, n - size)
+        have, size = np.maximum(have[:-step], have[step:]), size + step
+    return have
+
+
+def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
+    """For each document ``ids[bounds[i]:bounds[i + 1]]`` the ends of its chunks, counted from its start.
+
+    Whether there is a cut depends on the ``REACH`` ids on either side alone, which must be the document's own.
+    """
+    docs = len(bounds) - 1
+    out: list[list[int]] = [[] for _ in range(docs)]
+    if len(ids) > 2 * REACH:
+        with np.errstate(over="ignore"):
+            seed = mix(ids.astype(np.uint64) + np.uint64(1))
+            h = seed.copy()
+            for k in range(1, WINDOW):
+                h[k:] += seed[:-k] * np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64))
+        h = mix(h)
+        most = _most_of_next(h, REACH)
+        here = h[REACH:-REACH]
+        where = np.flatnonzero((here > most[: len(here)]) & (here >= most[REACH + 1 :])) + REACH
+        doc = np.searchsorted(bounds, where, "right") - 1
+        own = (where - bounds[doc] >= REACH + WINDOW) & (bounds[doc + 1] - where > REACH)
+        for d, c in zip(doc[own].tolist(), (where - bounds[doc])[own].tolist()):
+            out[d].append(c)
+    for ends, n in zip(out, np.diff(bounds).tolist()):
+        if n:
             ends.append(n)
-        out.append(ends)
+        if n > MOST:  # the same few ids again and again have no cut of their own
+            whole, at = [], 0
+            for e in ends:
+                while e - at > MOST:
+                    at += MOST
+                    whole.append(at)
+                whole.append(e)
+                at = e
+            ends[:] = whole
     return out
 
 
 def merkle(digests: list[bytes]) -> bytes:
-    """Root of a binary hash tree; leaves and inner nodes have different prefixes, an odd node moves up."""
-    level = [hashlib.sha256(b"\x00" + d).digest() for d in digests]
-    if not level:
-        return hashlib.sha256(b"").digest()
+    """Root of a binary hash tree over digests and of their number; an odd node moves up."""
+    level = digests
     while len(level) > 1:
         up = [hashlib.sha256(b"\x01" + a + b).digest() for a, b in zip(level[::2], level[1::2])]
         level = up + level[len(up) * 2 :]
-    return level[0]
+    return hashlib.sha256(b"\x02" + len(digests).to_bytes(8, "little") + b"".join(level)).digest()
 
 
 # ---------------------------------------------------------------- CRC-32 of concatenations
@@ -101,185 +121,357 @@ def _crc_times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _crc_shifts() -> np.ndarray:
-    """For n ids of four bytes, what a CRC is multiplied with when n ids follow it."""
-    out = np.empty(MOST + 1, np.uint32)
+def _crc_shifts(n: int, every: int = 1) -> np.ndarray:
+    """For 0, every, 2 * every ... ids of four bytes (n numbers), what a CRC is multiplied with when so many ids follow it."""
+    out = np.empty(n, np.uint32)
     out[0] = 0x80000000
     step = np.array([0x80000000], np.uint32)
     for _ in range(32):
         step = (step >> np.uint32(1)) ^ np.where(step & np.uint32(1), _POLY, np.uint32(0))
-    have, power = 1, step
-    while have <= MOST:  # doubling: shifts of have..2*have-1 follow from those before
-        n = min(have, MOST + 1 - have)
-        out[have : have + n] = _crc_times(out[:n], power)
-        have, power = have + n, _crc_times(power, power)
+    power = out[:1]
+    for bit in bin(every)[2:]:  # step to the power of ``every``
+        power = _crc_times(power, power)
+        power = _crc_times(power, step) if bit == "1" else power
+    have = 1
+    while have < n:  # doubling: shifts of have..2*have-1 follow from those before
+        k = min(have, n - have)
+        out[have : have + k] = _crc_times(out[:k], power)
+        have, power = have + k, _crc_times(power, power)
     return out
 
 
-def join_crcs(crcs: list[np.ndarray], lengths: list[np.ndarray]) -> np.ndarray:
-    """The CRC-32 of each document from its chunks' CRCs and lengths in ids."""
-    shifts = _crc_shifts()
-    out = np.zeros(len(crcs), np.uint32)
-    sizes = np.array([len(c) for c in crcs])
-    for k in range(int(sizes.max(initial=0))):
-        now = np.flatnonzero(sizes > k)
-        c = np.array([crcs[i][k] for i in now], np.uint32)
-        n = np.array([lengths[i][k] for i in now])
-        out[now] = _crc_times(out[now], shifts[n]) ^ c
-    return out
+_LOW = 1 << 11
+_SHIFTS: list[np.ndarray] = []
+
+
+def join_crcs(crcs: np.ndarray, lengths: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each document from its chunks' CRCs and lengths in ids; document ``i`` has those of ``bounds[i]:bounds[i + 1]``, one at least.
+
+    Each chunk's CRC is shifted by the ids after it; the document's is the XOR of these.
+    """
+    upto = np.cumsum(lengths)
+    after = np.repeat(upto[bounds[1:] - 1], np.diff(bounds)) - upto
+    if not _SHIFTS:
+        _SHIFTS.extend([_crc_shifts(_LOW), _crc_shifts(_LOW, _LOW)])
+    out, left = _crc_times(crcs.astype(np.uint32), _SHIFTS[0][after % _LOW]), after // _LOW
+    far = np.flatnonzero(left)
+    while len(far):
+        out[far] = _crc_times(out[far], _SHIFTS[1][np.minimum(left[far], _LOW - 1)])
+        left[far] -= np.minimum(left[far], _LOW - 1)
+        far = far[left[far] > 0]
+    return np.bitwise_xor.reduceat(out, bounds[:-1]) if len(out) else out
+
+
+# ---------------------------------------------------------------- digests in buckets
+
+
+def _bucketed(digests: list[bytes], n_buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its digests, or of their first bytes) for each bucket that has some."""
+    if digests:
+        bucket = np.frombuffer(b"".join(digests), "<u8")[:: len(digests[0]) // 8] % np.uint64(n_buckets)
+        order = np.argsort(bucket, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            yield int(bucket[at[0]]), at
+
+
+def _index(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts 32-byte digests, and which of the sorted are the first of their kind."""
+    words = np.frombuffer(digests, "<u8").reshape(-1, 4)
+    order = np.lexsort(words.T)
+    first = np.ones(len(order), bool)
+    first[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
+    return order, first
+
+
+def _n_buckets(size: int) -> int:
+    return max(8, -(-size // BUCKET_BYTES)) if size < 1 << 60 else 8  # a plan that does not know its size says so with a huge one
 
 
 # ---------------------------------------------------------------- writing
 
+_STAGED = "doc_id long, n_tokens long, digests array<binary>, root binary, bucket long, d binary, n binary, data binary"
+
+
+def _encoded(tokenizer: str, end: int, n_buckets: int):
+    """Recipes, and between them rows of new chunks by bucket: digests, lengths (uint32) and packed payload, each joined."""
 
-def _encoded(tokenizer: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         enc = encoder(tokenizer)
-        last = np.array([end], "<u4").tobytes()
-        width = "<u2" if enc.full.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4"
-        seen: set[bytes] = set()
-        for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for at in range(0, len(keys), 256):
-                raw = [enc.ids(t) + last for t in batch.column(1).slice(at, 256).to_pylist()]
-                bounds = np.cumsum([0] + [len(r) // 4 for r in raw])
-                ids = np.frombuffer(b"".join(raw), "<u4")
-                data = ids.astype(width).tobytes()
-                size = int(width[-1])
-                lists, digests, roots, fresh_lists, fresh, sizes, datas = [0], [], [], [0], [], [], []
-                for i, ends in enumerate(cut_points(ids, bounds)):
-                    base = a = int(bounds[i])
-                    for b in ends:
-                        b += base
-                        d = hashlib.sha256(chunk := data[a * size : b * size]).digest()
-                        digests.append(d)
-                        if d not in seen:
-                            seen.add(d)
-                            fresh.append(d)
-                            sizes.append(b - a)
-                            datas.append(chunk)
-                        a = b
-                    roots.append(merkle(digests[lists[-1] :]))
-                    lists.append(len(digests))
-                    fresh_lists.append(len(fresh))
-                stored = pa.StructArray.from_arrays([pa.array(fresh, pa.binary()), pa.array(sizes, pa.int32()), pa.array(datas, pa.binary())], ["digest", "n", "data"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(keys[at : at + len(raw)], pa.int64()), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(digests, pa.binary())),
-                        pa.array(roots, pa.binary()), pa.ListArray.from_arrays(pa.array(fresh_lists, pa.int32()), stored),
-                    ],
-                    names=["doc_id", "n_tokens", "digests", "root", "fresh"],
-                )
+        width = np.dtype("<u2" if enc.full.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4")
+        sent: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in small(batches):
+            ids, bounds = enc.batch(batch.column(1).to_pylist(), end)
+            data = ids.astype(width).tobytes()
+            lists, digests, roots, fresh = [0], [], [], []
+            for start, ends in zip(bounds.tolist(), cut_points(ids, bounds)):
+                a = start
+                for b in ends:
+                    b += start
+                    d = hashlib.sha256(data[a * width.itemsize : b * width.itemsize]).digest()
+                    digests.append(d)
+                    if d not in sent:
+                        sent.add(d)
+                        fresh.append((d, a, b))
+                    a = b
+                roots.append(merkle(digests[lists[-1] :]))
+                lists.append(len(digests))
+            rows = len(roots)
+            ds, ns, payloads, buckets = [], [], [], []
+            for bucket, at in _bucketed([f[0] for f in fresh], n_buckets):
+                mine = [fresh[i] for i in at.tolist()]
+                buckets.append(bucket)
+                ds.append(b"".join(d for d, _, _ in mine))
+                ns.append(np.array([b - a for _, a, b in mine], "<u4").tobytes())
+                payloads.append(pack(b"".join(data[a * width.itemsize : b * width.itemsize] for _, a, b in mine)))
+            if len(sent) > SENT:
+                sent.clear()
+            recipes = [batch.column(0), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(digests, pa.binary())), pa.array(roots, pa.binary())]
+            chunks = [pa.array(buckets, pa.int64()), *(pa.array(x, pa.binary()) for x in (ds, ns, payloads))]
+            names = [c.split()[0] for c in _STAGED.split(", ")]
+            for own, others, count, ahead in ((recipes, chunks, rows, True), (chunks, recipes, len(buckets), False)):
+                nulls = [pa.nulls(count, c.type) for c in others]
+                yield pa.RecordBatch.from_arrays([*own, *nulls] if ahead else [*nulls, *own], names=names)
 
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first row of each digest of a partition."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        digests = batch.column(0).to_pylist()
-        keep = []
-        for d in digests:
-            keep.append(d not in seen)
-            seen.add(d)
-        yield batch.filter(pa.array(keep))
+def _merged(table: pa.Table) -> pa.Table:
+    """The chunks of one bucket, each once."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    digests, sizes = b"".join(table["d"].to_pylist()), np.frombuffer(b"".join(table["n"].to_pylist()), "<u4").astype(np.int64)
+    data = b"".join(map(unpack, table["data"].to_pylist()))
+    width = len(data) // max(1, int(sizes.sum()))
+    upto = np.cumsum(sizes) * width
+    order, first = _index(digests)
+    at = np.sort(order[first])
+    return pa.table({
+        "digest": pa.array([digests[32 * i : 32 * i + 32] for i in at.tolist()], pa.binary()), "n": pa.array(sizes[at].astype(np.int32)),
+        "data": pa.array([data[a:b] for a, b in zip((upto[at] - sizes[at] * width).tolist(), upto[at].tolist())], pa.binary()),
+    })
 
 
-def _placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Adds a part's number and the ids before each document within the part; rows arrive in doc_id order."""
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds a part's number, the place in it and the ids before each document within it; rows arrive in doc_id order."""
     from pyspark import TaskContext
 
-    at, part = 0, TaskContext.get().partitionId()
-    for f in frames:
-        n = f["n_tokens"].to_numpy()
-        yield f.assign(part=np.int32(part), local_start=at + np.cumsum(n) - n)
-        at += int(n.sum())
+    at, row, part = 0, 0, TaskContext.get().partitionId()
+    for b in batches:
+        n = b.column("n_tokens").to_numpy()
+        own = [np.full(len(n), part, np.int32), row + np.arange(len(n)), at + np.cumsum(n) - n]
+        yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, own)], names=[*b.schema.names, "part", "row", "local_start"])
+        at, row = at + int(n.sum()), row + len(n)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> dict:
     """Write a store of ``docs`` (doc_id, text) below ``path``; returns the manifest."""
     spark = docs.sparkSession
-    schema = "doc_id long, n_tokens long, digests array<binary>, root binary, fresh array<struct<digest:binary,n:int,data:binary>>"
-    docs.select("doc_id", "text").mapInArrow(_encoded(tokenizer, end), schema).write.option("compression", "zstd").parquet(f"{path}/staging")
-    staged = spark.read.schema(schema).parquet(f"{path}/staging")
+    docs = docs.select("doc_id", "text")
+    n_buckets = _n_buckets(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
+    docs.mapInArrow(_encoded(tokenizer, end, n_buckets), _STAGED).write.option("compression", "zstd").parquet(f"{path}/staging")
+    staged = spark.read.schema(_STAGED).parquet(f"{path}/staging")
     (
-        staged.select(F.explode("fresh").alias("c")).select("c.*").repartition("digest")
-        .mapInArrow(_once, "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
+        staged.filter("bucket is not null").select("bucket", "d", "n", "data").groupBy("bucket")
+        .applyInArrow(_merged, "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     )
+    recipes = staged.filter("bucket is null").select("doc_id", "n_tokens", "digests", "root")
     (
-        staged.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
-        .mapInPandas(_placed, "doc_id long, n_tokens long, digests array<binary>, root binary, part int, local_start long")
+        recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
+        .mapInArrow(_placed, "doc_id long, n_tokens long, digests array<binary>, root binary, part int, row long, local_start long")
         .write.option("compression", "zstd").parquet(f"{path}/recipes")
     )
     drop_dir(spark, f"{path}/staging")
-    # One row a part, not a document: what comes to the driver does not grow beyond the number of parts.
-    parts = (
-        spark.read.parquet(f"{path}/recipes").groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), _ordered_root().alias("root"))
-        .orderBy("part").toPandas()
-    )
-    parts["start"] = parts["n_tokens"].cumsum() - parts["n_tokens"]
-    spark.createDataFrame(
-        [(int(r.part), int(r.start), int(r.n_docs), int(r.n_tokens), r.root) for r in parts.itertuples()],
-        "part int, start long, n_docs long, n_tokens long, root string",
-    ).coalesce(1).write.parquet(f"{path}/parts")
-    root = merkle([r.encode() for r in parts["root"]]).hex()
-    info = {"tokenizer": tokenizer, "end": end, "n_docs": int(parts["n_docs"].sum()), "n_tokens": int(parts["n_tokens"].sum()), "root": root}
+    parts = _parts(spark.read.parquet(f"{path}/recipes"))
+    spark.createDataFrame(parts, "part int, start long, n_docs long, n_tokens long, root string").coalesce(1).write.parquet(f"{path}/parts")
+    info = {"tokenizer": tokenizer, "end": end, **_totals(parts)}
     spark.createDataFrame([tuple(info.values())], "tokenizer string, end int, n_docs long, n_tokens long, root string").coalesce(1).write.json(f"{path}/manifest")
     return info
 
 
-def _ordered_root():
-    """A part's root, independent of the order rows arrive in: the XOR and sum of its documents' root digests, hashed."""
-    words = [F.conv(F.hex(F.substring("root", 1 + 4 * i, 4)), 16, 10).cast("long") for i in range(8)]
-    return F.sha2(F.concat_ws(",", *[F.bit_xor(F.xxhash64(w, F.col("doc_id"), F.col("local_start"))) for w in words]), 256)
+def _parts(recipes: DataFrame) -> list[tuple[int, int, int, int, str]]:
+    """(part, start, n_docs, n_tokens, root) of each part, from its recipes: one row a part comes to the driver, not a document.
+
+    The root is that of a tree over documents in order; a node has up to ``FAN`` children, so no task holds a whole part.
+    """
+    leaf = F.sha2(F.concat_ws("|", F.hex("root"), "doc_id", "row", "local_start", "n_tokens"), 256)
+    nodes = recipes.select("part", F.col("row").alias("at"), leaf.alias("h"))
+    sums = recipes.groupBy("part").agg(F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.max("row").alias("last"))
+    rows = sorted(sums.collect(), key=lambda r: r["part"])
+    width = max([r["last"] + 1 for r in rows], default=1)
+    while True:
+        nodes = nodes.groupBy("part", F.floor(F.col("at") / FAN).alias("at")).agg(F.sort_array(F.collect_list(F.struct("at", "h"))).alias("c"))
+        nodes = nodes.select("part", "at", F.sha2(F.array_join(F.transform("c", lambda x: F.concat_ws(":", x["at"].cast("string"), x["h"])), ","), 256).alias("h"))
+        width = -(-width // FAN)
+        if width <= 1:
+            break
+    roots = {r["part"]: r["h"] for r in nodes.select("part", "h").collect()}
+    out, start = [], 0
+    for r in rows:
+        out.append((r["part"], start, r["n_docs"], r["n_tokens"], roots[r["part"]]))
+        start += r["n_tokens"]
+    return out
+
+
+def _totals(parts: list[tuple]) -> dict:
+    return {"n_docs": sum(p[2] for p in parts), "n_tokens": sum(p[3] for p in parts), "root": merkle([hashlib.sha256(repr(p).encode()).digest() for p in parts]).hex()}
 
 
 # ---------------------------------------------------------------- reading
 
 
+def _recipes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The recipes with their ``start``, checked against parts and manifest, and the number of buckets for their chunks."""
+    recipes = spark.read.parquet(f"{path}/recipes")
+    parts = _parts(recipes)
+    stored = [tuple(r) for r in spark.read.parquet(f"{path}/parts").select("part", "start", "n_docs", "n_tokens", "root").orderBy("part").collect()]
+    manifest = spark.read.json(f"{path}/manifest").first()
+    if parts != stored:
+        raise ValueError("the recipes do not match the roots and counts of the parts")
+    if any(manifest[k] != v for k, v in _totals(parts).items()):
+        raise ValueError("the parts do not match the manifest")
+    starts = spark.createDataFrame([p[:2] for p in parts], "part int, __at long")  # a row a part
+    placed = recipes.join(F.broadcast(starts), "part").withColumn("start", F.col("__at") + F.col("local_start")).drop("__at")
+    return placed, _n_buckets(2 * manifest["n_tokens"])
+
+
+#: Bytes of a digest by which chunks are asked for.
+KEY = 16
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes recipes on whose digests give their root."""
+    for b in batches:
+        for key, digests, root in zip(b.column("doc_id").to_pylist(), b.column("digests").to_pylist(), b.column("root").to_pylist()):
+            if merkle(digests) != root:
+                raise ValueError(f"the recipe of document {key} does not match its root")
+        yield b
+
+
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """Every document's ids, put together again: (doc_id, ids binary of the chunks' bytes, n_tokens)."""
-    recipes, chunks = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/chunks")
+    recipes, _ = _recipes(spark, path)
+    columns = "doc_id long, part int, row long, n_tokens long, digests array<binary>, root binary"
+    recipes = recipes.select(*[c.split()[0] for c in columns.split(", ")]).mapInArrow(_rooted, columns).drop("root")
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "data")
+    whole = F.sha2("data", 256) == F.lower(F.hex("digest"))
+    found = F.when(whole, F.col("data")).otherwise(F.raise_error(F.concat(F.lit("chunk "), F.lower(F.hex("digest")), F.lit(" is missing or does not match its address"))))
     return (
-        recipes.select("doc_id", "part", "local_start", "n_tokens", F.posexplode("digests").alias("seq", "digest")).join(chunks.select("digest", "data"), "digest")
-        .groupBy("doc_id", "part", "local_start", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("c"))
+        recipes.select("doc_id", "part", "row", "n_tokens", F.posexplode("digests").alias("seq", "digest")).join(chunks, "digest", "left").withColumn("data", found)
+        .groupBy("doc_id", "part", "row", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("c"))
         .select("doc_id", F.aggregate("c", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("ids"), "n_tokens")
     )
 
 
-def _checked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in frames:
-        digests, ns, datas = (batch.column(i).to_pylist() for i in range(3))
-        crcs = []
-        for d, n, data in zip(digests, ns, datas):
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests, lengths and CRCs of chunks whose bytes match their address."""
+    for b in small(batches, 16_384):
+        digests, sizes, datas = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+        crcs = np.empty(len(digests), np.int64)
+        for i, (d, n, data) in enumerate(zip(digests, sizes, datas)):
             if hashlib.sha256(data).digest() != d or len(data) not in (2 * n, 4 * n):
                 raise ValueError(f"chunk {d.hex()} does not match its address")
-            crcs.append(zlib.crc32(np.frombuffer(data, "<u2" if len(data) == 2 * n else "<u4").astype("<u4").tobytes()))
-        yield pa.RecordBatch.from_pydict({"digest": digests, "n": pa.array(ns, pa.int32()), "crc": pa.array(crcs, pa.int64())})
+            crcs[i] = zlib.crc32(np.frombuffer(data, "<u2").astype("<u4").tobytes() if len(data) == 2 * n else data)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs)], names=["digest", "n", "crc"])
+
+
+def _described(n_buckets: int):
+    """What is known of checked chunks, as one row a bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _checked(batches):
+            digests, sizes, crcs = b.column(0).to_pylist(), b.column(1).to_numpy().astype("<u4"), b.column(2).to_numpy().astype("<u4")
+            groups = list(_bucketed(digests, n_buckets))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([g for g, _ in groups], pa.int64()), pa.array([b"".join(digests[i][:KEY] for i in at.tolist()) for _, at in groups], pa.binary()),
+                    pa.array([sizes[at].tobytes() for _, at in groups], pa.binary()), pa.array([crcs[at].tobytes() for _, at in groups], pa.binary()),
+                ],
+                names=["bucket", "d", "n", "crc"],
+            )
+
+    return run
+
+
+#: Documents whose digests are asked for together.
+BLOCK = 2048
+
+
+def _wanted(n_buckets: int):
+    """By block of documents and bucket, the digests that their recipes name."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part, block = b.column("part").to_numpy(), b.column("block").to_numpy()
+            edge = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (block[1:] != block[:-1])))
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), b.num_rows]):
+                names = list({d[:KEY] for row in b.column("digests").slice(lo, hi - lo).to_pylist() for d in row})
+                groups = list(_bucketed(names, n_buckets))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(groups), part[lo], np.int32)), pa.array(np.full(len(groups), block[lo], np.int64)), pa.array([g for g, _ in groups], pa.int64()),
+                        pa.array([b"".join(names[i] for i in at.tolist()) for _, at in groups], pa.binary()),
+                    ],
+                    names=["part", "block", "bucket", "d"],
+                )
+
+    return run
+
+
+def _known(keys: bytes) -> dict[bytes, int]:
+    return {keys[i : i + KEY]: i // KEY for i in range(0, len(keys), KEY)}
+
+
+def _answered(asked: pa.Table, there: pa.Table) -> pa.Table:
+    """Lengths and CRCs of the digests that blocks ask for, from the chunks of their bucket."""
+    have, sizes, crcs = (b"".join(there[c].to_pylist()) for c in ("d", "n", "crc"))
+    known, sizes, crcs = _known(have), np.frombuffer(sizes, "<u4"), np.frombuffer(crcs, "<u4")
+    ns, cs = [], []
+    for d in asked["d"].to_pylist():
+        try:
+            at = [known[d[i : i + KEY]] for i in range(0, len(d), KEY)]
+        except KeyError as e:
+            raise ValueError(f"chunk {e.args[0].hex()} is missing") from None
+        ns.append(sizes[at].tobytes())
+        cs.append(crcs[at].tobytes())
+    return pa.table({"part": asked["part"], "block": asked["block"], "d": asked["d"], "n": pa.array(ns, pa.binary()), "crc": pa.array(cs, pa.binary())})
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Recipes that give their root, with the keys of their chunks joined."""
+    for b in _rooted(batches):
+        keys = pa.array([b"".join(d[:KEY] for d in row) for row in b.column("digests").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([*b.columns[:-2], keys], names=[*b.schema.names[:-2], "keys"])
 
 
-def _joined(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        digests = [[c["digest"] for c in row] for row in f["c"]]
-        for want, row, have, n in zip(f["root"], digests, f["n_chunks"], f["doc_id"]):
-            if len(row) != have or merkle(row) != want:
-                raise ValueError(f"the recipe of document {n} does not match its root")
-        crcs = join_crcs([[c["crc"] for c in row] for row in f["c"]], [[c["n"] for c in row] for row in f["c"]])
-        total = [sum(c["n"] for c in row) for row in f["c"]]
-        yield pd.DataFrame({"doc_id": f["doc_id"], "start": f["start"], "n_tokens": np.array(total, np.int64), "ids_crc32": crcs.astype(np.int64)})
+def _assembled(docs: pa.Table, found: pa.Table) -> pa.Table:
+    """Documents of one block with the number and CRC of their ids."""
+    have, sizes, crcs = (b"".join(found[c].to_pylist()) for c in ("d", "n", "crc"))
+    known, keys, n_tokens = _known(have), docs["keys"].to_pylist(), docs["n_tokens"].to_numpy()
+    at = [known[k[i : i + KEY]] for k in keys for i in range(0, len(k), KEY)]
+    sizes, crcs = np.frombuffer(sizes, "<u4")[at].astype(np.int64), np.frombuffer(crcs, "<u4")[at]
+    bounds = np.cumsum([0, *(len(k) // KEY for k in keys)])
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    if (upto[bounds[1:]] - upto[bounds[:-1]] != n_tokens).any():
+        raise ValueError("a recipe's chunks do not have the document's number of ids")
+    crc = join_crcs(crcs, sizes, bounds)
+    return pa.table({"doc_id": docs["doc_id"], "start": docs["start"], "n_tokens": docs["n_tokens"], "ids_crc32": pa.array(crc.astype(np.int64))})
 
 
 def audit(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; raises where they disagree."""
-    recipes, parts = spark.read.parquet(f"{path}/recipes"), spark.read.parquet(f"{path}/parts")
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "data").mapInArrow(_checked, "digest binary, n int, crc long")
-    placed = recipes.join(F.broadcast(parts.select("part", F.col("start").alias("__at"))), "part")  # a row a part
-    rows = placed.select("doc_id", (F.col("__at") + F.col("local_start")).alias("start"), "root", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("seq", "digest"))
+    recipes, n_buckets = _recipes(spark, path)
+    recipes = recipes.select("doc_id", "part", F.floor(F.col("row") / BLOCK).alias("block"), "start", "n_tokens", "digests", "root")
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "n", "data").mapInArrow(_described(n_buckets), "bucket long, d binary, n binary, crc binary")
+    asked = recipes.select("part", "block", "digests").mapInArrow(_wanted(n_buckets), "part int, block long, bucket long, d binary")
+    answers = asked.groupBy("bucket").cogroup(chunks.groupBy("bucket")).applyInArrow(_answered, "part int, block long, d binary, n binary, crc binary")
+    keyed = recipes.mapInArrow(_keyed, "doc_id long, part int, block long, start long, n_tokens long, keys binary")
     return (
-        rows.join(chunks, "digest")
-        .groupBy("doc_id", "start", "root", "n_chunks").agg(F.sort_array(F.collect_list(F.struct("seq", "digest", "n", "crc"))).alias("c"))
-        .mapInPandas(_joined, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        keyed.groupBy("part", "block").cogroup(answers.groupBy("part", "block"))
+        .applyInArrow(_assembled, "doc_id long, start long, n_tokens long, ids_crc32 long")
     )
 
 
