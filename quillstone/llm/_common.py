@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +46,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back: cuts the lineage for good."""
     path = new_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Remove staged tables that nothing will read again."""
+    for df in frames:
+        drop_dir(df.sparkSession, df.staged_at)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that is not among ``columns``, in any case of letters."""
+    have = {c.lower() for c in columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
 
 
 def drop_dir(spark: SparkSession, path: str) -> None:
@@ -53,6 +72,43 @@ def drop_dir(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Bits of a filter of keys: fixed (2 MB), so all tasks may get it; more keys only mean that it lets more through.
+BITS = 1 << 24
+
+
+def bit_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """Bytes in which bit ``key & (BITS - 1)`` is set for every key."""
+    place = F.pmod(F.col(column), F.lit(BITS)) + 1
+    pages = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    out = np.zeros(BITS >> 3, np.uint8)
+    for r in pages.collect():  # at most 512 rows of 4 KB
+        at = (r["page"] - 1) * 4096
+        out[at : at + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
+# ---------------------------------------------------------------- bounded memory in workers
+
+
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, so that a worker holds few rows as Python objects; freed memory goes back to the system afterwards."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give freed memory back: workers live on between stages, and the allocator would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 # ---------------------------------------------------------------- hashing of words in whole byte buffers
 
 _MASK = (1 << 64) - 1

@@ -1,8 +1,8 @@
 """Near-duplicate detection: a multi-index Hamming join of b-bit MinHash signatures (operator 4).
 
 A document's set holds the hashes of its distinct shingles of ``SHINGLE`` words; two documents are linked
-when 100 * intersection >= percent * union, confirmed on the full sets. The threshold is a parameter
-(85 if not given), from which ``plan`` derives the numbers of chunks and values and ``FAR``; those below are for 85.
+when 100 * intersection >= percent * union, decided on the full sets. The threshold is a parameter
+(85 if not given), from which ``plan`` derives the numbers of chunks and values; those below are for 85.
 
 1. One scan gives each document its set's size, a 64-bit set identity and ``CHUNKS * WIDTH`` MinHash
    values of 16 bits. Documents of equal sets are one node from here on.
@@ -10,82 +10,87 @@ when 100 * intersection >= percent * union, confirmed on the full sets. The thre
    chunk with at most one difference, so each chunk is emitted once for each position left out, and all
    pairs under that signature distance meet in a bucket. At a similarity of exactly 0.85, where the distance
    varies, a pair is missed with probability (1 - 0.717)**8, about 4 in 100 000; at 0.9, 3 in 10 million.
-3. Buckets of up to ``SMALL`` nodes give all their pairs. Larger ones give a star, a number of pairs that
-   grows linearly with the bucket.
-4. Pairs of too different sizes, or with more than ``FAR`` of ``CHECK`` further MinHash values differing, are
-   no links. Of the rest, each node's nearest is confirmed first on the full sets;
-   then those pairs whose ends are not yet in one component.
-5. Members of larger buckets that still lie in different components are compared with each other by their
-   check signatures and, where near, confirmed: so no link between different texts is lost to the stars.
-
-Components come from alternating large-star and small-star steps on the links.
-
-Scale: only signatures, keys and the compressed texts of nodes in a pair are shuffled. Copies collapse by a
-partial aggregate before anything is paired. A bucket with a third of all nodes is split by salt; its
-parts' leaders meet in a second, small round. Nothing about single documents comes to the driver.
+3. A bucket's nodes, sorted by size, fall into runs in which neighbours are not too different in size for a link.
+   Each run gives a star: so buckets give as many edges as they have members, not their square, and
+   the components of these edges (clusters) hold every pair that met.
+4. Within a cluster all nodes are compared on their full sets, by an inverted index of their shingles: counts of
+   shared shingles are sums over shingles, frequent ones as matrix products, rare ones by their postings. Of the links
+   found only a spanning forest leaves the task, so no non-link and no further link is ever a row.
+   Clusters beyond ``NODES`` nodes or ``TOKENS`` shingles are cut into parts: each part is compared in itself; scouts
+   of the parts' largest components with each other; then what is still outside the cluster's largest
+   component with all parts. Each is a task of two parts at most.
+
+Components of clusters and of links come from alternating large-star and small-star steps.
+
+Scale: keys (24 bytes each) and the texts of nodes in clusters are shuffled. Copies collapse by a partial
+aggregate before anything is paired, and rows of texts with very many copies get their result by a broadcast of at
+most ``HOT`` rows. A bucket with a third of all nodes is split by salt; its parts' runs meet in a
+second, small round. Nothing about single documents comes to the driver. The comparison within a cluster that is not
+linked up grows with the square of its nodes, in arithmetic but not in rows; texts that are linked are compared
+once a part.
 
 Defined results: words are separated by space, tab, line feed, vertical tab, form feed and carriage
 return; A-Z are lower-cased. With fewer words than a shingle the whole sequence is one shingle. Null,
-empty and blank texts have no shingles, are linked with nothing and kept. Of repeated doc_ids the rows
-are judged each by its own text, and share what their texts give.
+empty and blank texts have no shingles, are linked with nothing and kept; very long ones are compared whole. Of
+repeated doc_ids the rows are judged each by its own text. A null doc_id is never a component's if another of it
+is known; where it is the row's own, the row is kept. doc_id may be of any type with an order; other columns are not read.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._common import NOT_SPACE, Words, as_signed, blocks, mix, staged
+from ._common import NOT_SPACE, Words, as_signed, blocks, drop_staged, mix, small, staged
 
 SHINGLE = 5
 PERCENT = 85
 #: Most MinHash values of 16 bits, each of which is left out of one key, and how often a pair at the threshold may have no key in common.
 MOST_VALUES, MISSED = 60, 5e-5
-#: One-byte MinHash values, of other seeds, that tell pairs apart before full sets are compared.
-CHECK = 256
 
 
 class Plan(NamedTuple):
-    """What follows from the threshold: the keys' chunks and their width, and how many check values may differ."""
+    """What follows from the threshold: the keys' chunks and their width."""
 
     percent: int
     chunks: int
     width: int
-    far: int
 
 
 def plan(percent: int) -> Plan:
-    """The longest chunks with which at most ``MOST_VALUES`` values miss fewer than ``MISSED`` of the pairs at the
-    threshold; FAR is five standard deviations above the mean there."""
+    """The longest chunks with which at most ``MOST_VALUES`` values miss fewer than ``MISSED`` of the pairs at the threshold."""
     if not 0 < percent <= 100:
         raise ValueError("the similarity is a whole number of per cent from 1 to 100")
     j = percent / 100
-    d = (1 - j) * 255 / 256
-    far = min(CHECK, math.ceil(CHECK * d + 5 * math.sqrt(CHECK * d * (1 - d))))
     for width in range(7, 1, -1):
         meet = j**width + width * j ** (width - 1) * (1 - j)
         chunks = 1 if meet >= 1 else math.ceil(math.log(MISSED) / math.log(1 - meet))
         if chunks * width <= MOST_VALUES:
-            return Plan(percent, chunks, width, far)
+            return Plan(percent, chunks, width)
     raise ValueError(f"{MOST_VALUES} values are too few for a similarity of {percent} %")
 
 
 PLAN = plan(PERCENT)
-CHUNKS, WIDTH, FAR = PLAN.chunks, PLAN.width, PLAN.far
+CHUNKS, WIDTH = PLAN.chunks, PLAN.width
 VALUES = CHUNKS * WIDTH
-SMALL = 6
 #: Nodes of one part of a salted bucket, if a third of all nodes shared it (24 bytes each).
 PART = 2_000_000
-
-_SEEDS = mix(np.arange(1, MOST_VALUES + CHECK + 1, dtype=np.uint64)) | np.uint64(1)
+#: Nodes and shingles of one part of a cluster, and members of its largest component that are compared with other parts'.
+NODES, TOKENS, SCOUTS = 4096, 1 << 20, 32
+#: Bits of the filter for documents whose texts are compared.
+BITS = 1 << 24
+#: A text with more than one in so many rows is looked up by broadcast; there are at most so many of them.
+HOT = 1000
+
+_SEEDS = mix(np.arange(1, MOST_VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _STEPS = mix(np.arange(2001, 2001 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -116,35 +121,42 @@ def set_identity(s: np.ndarray) -> int:
         return int(as_signed(mix(np.array([s.sum() * np.uint64(0x2545F4914F6CDD1D) + a + np.uint64(len(s))], np.uint64)))[0])
 
 
-def signature(s: np.ndarray, values: int = VALUES) -> tuple[bytes, bytes]:
-    """MinHash values: 16 bits each for the keys, 8 bits each for the check."""
+def signature(s: np.ndarray, values: int = VALUES) -> bytes:
+    """MinHash values of 16 bits."""
     with np.errstate(over="ignore"):
-        least = np.full(values + CHECK, np.iinfo(np.uint64).max, np.uint64)
-        for at in range(0, len(s), 1024):
-            np.minimum(least, (s[at : at + 1024, None] * _SEEDS[None, : values + CHECK]).min(axis=0), out=least)
-        least = mix(least)
-    return (least[:values] >> np.uint64(48)).astype("<u2").tobytes(), (least[values:] >> np.uint64(56)).astype(np.uint8).tobytes()
+        least = np.full(values, np.iinfo(np.uint64).max, np.uint64)
+        for at in range(0, len(s), 4096):
+            np.minimum(least, (s[None, at : at + 4096] * _SEEDS[:values, None]).min(axis=1), out=least)
+        return (mix(least) >> np.uint64(48)).astype("<u2").tobytes()
 
 
 def _described(values: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, ids, sigs, checks = [], [], [], []
-            for _, parts in blocks(batch.column(1).to_pylist()):
+        for batch in small(batches):
+            sizes, ids, sigs = [], [], []
+            for _, parts in blocks(batch.column(2).to_pylist()):
                 for s in shingle_sets(parts):
                     sizes.append(len(s))
                     ids.append(set_identity(s) if len(s) else None)
-                    sig, check = signature(s, values) if len(s) else (None, None)
-                    sigs.append(sig)
-                    checks.append(check)
+                    sigs.append(signature(s, values) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(checks, pa.binary())],
-                names=["doc_id", "n_shingles", "sid", "sig", "check"],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())],
+                names=["doc_id", "text_hash", "n_shingles", "sid", "sig"],
             )
 
     return run
 
 
+def describe(docs: DataFrame, values: int = VALUES) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, sid, sig) of ``docs`` (doc_id, text); the last two are null without shingles."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(_described(values), f"doc_id {kind}, text_hash long, n_shingles long, sid long, sig binary")
+
+
+# ---------------------------------------------------------------- buckets and clusters
+
+
 def _keys(n_salts: int, of: Plan = PLAN):
     """(key, salt, sid, n) for each chunk and each position left out of it."""
 
@@ -170,165 +182,90 @@ def _keys(n_salts: int, of: Plan = PLAN):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[list[np.ndarray]]:
-    """Whole groups of rows with equal leading columns, from sorted batches: (first row of each group, columns)."""
-    held: list[np.ndarray] | None = None
+def _groups(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[pa.Table]:
+    """Whole groups of rows with equal leading columns, from sorted batches; a table may hold several."""
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate([a, b]) for a, b in zip(held, columns)]
-        last = np.ones(len(columns[0]), bool)
-        for c in columns[:key_columns]:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        last = np.ones(table.num_rows, bool)
+        for c in table.columns[:key_columns]:
+            c = c.to_numpy()
             last &= c == c[-1]
         cut = len(last) - (len(last) if last.all() else int(np.argmin(last[::-1])))
         if cut:
-            yield [c[:cut] for c in columns]
-        held = [c[cut:] for c in columns]
+            yield table.slice(0, cut)
+        held = table.slice(cut)
     if held is not None:
         yield held
 
 
-def _paired(final: bool, percent: int):
-    """From rows sorted by key: pairs of a bucket, memberships of large buckets, and (unless final) each part's leader."""
+_EDGES = "kind int, key long, a long, b long, lo int, hi int"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, salt, sid, n in _groups(batches, 2):
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
-            first = np.flatnonzero(new)
-            size = np.diff(np.append(first, len(key)))
-            leader = np.repeat(first, size)
-            at = np.arange(len(key))
-            a, b, rows_key, rows_sid = [], [], [], []
-            star = at[at > leader]
-            a.append(leader[star])
-            b.append(star)
-            small = np.repeat(size, size) <= SMALL
-            for gap in range(1, SMALL):  # the other pairs of small buckets
-                x = at[small & (at - gap > leader)]
-                a.append(x - gap)
-                b.append(x)
-            a, b = np.concatenate(a), np.concatenate(b)
-            near = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-            a, b = a[near & (sid[a] != sid[b])], b[near & (sid[a] != sid[b])]
-            pair = np.unique(np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])]), axis=1)
-            big = np.flatnonzero(~small)
-            rows_key, rows_sid = key[big], sid[big]
-            lead = first if not final else first[:0]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(np.array([0, 1, 2], np.int32), [pair.shape[1], len(big), len(lead)])),
-                    pa.array(np.concatenate([np.zeros(pair.shape[1], np.int64), rows_key, key[lead]])),
-                    pa.array(np.concatenate([pair[0], rows_sid, sid[lead]])),
-                    pa.array(np.concatenate([pair[1], rows_sid, sid[lead]])),
-                    pa.array(np.concatenate([np.zeros(pair.shape[1], np.int32), n[big], n[lead]])),
-                ],
-                names=["kind", "key", "a", "b", "n"],
-            )
 
-    return run
+def _edges(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *map(pa.array, (key, a, b, lo, hi))], names=[c.split()[0] for c in _EDGES.split(", ")])
 
 
-_PAIRED = "kind int, key long, a long, b long, n int"
+def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Distinct edges, smaller end first."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new &= a != b
+    none = np.zeros(int(new.sum()), np.int32)
+    return _edges(0, none.astype(np.int64), a[new], b[new], none, none)
 
 
-def _candidates(nodes: DataFrame, part: int = PART, of: Plan = PLAN) -> tuple[DataFrame, DataFrame]:
-    """(pairs a < b, memberships key/sid of large buckets) of the multi-index join."""
-    n_salts = max(1, -(-nodes.count() // (3 * part)))
-    keys = nodes.select("sid", "n", "sig").mapInArrow(_keys(n_salts, of), "key long, salt int, sid long, n int")
-    found = staged(keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(n_salts == 1, of.percent), _PAIRED), "buckets")
-    pairs, members = found.filter("kind = 0").select("a", "b"), found.filter("kind = 1").select("key", F.col("a").alias("sid"))
-    if n_salts > 1:
-        leaders = found.filter("kind = 2").select("key", F.lit(0).alias("salt"), F.col("a").alias("sid"), "n")
-        upper = staged(leaders.repartition("key").sortWithinPartitions("key", "salt", "sid").mapInArrow(_paired(True, of.percent), _PAIRED), "leaders")
-        pairs = pairs.unionAll(upper.filter("kind = 0").select("a", "b"))
-        # Of a bucket with several parts, all members count as those of a large one.
-        split = leaders.groupBy("key").count().filter("count > 1").select("key")
-        parts = upper.filter("kind = 1").select("key").unionAll(split).distinct()
-        members = members.unionAll(keys.join(parts, "key", "left_semi").select("key", "sid")).distinct()
-    return pairs.distinct(), members
-
-
-@F.pandas_udf(T.IntegerType())
-def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Differing values of two check signatures."""
-    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, CHECK) for c in (a, b))
-    return pd.Series((x != y).sum(axis=1).astype(np.int32))
-
-
-def _confirmed(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
+def _runs(final: bool, percent: int):
+    """From rows sorted by key, salt and size: a star for each run of sizes (kind 0) and, unless final, each run's leader and sizes (kind 1)."""
 
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                s, t = shingle_sets([unpack.decompress(x), unpack.decompress(y)])
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * shared >= percent * (len(s) + len(t) - shared))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keep)], names=["a", "b", "ok"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, 2):
+            key, salt, sid, n = (c.to_numpy() for c in table.columns)
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64))
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(key)))
+            leader = np.minimum.reduceat(sid, first)
+            yield _stars(np.repeat(leader, size), sid)
+            if not final:
+                yield _edges(1, key[first], leader, leader, n[first], n[first + size - 1])
 
     return run
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs that are links, by their full sets."""
-    t = texts.select("sid", "z")
-    return (
-        pairs.join(t.withColumnsRenamed({"sid": "b", "z": "zb"}), "b").join(t.withColumnsRenamed({"sid": "a", "z": "za"}), "a")
-        .select("a", "b", "za", "zb").mapInArrow(_confirmed(percent), "a long, b long, ok boolean").filter("ok").select("a", "b")
-    )
-
-
-def _packed(bits: np.ndarray):
-    """(sid, z) of the documents whose id's bit is set; ids that share a bit only cost a row."""
+def _joined_runs(percent: int):
+    """Stars between the runs of a key's salts, from rows (key, lo, hi, a) sorted by key and lo."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        pack = zstandard.ZstdCompressor(level=3)
-        mask = np.uint64(len(bits) * 8 - 1)
-        for batch in batches:
-            h = (mix(np.array(batch.column(0).fill_null(0).to_pylist(), np.int64).view(np.uint64)) & mask).astype(np.int64)
-            rows = np.flatnonzero(bits[h >> 3] >> (h & 7).astype(np.uint8) & 1)
-            texts = batch.column(1).take(pa.array(rows)).to_pylist()
-            sids, zs = [], []
-            for _, parts in blocks(texts):
-                for p, s in zip(parts, shingle_sets(parts)):
-                    if len(s):
-                        sids.append(set_identity(s))
-                        zs.append(pack.compress(p))
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array(zs, pa.binary())], names=["sid", "z"])
+        for table in _groups(batches, 1):
+            key, lo, hi, a = (c.to_numpy() for c in table.columns)
+            own = np.cumsum(np.append(False, key[1:] != key[:-1]))
+            upto = np.maximum.accumulate(hi + own * (1 << 32)) - own * (1 << 32)  # the largest size of a key's runs so far
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (100 * upto[:-1] < percent * lo[1:].astype(np.int64))
+            first = np.flatnonzero(new)
+            leader = np.minimum.reduceat(a, first)
+            yield _stars(np.repeat(leader, np.diff(np.append(first, len(key)))), a)
 
     return run
 
 
-#: Bits of the filter for documents whose text is needed: fixed, so what tasks get is bounded; more documents only mean more rows that the join drops.
-FILTER_BITS = 1 << 24
-
-
-def _bit_filter(ids: DataFrame) -> np.ndarray:
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(FILTER_BITS >> 3, np.uint8)
-        for batch in batches:
-            h = (mix(np.array(batch.column(0).fill_null(0).to_pylist(), np.int64).view(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            np.bitwise_or.at(bits, h >> 3, np.uint8(1) << (h & 7).astype(np.uint8))
-        pages = bits.reshape(-1, 4096)
-        some = np.flatnonzero(pages.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([pages[i].tobytes() for i in some], pa.binary())], names=["page", "bits"])
-
-    def merge(key, pdf):
-        return pdf.iloc[:1].assign(bits=[np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()])
-
-    bits = np.zeros((FILTER_BITS >> 15, 4096), np.uint8)
-    marked = ids.mapInArrow(mark, "page int, bits binary").groupBy("page").applyInPandas(merge, "page int, bits binary")
-    for row in marked.toLocalIterator():  # at most FILTER_BITS / 8 bytes in all
-        bits[row["page"]] = np.frombuffer(row["bits"], np.uint8)
-    return bits.reshape(-1)
+def _met(nodes: DataFrame, part: int, of: Plan) -> DataFrame:
+    """Edges (a, b) whose components hold every pair of nodes that share a bucket and are not too different in size."""
+    n_salts = max(1, -(-nodes.count() // (3 * part)))
+    keys = nodes.select("sid", "n", "sig").mapInArrow(_keys(n_salts, of), "key long, salt int, sid long, n int")
+    found = keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "n").mapInArrow(_runs(n_salts == 1, of.percent), _EDGES)
+    if n_salts == 1:
+        return found.select("a", "b")
+    found = staged(found, "runs")
+    runs = found.filter("kind = 1").select("key", "lo", "hi", "a").repartition("key").sortWithinPartitions("key", "lo")
+    return found.filter("kind = 0").select("a", "b").unionAll(runs.mapInArrow(_joined_runs(of.percent), _EDGES).select("a", "b"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -340,103 +277,234 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = staged(small.filter("u <> v").distinct(), "edges")
+        small_star = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
+        before, edges = edges, staged(small_star.filter("u <> v").distinct(), "edges")
+        drop_staged(before)
         now = edges.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if now == state:
             break
         state = now
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).distinct()
+    # A star: every node has one edge, to its label.
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionAll(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+# ---------------------------------------------------------------- links within a cluster
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``."""
+    of_a, of_b = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    known, token = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    in_a, in_b = token[: len(of_a)], token[len(of_a) :]
+    n_a, n_b = np.bincount(in_a, minlength=len(known)), np.bincount(in_b, minlength=len(known))
+    work = n_a * n_b
+    often = work * 64 >= len(a) * len(b)  # there a matrix product is cheaper than going through the postings
+    out = np.zeros((len(a), len(b)), np.float32)
+    often &= work > 0
+    place = np.full(len(known), -1)
+    columns = np.flatnonzero(often)
+    for at in range(0, len(columns), 4096):
+        some = columns[at : at + 4096]
+        place[some] = np.arange(len(some))
+        x, y = (np.zeros((len(s), len(some)), np.float32) for s in (a, b))
+        for matrix, rows, tokens in ((x, of_a, in_a), (y, of_b, in_b)):
+            here = place[tokens] >= 0
+            matrix[rows[here], place[tokens[here]]] = 1
+        out += x @ y.T
+        place[some] = -1
+    rest = np.flatnonzero((work > 0)[in_a] & ~often[in_a])
+    order = np.argsort(in_b, kind="stable")
+    start = np.cumsum(n_b) - n_b
+    reps = n_b[in_a[rest]]
+    upto = np.cumsum(reps)
+    at = 0
+    while at < len(rest):  # about four million postings at a time
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (4 << 20), "right")))
+        r, tokens = reps[at:end], in_a[rest[at:end]]
+        inner = np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
+        code = np.repeat(of_a[rest[at:end]] * len(b), r) + of_b[order[np.repeat(start[tokens], r) + inner]]
+        pair, n = np.unique(code, return_counts=True)
+        out.reshape(-1)[pair] += n
+        at = end
+    return out
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
-    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-    return both.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def spanning(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of links that connect all that ``linked`` connects: a forest, breadth first."""
+    rows, cols = [], []
+    new_a, new_b = linked.any(axis=1), linked.any(axis=0)
+    for s in np.flatnonzero(new_a).tolist():
+        if not new_a[s]:
+            continue
+        new_a[s] = False
+        front = np.array([s])
+        while len(front):
+            some = linked[front]
+            to = np.flatnonzero(some.any(axis=0) & new_b)
+            if not len(to):
+                break
+            new_b[to] = False
+            rows.append(front[some[:, to].argmax(axis=0)])
+            cols.append(to)
+            some = linked[:, to]
+            front = np.flatnonzero(some.any(axis=1) & new_a)
+            new_a[front] = False
+            rows.append(front)
+            cols.append(to[some[front].argmax(axis=1)])
+    return (np.concatenate(rows), np.concatenate(cols)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def links_between(a: list[np.ndarray], b: list[np.ndarray], percent: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of linked sets in ``a`` and ``b`` that connect all links; with ``same``, ``b`` is ``a`` and no set is linked to itself."""
+    shared = shared_counts(a, b)
+    n_a, n_b = (np.array([len(s) for s in x], np.float32) for x in (a, b))
+    linked = np.empty(shared.shape, bool)
+    for at in range(0, len(a), 256):  # whole numbers below 2**24 are exact here
+        c = shared[at : at + 256]
+        linked[at : at + 256] = (100 + percent) * c.astype(np.float64) >= percent * (n_a[at : at + 256, None] + n_b[None, :]).astype(np.float64)
+    if same:
+        np.fill_diagonal(linked, False)
+    return spanning(linked)
+
+
+def _once(batches: Iterator[pa.RecordBatch], key_columns: int) -> Iterator[pa.RecordBatch]:
+    """Drops rows whose leading columns repeat those of the row before."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            new = np.zeros(batch.num_rows, bool)
+            for k, c in enumerate(batch.columns[:key_columns]):
+                c = c.to_numpy()
+                new[1:] |= c[1:] != c[:-1]
+                new[0] |= last is None or c[0] != last[k]
+            last = [c[-1].as_py() for c in batch.columns[:key_columns]]
+            yield batch.filter(pa.array(new))
 
 
-def _crossed(of: Plan):
-    """Near pairs of different components within each bucket; rows: key, sid, label, n, check, sorted by key.
+def _linked(percent: int):
+    """A spanning forest of the links of each comparison, from rows (cluster, i, j, side, sid, text) sorted by the first five.
 
-    Members of a bucket's largest component are only compared with the others.
+    Rows of side 1 are compared with those of side 2, and those of side 0 among each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, sid, label, n, check in _groups(batches, 1):
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-            for lo, hi in zip(new, np.append(new[1:], len(key))):
-                labels, count = np.unique(label[lo:hi], return_counts=True)
-                order = lo + np.argsort(label[lo:hi] == labels[np.argmax(count)], kind="stable")  # the largest component last
-                s = np.frombuffer(b"".join(check[order]), np.uint8).reshape(-1, CHECK)
-                l, m, ids = label[order], n[order].astype(np.int64), sid[order]
-                minor = len(l) - int(count.max())
-                step = max(1, (16 << 20) // (CHECK * len(l)))
-                for at in range(0, minor, step):
-                    i = np.arange(at, min(at + step, minor))[:, None]
-                    j = np.arange(at + 1, len(l))[None, :]
-                    fit = (j > i) & (l[i] != l[j]) & (100 * np.minimum(m[i], m[j]) >= of.percent * np.maximum(m[i], m[j]))
-                    x, y = np.nonzero(fit)
-                    x, y = i[x, 0], j[0, y]
-                    near = np.concatenate([(s[x[k : k + 65536]] != s[y[k : k + 65536]]).sum(axis=1) <= of.far for k in range(0, len(x), 65536)] or [np.zeros(0, bool)])
-                    a, b = ids[x[near]], ids[y[near]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for table in _groups(_once(small(batches), 5), 3):
+            cluster, i, j, side, sid = (c.to_numpy() for c in table.columns[:5])
+            sets = [s for _, parts in blocks(table.column(5).to_pylist()) for s in shingle_sets(parts)]
+            edge = np.flatnonzero(np.append(True, (cluster[1:] != cluster[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            out_a, out_b = [], []
+            for lo, hi in zip(edge.tolist(), [*edge[1:].tolist(), len(sid)]):
+                own = np.arange(lo, hi)
+                a, b = own[side[own] != 2], own[side[own] != 1]
+                if len(a) and len(b):
+                    x, y = links_between([sets[k] for k in a], [sets[k] for k in b], percent, bool((side[own] == 0).all()))
+                    out_a.append(sid[a[x]])
+                    out_b.append(sid[b[y]])
+            if out_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
     return run
 
 
-def describe(docs: DataFrame, values: int = VALUES) -> DataFrame:
-    """(doc_id, n_shingles, sid, sig, check) of ``docs`` (doc_id, text); the last three are null without shingles."""
-    return docs.select("doc_id", "text").mapInArrow(_described(values), "doc_id long, n_shingles long, sid long, sig binary, check binary")
+_ROWS = ("cluster", "i", "j", "side", "sid", "text")
+
+
+def _compared(rows: DataFrame, percent: int) -> DataFrame:
+    return rows.select(*_ROWS).repartition("cluster", "i", "j").sortWithinPartitions(*_ROWS[:5]).mapInArrow(_linked(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, part: int = PART, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of ``docs`` (doc_id, text), linked from a similarity of ``percent`` on."""
+def _marked(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``rep`` shares its bit with that of a member: few others than the members' own.
+
+    The bits have a fixed size (2 MB), so all tasks may get them; more members than bits only mean more rows for the join to drop.
+    """
+    place = lambda: F.pmod(F.xxhash64("rep"), F.lit(BITS))
+    bits = members.select(place().alias("p")).groupBy(F.bitmap_bucket_number("p").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    rows = docs.withColumn("p", place()).join(F.broadcast(bits), F.bitmap_bucket_number("p") == F.col("page"))
+    at = F.bitmap_bit_position("p")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.filter(F.call_function("getbit", byte, (at % 8).cast("int")) == 1).select(*docs.columns)
+
+
+def _links(docs: DataFrame, nodes: DataFrame, clusters: DataFrame, percent: int, most: tuple[int, int]) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) whose components are those of all links within clusters (node, label), and the staged tables behind them."""
+    members = clusters.select(F.col("node").alias("sid"), F.col("label").alias("cluster")).join(nodes.select("sid", "rep", "n"), "sid")
+    parts = F.greatest(F.ceil(F.count("*") / most[0]), F.ceil(F.sum("n") / most[1])).cast("int")
+    members = staged(members.join(members.groupBy("cluster").agg(parts.alias("parts")), "cluster").withColumn("part", F.pmod(F.hash("sid"), F.col("parts"))), "members")
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", F.xxhash64("text").alias("text_hash"))
+    texts = _marked(docs.select(own.alias("rep"), "text"), members)
+    with_text = lambda some: texts.join(some.hint("merge"), "rep")
+    zero = F.lit(0)
+    links = [staged(_compared(with_text(members).select("*", F.col("part").alias("i"), F.col("part").alias("j"), zero.alias("side")), percent), "links")]
+    big = members.filter("parts > 1")
+    if not big.isEmpty():
+        label = lambda: components(reduce(DataFrame.unionAll, links))
+        named = big.join(label().withColumnsRenamed({"node": "sid", "label": "own"}), "sid", "left").withColumn("own", F.coalesce("own", "sid"))
+        largest = Window.partitionBy("cluster", "part").orderBy(F.desc("m"), "own")
+        top = named.groupBy("cluster", "part", "own").agg(F.count("*").alias("m")).withColumn("k", F.row_number().over(largest)).filter("k = 1").select("cluster", "part", "own")
+        first = Window.partitionBy("cluster", "part").orderBy("sid")
+        scouts = named.join(top, ["cluster", "part", "own"]).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= SCOUTS)
+        group = F.floor(F.col("part") / max(2, most[0] // SCOUTS)).cast("int")
+        links.append(staged(_compared(with_text(scouts.select("sid", "rep", "cluster", group.alias("i"))).select("*", F.lit(-1).alias("j"), zero.alias("side")), percent), "links"))
+        named = staged(big.join(label().withColumnsRenamed({"node": "sid", "label": "own"}), "sid", "left").withColumn("own", F.coalesce("own", "sid")), "named")
+        top = named.groupBy("cluster", "own").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("own", F.struct("m", "own")).alias("most"))
+        named = named.join(top, "cluster").withColumn("outside", F.col("own") != F.col("most"))
+        # Nodes outside the largest component, dealt to as few parts as hold them, meet all parts.
+        out = named.filter("outside").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / most[0]), F.ceil(F.sum("n") / most[1])).cast("int").alias("groups"))
+        named = named.join(out, "cluster")
+        rest = named.filter("outside").select("sid", "rep", "cluster", F.pmod(F.hash("sid", zero), F.col("groups")).alias("i"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("j"), F.lit(1).alias("side"))
+        whole = named.select("sid", "rep", "cluster", F.explode(F.sequence(zero, F.col("groups") - 1)).alias("i"), F.col("part").alias("j"), F.lit(2).alias("side"))
+        links.append(staged(_compared(with_text(rest.unionAll(whole)), percent), "links"))
+    return reduce(DataFrame.unionAll, links), [members, *links]
+
+
+# ---------------------------------------------------------------- results
+
+
+def near_duplicates(docs: DataFrame, part: int = PART, percent: int = PERCENT, most: tuple[int, int] = (NODES, TOKENS)) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, kept, chosen) of ``docs`` (doc_id, text), linked from a similarity of ``percent`` on.
+
+    ``kept`` says that the row has its class's smallest doc_id. ``text_hash`` is Spark's xxhash64 of the text: with doc_id it
+    tells rows apart, and ``chosen`` is true for one such pair of each class, even where doc_ids repeat or are null.
+    """
     how = plan(percent)
+    docs = docs.select("doc_id", "text")
     about = staged(describe(docs, how.chunks * how.width), "signatures")
+    rep = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
     nodes = staged(
-        about.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("n_shingles").cast("int").alias("n"), F.min("sig").alias("sig"), F.min("check").alias("check")), "nodes"
+        about.filter("sid is not null").groupBy("sid")
+        .agg(F.min(rep).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").cast("int").alias("n"), F.first("sig").alias("sig")), "nodes"
     )
-    pairs, members = _candidates(nodes, part, how)
-    of = lambda c: nodes.select(F.col("sid").alias(c), F.col("check").alias(f"s{c}"), F.col("doc_id").alias(f"d{c}"))
-    near = staged(
-        pairs.join(of("a"), "a").join(of("b"), "b").withColumn("far", _distance("sa", "sb")).filter(f"far <= {how.far}").select("a", "b", "far", "da", "db"), "near"
-    )
-    wanted = near.select(F.explode(F.array("da", "db")).alias("doc_id")).unionAll(members.join(nodes, "sid").select("doc_id")).distinct()
-    texts = docs.select("doc_id", "text").mapInArrow(_packed(_bit_filter(wanted)), "sid long, z binary")
-    texts = staged(texts.join(wanted_nodes(near, members), "sid").groupBy("sid").agg(F.first("z").alias("z")), "texts")
-    nearest = near.groupBy("b").agg(F.min_by("a", F.struct("far", "a")).alias("a")).select("a", "b")
-    links = staged(_confirm(nearest, texts, percent), "links")
-    labels = components(links)
-    rest = _apart(near.select("a", "b"), labels).join(nearest, ["a", "b"], "left_anti")
-    links = links.unionAll(staged(_confirm(rest, texts, percent), "links"))
-    labels = components(links)
-    own = F.coalesce("label", "sid").alias("label")
-    placed = members.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("key", "sid", own)
-    mixed = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    crossed = (
-        placed.join(mixed, "key").join(nodes.select("sid", "n", "check"), "sid").select("key", "sid", "label", "n", "check")
-        .repartition("key").sortWithinPartitions("key", "sid").mapInArrow(_crossed(how), "a long, b long").distinct()
-    )
-    extra = staged(_confirm(crossed.join(near.select("a", "b"), ["a", "b"], "left_anti"), texts, percent), "links")
-    if not extra.isEmpty():
-        labels = components(links.unionAll(extra))
-    return _labelled(about, nodes, staged(labels, "labels"))
-
-
-def wanted_nodes(near: DataFrame, members: DataFrame) -> DataFrame:
-    return near.select(F.explode(F.array("a", "b")).alias("sid")).unionAll(members.select("sid")).distinct()
-
-
-def _labelled(about: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    smallest = (
-        nodes.select("sid", "doc_id").join(labels.withColumnRenamed("node", "sid"), "sid").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        .join(labels, "label").select(F.col("node").alias("sid"), "component_id")
+    clusters = staged(components(_met(nodes, part, how)), "clusters")
+    links, made = _links(docs, nodes, clusters, percent, most)
+    labels = staged(components(links), "labels")
+    classes = staged(_classes(nodes, labels), "classes")
+    drop_staged(*made, clusters, labels, nodes)
+    return _labelled(about, classes)
+
+
+def _classes(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sid, copies, first) of every node; ``first`` (unknown, doc_id, text_hash) is its class's smallest row, known doc_ids before null."""
+    named = nodes.select("sid", "copies", "rep").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    return named.join(named.groupBy("label").agg(F.min("rep").alias("first")), "label").select("sid", "copies", "first")
+
+
+def _labelled(about: DataFrame, of_node: DataFrame) -> DataFrame:
+    """A row for each of ``about``."""
+    n = about.count()
+    hot = of_node.filter(F.col("copies") * HOT > n).select(F.col("sid").alias("hot_sid"), F.col("first").alias("hot_first"))  # fewer than HOT rows
+    found = about.drop("sig").join(F.broadcast(hot), F.col("sid") == F.col("hot_sid"), "left")
+    # A row that has its result already, or has no set, takes any place in the shuffle.
+    key = F.when(F.col("hot_sid").isNull() & F.col("sid").isNotNull(), F.col("sid")).otherwise(F.xxhash64("doc_id", "text_hash"))
+    cold = of_node.filter(F.col("copies") * HOT <= n).select(F.col("sid").alias("key"), F.col("sid").alias("cold_sid"), F.col("first").alias("cold_first"))
+    found = found.withColumn("key", key).join(cold, "key", "left")
+    own = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")
+    first = F.when(F.col("hot_sid").isNotNull(), F.col("hot_first")).when(F.col("cold_sid") == F.col("sid"), F.col("cold_first")).otherwise(own)
+    found = found.select("doc_id", "text_hash", "n_shingles", own.alias("own"), first.alias("first"))
+    return found.select(
+        "doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("first.doc_id")).alias("kept"), (F.col("own") == F.col("first")).alias("chosen"),
     )
-    of_node = nodes.select("sid", "doc_id").join(smallest, "sid", "left").select("sid", F.coalesce("component_id", "doc_id").alias("component_id"))
-    found = about.select("doc_id", "n_shingles", "sid").join(of_node, "sid", "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=85).drop("text_hash", "chosen")

@@ -109,7 +109,7 @@ def test_token_counts_equal_a_plain_search(spark):
 # ---------------------------------------------------------------- 4
 
 
-def _brute(texts):
+def _brute(texts, percent=85):
     sets = []
     for t in texts:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
@@ -120,7 +120,7 @@ def _brute(texts):
         changed = False
         for i, a in enumerate(sets):
             for j, b in enumerate(sets[:i]):
-                if a and b and label[i] != label[j] and 100 * len(a & b) >= 85 * len(a | b):
+                if a and b and label[i] != label[j] and 100 * len(a & b) >= percent * len(a | b):
                     label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
                     changed = True
     return {i: (len(s), label[i]) for i, s in enumerate(sets)}
@@ -143,7 +143,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_near_duplicates_at_other_thresholds(spark, monkeypatch):
-    assert near_dedup.plan(85) == (85, 8, 7, 67) and near_dedup.plan(80) == (80, 10, 6, 83)
+    assert near_dedup.plan(85) == (85, 8, 7) and near_dedup.plan(80) == (80, 10, 6)
     rng = random.Random(14)
     texts = []
     for n in range(40, 240, 10):  # pairs that differ in one run of words: similarities about 0.70 to 0.95
@@ -346,8 +346,8 @@ def test_toxicity_tells_all_words_apart(spark, monkeypatch):
     words = [f"n{i}x" for i in range(20_000)]
     texts = [" ".join(words[k : k + 100]) for k in range(0, len(words), 100)]
     rows = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, toxic int")
-    counted = rows.mapInArrow(toxicity._count, "word long, stem long, rest long, ordinary long, toxic long")
-    assert counted.select("word").distinct().count() == len(words)  # a table of 2**20 buckets loses about 190
+    counted = rows.mapInArrow(toxicity._count, toxicity._COUNTS).filter("kind = 0")
+    assert counted.select("key").distinct().count() == len(words)  # a table of 2**20 buckets loses about 190
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int")
     docs = documents(spark, [*texts, None, "", "never seen", LONG])
     few = toxicity.fit(docs, labels)
@@ -359,6 +359,46 @@ def test_toxicity_tells_all_words_apart(spark, monkeypatch):
     assert a == b and len(a) == len(texts) + 4  # a table that is joined gives what one that is broadcast gives
 
 
+def test_toxicity_probabilities_equal_brute_force(spark):
+    rng = random.Random(21)
+    words = ["vile", "vilest", "vilely", "you", "are", "trees", "treetop", "the", "of", "lake"]
+    texts = [(" ".join(rng.choices(words[: 6 if t else 10], k=rng.randint(1, 12))), t) for t in rng.choices([0, 1], k=120)]
+    table, other, bits = toxicity._tables(spark.createDataFrame(texts, "text string, toxic int"))
+    model = toxicity.Ratios(table.select("key", "ratio", "context").toArrow(), other, bits)
+    d, n, m = toxicity.DISCOUNT, [{}, {}], [{}, {}]
+    for t, c in texts:
+        w = t.split()
+        for x in w:
+            n[c][x] = n[c].get(x, 0) + 1
+        for x in zip(w, w[1:]):
+            m[c][x] = m[c].get(x, 0) + 1
+    vocabulary = sorted({*n[0], *n[1]})
+    pairs = {x for x, k in m[1].items() if k >= toxicity.PAIRS}
+    stems, rests = {w[:4] for w in vocabulary}, {w[4:] for w in vocabulary}
+
+    def word(c, w):
+        size = sum(n[c].values())
+        of = lambda s: sum(k for x, k in n[c].items() if x[:4] == s)
+        types = lambda s: sum(x[:4] == s for x in n[c])
+        s, r = w[:4], w[4:]
+        q_s = (sum(x[:4] == s for x in vocabulary) + 1 / (len(stems) + 1)) / (len(vocabulary) + 1)
+        q_r = (sum(x[4:] == r for x in vocabulary) + 1 / (len(rests) + 1)) / (len(vocabulary) + 1)
+        p_s = max(of(s) - d, 0) / size + d * len({x[:4] for x in n[c]}) / size * q_s
+        return p_s * (max(n[c].get(w, 0) - d, 0) / max(of(s), 1) + (d * types(s) / of(s) if of(s) else 1.0) * q_r)
+
+    def after(c, v, w):
+        f = lambda x: max(m[c].get((v, x), 0) - d, 0) / n[c][v] if (v, x) in pairs and n[c].get(v) else 0.0
+        return f(w) + (1 - sum(map(f, vocabulary))) * word(c, w)
+
+    for t, _ in texts[:40]:
+        w = t.split()
+        got = model.each(*toxicity._units([t.encode()])[:2], np.array([0, len(w)]))
+        want = [np.log(word(1, x) / word(0, x)) if i == 0 else np.log(after(1, w[i - 1], x) / after(0, w[i - 1], x)) for i, x in enumerate(w)]
+        assert got == pytest.approx(want, abs=1e-4)
+    for c in (0, 1):  # what is not given to other words goes to unseen ones
+        assert 0.5 < sum(word(c, w) for w in vocabulary) <= 1 and all(sum(after(c, v, w) for w in vocabulary) <= 1 + 1e-9 for v in vocabulary)
+
+
 def test_toxicity_with_few_toxic_rows(spark, monkeypatch):
     rng = random.Random(15)
     plain = [f"w{i}" for i in range(300)]
@@ -438,7 +478,7 @@ def test_pipeline_stages(spark):
         before, after = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (kept, out))
         assert set(after) <= set(before) and (name == "pii" or all(before[i] == t for i, t in after.items()))
         if name == "near_dedup":
-            want = _brute([before[i] for i in sorted(before)])
+            want = _brute([before[i] for i in sorted(before)], cp.NEAR)
             assert len(after) == sum(label == i for i, (_, label) in want.items())
         if name == "decontaminate":
             items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
