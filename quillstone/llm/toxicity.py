@@ -1,14 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 8).
 
-A word is a bigram of its stem (the first ``STEM`` bytes, lower-cased) and its rest. For each class c,
+For each class c, a word w follows a word v with
 
-    p_c(word)        = p_c(stem) * p_c(rest | stem)
+    p_c(w | v)       = (n_c(v w) - D)+ / n_c(v)  +  l_c(v) * p_c(w)          for the pairs v w of the model
+    p_c(w)           = p_c(stem) * p_c(rest | stem)                          w is its first ``STEM`` bytes, lower-cased, and its rest
     p_c(stem)        = (n_c(stem) - D)+ / n_c  +  D * types_c / n_c * q(stem)
-    p_c(rest | stem) = (n_c(word) - D)+ / n_c(stem)  +  D * types_c(stem) / n_c(stem) * q(rest)
+    p_c(rest | stem) = (n_c(w) - D)+ / n_c(stem)  +  D * types_c(stem) / n_c(stem) * q(rest)
 
-with backoff distributions q that both classes share: q(stem) by the number of distinct words that a stem
-begins, q(rest) by the number of distinct stems that a rest follows. An expression that neither class has
-seen thus differs between the classes only by its stem.
+where l_c(v) is what the discounted pairs of v leave, and the backoff distributions q are continuation counts that both
+classes share: q(stem) by the number of distinct words that a stem begins, q(rest) by the number of distinct stems that
+a rest follows. The model's pairs are those that toxic texts have ``PAIRS`` times or more, counted in both classes; other
+pairs are scored through l and p_c(w). A word that neither class has seen differs between the classes only by its stem,
+and so does one that was seen once (it still counts in all sums).
 
 A text's toxic and ordinary log-likelihoods are compared after dividing by length: over the whole text, in
 the window of ``WINDOW`` words where the ratio is highest, and over its two most telling words. A logistic
@@ -17,16 +20,17 @@ by a hash of doc_id a quarter of the class, at most about ``SAMPLE / 2`` documen
 weighted by the documents of its class that it stands for. Counts cover every other labelled row. A class of
 fewer than four documents is counted whole, and the curve uses these.
 
-Words, stems and rests are told apart by hashes of 64 bits, so the model grows with the labelled text.
+Words, stems, rests and pairs are told apart by hashes of 64 bits, so the model grows with the labelled text.
 
 Scale: labels are broadcast when their counted rows are at most ``broadcast_labels``, else they meet the
 documents in a shuffle join. Counts and ratios are a distributed table. Its most frequent rows, at most
 ``HELD``, are sent to every task; if these are all, scoring is one pass. The others are joined: documents are
-dealt to blocks of about ``BLOCK_BYTES``, blocks ask for the words and stems that are not held, and the ratios
-that are found meet the block's texts.
+dealt to blocks of about ``BLOCK_BYTES``, blocks ask for the words, stems and pairs that are not held, and the ratios
+that are found meet the block's texts. A filter of ``BITS`` bits (2 MB) tells most pairs of a text that are not the model's.
 
-Defined results: a null or empty text has ratios of 0. Labels that are null are ignored, of repeated labels
-the highest counts. Without examples of both classes every score is 0. Repeated rows each get their row.
+Defined results: a null or empty text has ratios of 0; a very long one is scored whole. Labels that are null are ignored,
+of repeated labels the highest counts. Without examples of both classes every score is 0. Repeated rows each get their
+row, a null doc_id too (it has no label). Other columns pass, but for one of the score's name. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,15 +43,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LETTERS, Words, as_signed, blocks, staged
+from ._common import BITS, LETTERS, Words, as_signed, bit_filter, blocks, drop_staged, mix, small, staged
 
 STEM = 4
 WINDOW = 32
 DISCOUNT = 0.75
+#: How often toxic texts must have a pair of words that has counts of its own.
+PAIRS = 2
 #: Rows of the table of ratios that every task may get, and bytes of a block of documents if there are more.
-HELD, BLOCK_BYTES = 1 << 20, 16 << 20
-#: Distinct words of a task that are added up before they are sent on.
-ADDED = 1 << 19
+HELD, BLOCK_BYTES = 1 << 21, 16 << 20
+#: Distinct words or pairs of a task that are added up before they are sent on.
+ADDED = 1 << 18
 #: Tells a stem's key from that of an equal word.
 STEM_KEY = 0x5DEECE66D1234567
 SAMPLE = 20_000
@@ -67,53 +73,102 @@ def _units(parts: list[bytes]):
     return as_signed(w.hashes()), stem, rest, w.bounds
 
 
+def _follows(word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words that follow another of their text, and the keys of these pairs."""
+    first = np.zeros(len(word) + 1, bool)
+    first[bounds[:-1]] = True
+    at = np.flatnonzero(~first[:-1])
+    with np.errstate(over="ignore"):
+        return at, as_signed(mix(word[at - 1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + word[at].view(np.uint64)))
+
+
 def _lowered(column: pa.Array) -> list[str]:
     return [(t or "").lower() for t in column.to_pylist()]
 
 
-def _added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """One row a word from several tables of (word, stem, rest, ordinary, toxic)."""
-    word, stem, rest, *counts = (np.concatenate(c) for c in zip(*held))
-    word, first, of = np.unique(word, return_index=True, return_inverse=True)
-    return word, stem[first], rest[first], *(np.bincount(of, weights=n, minlength=len(word)).astype(np.int64) for n in counts)
+class _Sums:
+    """Adds up rows (key, a, b, ordinary, toxic) of one kind and gives them out before they are too many."""
+
+    def __init__(self, kind: int):
+        self.kind, self.held, self.n = kind, [], 0
+
+    def _added(self) -> list[np.ndarray]:
+        key, a, b, *counts = (np.concatenate(c) for c in zip(*self.held))
+        key, first, of = np.unique(key, return_index=True, return_inverse=True)
+        return [key, a[first], b[first], *(np.bincount(of, weights=n, minlength=len(key)).astype(np.int64) for n in counts)]
 
+    def add(self, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(columns[0]):
+            self.held.append(columns)
+            self.held = [self._added()] if len(self.held) > 1 and sum(len(h[0]) for h in self.held) > 2 * ADDED else self.held
+            if len(self.held) == 1 and len(self.held[0][0]) > ADDED:
+                yield from self.rest()
 
-_COUNTS = ("word", "stem", "rest", "ordinary", "toxic")
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            columns, self.held = self._added(), []
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), self.kind, np.int32)), *map(pa.array, columns)], names=[c.split()[0] for c in _COUNTS.split(", ")])
+
+
+_COUNTS = "kind int, key long, a long, b long, ordinary long, toxic long"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, ...]] = []
-    n = 0
-    for batch in batches:
+    """From (text, toxic): words with stem and rest (kind 0) by class, and pairs of words in toxic texts (kind 1)."""
+    words, pairs = _Sums(0), _Sums(1)
+    for batch in small(batches):
         toxic = np.array(batch.column(1).to_pylist(), np.int64)
         for at, parts in blocks(_lowered(batch.column(0))):
             word, stem, rest, bounds = _units(parts)
             of = np.repeat(toxic[at : at + len(parts)], np.diff(bounds))
-            mine = (of == 0) | (of == 1)
-            held.append(_added([(word[mine], stem[mine], rest[mine], of[mine] == 0, of[mine] == 1)]))
-            n += len(held[-1][0])
-            if n > 2 * ADDED:
-                held = [_added(held)]
-                n = len(held[0][0])
-                if n > ADDED:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=_COUNTS)
-                    held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _added(held)], names=_COUNTS)
-
-
-def _tables(counted: DataFrame) -> tuple[DataFrame, float] | None:
-    """(key, ratio, n) of every counted word and stem, and the ratio of a word whose stem was not seen."""
-    words = staged(
-        counted.groupBy("word").agg(F.first("stem").alias("stem"), F.first("rest").alias("rest"), F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1")), "words"
+            yield from words.add(word, stem, rest, of == 0, of == 1)
+            where, key = _follows(word, bounds)
+            bad = of[where] == 1
+            where, key = where[bad], key[bad]
+            yield from pairs.add(key, word[where - 1], word[where], np.zeros(len(key), bool), np.ones(len(key), bool))
+    yield from words.rest()
+    yield from pairs.rest()
+
+
+def _count_known(shared):
+    """From (text) of ordinary documents: how often they have pairs that the filter lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, pairs = shared.value, _Sums(1)
+        for batch in small(batches):
+            for _, parts in blocks(_lowered(batch.column(0))):
+                word, _, _, bounds = _units(parts)
+                _, key = _follows(word, bounds)
+                key = key[_may_be(bits, key)]
+                yield from pairs.add(key, key, key, np.ones(len(key), bool), np.zeros(len(key), bool))
+        yield from pairs.rest()
+
+    return run
+
+
+def _may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & (BITS - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _tables(rows: DataFrame) -> tuple[DataFrame, float, np.ndarray] | None:
+    """(key, ratio, context, n) of counted words, stems and pairs; the ratio of a word whose stem was not seen; the pairs' filter.
+
+    A row's ratio belongs to the word (or pair), its context to what follows the word.
+    """
+    counted = rows.select("text", "toxic").mapInArrow(_count, _COUNTS).groupBy("kind", "key").agg(
+        F.first("a").alias("a"), F.first("b").alias("b"), F.sum("ordinary").alias("n0"), F.sum("toxic").alias("n1")
     )
+    counts = staged(counted.filter((F.col("kind") == 0) | (F.col("n1") >= PAIRS)), "counts")
+    words = counts.filter("kind = 0").select(F.col("key").alias("word"), F.col("a").alias("stem"), F.col("b").alias("rest"), "n0", "n1")
     d, seen = DISCOUNT, lambda c: F.sum((F.col(c) > 0).cast("long"))
     stems = words.groupBy("stem").agg(F.count("*").alias("begins"), F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), seen("n0").alias("t0"), seen("n1").alias("t1"))
+    stems = by_stems = staged(stems, "stems")
     rests = words.groupBy("rest").agg(F.count("*").alias("follows"))  # distinct stems that a rest follows
     total = stems.agg(F.sum("begins").alias("words"), F.count("*").alias("stems"), F.sum("s0").alias("n0"), F.sum("s1").alias("n1"), seen("s0").alias("k0"), seen("s1").alias("k1")).first()
     if not (total["n0"] and total["n1"]):
         return None
-    n_rests = rests.count()
+    n_rests = words.select("rest").distinct().count()
     q_stem = (F.col("begins") + 1 / (total["stems"] + 1)) / (total["words"] + 1)
     q_rest = (F.col("follows") + 1 / (n_rests + 1)) / (total["words"] + 1)
     for c in "01":
@@ -122,38 +177,79 @@ def _tables(counted: DataFrame) -> tuple[DataFrame, float] | None:
         stems = stems.withColumn(f"back{c}", F.when(of > 0, d * F.col(f"t{c}") / of).otherwise(1.0))
     unseen = F.log(F.col("p1") * F.col("back1")) - F.log(F.col("p0") * F.col("back0"))
     p = {c: F.col(f"p{c}") * (F.greatest(F.col(f"n{c}") - d, F.lit(0.0)) / F.greatest(F.col(f"s{c}"), F.lit(1)) + F.col(f"back{c}") * q_rest) for c in "01"}
-    by_word = words.join(stems, "stem").join(rests, "rest").select(F.col("word").alias("key"), (F.log(p["1"]) - F.log(p["0"])).cast("float").alias("ratio"), (F.col("n0") + F.col("n1")).alias("n"))
-    by_stem = stems.select(F.col("stem").bitwiseXOR(F.lit(STEM_KEY)).alias("key"), unseen.cast("float").alias("ratio"), (F.col("s0") + F.col("s1")).alias("n"))
-    return staged(by_word.unionAll(by_stem), "ratios"), float(np.log(total["k1"] / total["n1"]) - np.log(total["k0"] / total["n0"]))
+    often = words.filter(F.col("n0") + F.col("n1") > 1)
+    known = staged(often.join(stems, "stem").join(rests, "rest").select("word", "n0", "n1", p["0"].alias("w0"), p["1"].alias("w1")), "known")
+
+    pairs = counts.filter("kind = 1").select(F.col("key").alias("pair"), F.col("a").alias("v"), F.col("b").alias("w"), F.col("n1").alias("m1"))
+    bits = bit_filter(pairs, "pair")
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+    ordinary = rows.filter("toxic = 0").select("text").mapInArrow(_count_known(shared), _COUNTS).groupBy(F.col("key").alias("pair")).agg(F.sum("ordinary").alias("m0"))
+    pairs = pairs.join(ordinary, "pair", "left").withColumn("m0", F.coalesce("m0", F.lit(0)))
+    of_v = known.select(F.col("word").alias("v"), F.col("n0").alias("v0"), F.col("n1").alias("v1"))
+    share = lambda c: F.when(F.col(f"v{c}") > 0, F.greatest(F.col(f"m{c}") - d, F.lit(0.0)) / F.col(f"v{c}")).otherwise(0.0)
+    pairs = staged(pairs.join(of_v, "v").select("pair", "v", "w", (F.col("m0") + F.col("m1")).alias("n"), share("0").alias("f0"), share("1").alias("f1")), "pairs")
+    left = pairs.groupBy("v").agg((1 - F.sum("f0")).alias("l0"), (1 - F.sum("f1")).alias("l1"))
+    context = F.log("l1") - F.log("l0")
+    word_ratio = F.log("w1") - F.log("w0")
+    by_word = known.join(left, known["word"] == left["v"], "left").select(
+        F.col("word").alias("key"), word_ratio.cast("float").alias("ratio"), F.coalesce(context, F.lit(0.0)).cast("float").alias("context"), (F.col("n0") + F.col("n1")).alias("n")
+    )
+    none = F.lit(0.0).cast("float").alias("context")
+    by_stem = stems.select(F.col("stem").bitwiseXOR(F.lit(STEM_KEY)).alias("key"), unseen.cast("float").alias("ratio"), none, (F.col("s0") + F.col("s1")).alias("n"))
+    whole = lambda c: F.log(F.col(f"f{c}") + F.col(f"l{c}") * F.col(f"w{c}"))
+    own = whole("1") - whole("0") - context - word_ratio  # beyond what context and word say anyway
+    by_pair = pairs.join(left, "v").join(known.select(F.col("word").alias("w"), "w0", "w1"), "w").select(F.col("pair").alias("key"), own.cast("float").alias("ratio"), none, "n")
+    other = float(np.log(total["k1"] / total["n1"]) - np.log(total["k0"] / total["n0"]))
+    table = staged(by_word.unionAll(by_stem).unionAll(by_pair), "ratios")
+    drop_staged(counts, by_stems, known, pairs)
+    return table, other, bits
 
 
 class Ratios:
-    """Log-likelihood ratios by word, by stem for words that were not seen, and one for all others."""
+    """Log-likelihood ratios by word, by stem for words that were not seen (often), by pair, and one for all other words."""
 
-    def __init__(self, table: pa.Table, other: float):
+    def __init__(self, table: pa.Table, other: float, bits: np.ndarray):
         keys = table["key"].to_numpy()
         order = np.argsort(keys)
-        self.keys, self.values, self.other = keys[order], table["ratio"].to_numpy()[order], other
+        self.keys, self.other, self.bits = keys[order], other, bits
+        self.values = np.stack([table["ratio"].to_numpy()[order], table["context"].to_numpy()[order]])
         self.curve, self.more = np.zeros(4), None
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The keys' ratios; not a number where there is none."""
-        x = np.full(len(keys), np.nan)
+        """The keys' ratios and contexts, as two rows; not a number where there is none."""
+        x = np.full((2, len(keys)), np.nan)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            x = np.where(self.keys[at] == keys, self.values[at], np.nan).astype(np.float64)
+            hit = np.flatnonzero(self.keys[at] == keys)
+            x[:, hit] = self.values[:, at[hit]]
         if self.more is not None:
-            new = np.flatnonzero(np.isnan(x))
-            x[new] = self.more.find(keys[new])
+            new = np.flatnonzero(np.isnan(x[0]))
+            x[:, new] = self.more.find(keys[new])
+        return x
+
+    def pairs(self, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and keys of the pairs that the filter lets through."""
+        at, key = _follows(word, bounds)
+        some = _may_be(self.bits, key)
+        return at[some], key[some]
+
+    def each(self, word: np.ndarray, stem: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The ratio of every word after the one before it."""
+        x, context = self.find(word)
+        new = np.flatnonzero(np.isnan(x))
+        x[new] = self.find(stem[new] ^ STEM_KEY)[0]
+        x[np.isnan(x)] = self.other
+        context = np.nan_to_num(context)
+        context[bounds[1:][np.diff(bounds) > 0] - 1] = 0  # nothing follows a text's last word
+        x[1:] += context[:-1]
+        at, key = self.pairs(word, bounds)
+        x[at] += np.nan_to_num(self.find(key)[0])
         return x
 
     def ratios(self, parts: list[bytes]) -> np.ndarray:
         """For each text: the ratio a word over the text, in its highest window, and of its two highest words."""
         word, stem, _, bounds = _units(parts)
-        x = self.find(word)
-        new = np.flatnonzero(np.isnan(x))
-        x[new] = self.find(stem[new] ^ STEM_KEY)
-        x[np.isnan(x)] = self.other
+        x = self.each(word, stem, bounds)
         out = np.zeros((len(parts), 3))
         size = np.diff(bounds)
         full = np.flatnonzero(size)
@@ -199,7 +295,7 @@ class Ratios:
 class Model:
     """The most frequent rows of the table of ratios, and, if it has more than ``HELD``, the rest of it."""
 
-    def __init__(self, table: DataFrame, other: float):
+    def __init__(self, table: DataFrame, other: float, bits: np.ndarray):
         self.rest = None
         if table.count() > HELD:
             sizes = table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).toArrow()
@@ -208,7 +304,7 @@ class Model:
             table, self.rest = table.filter(F.col("n") >= least), table.filter(F.col("n") < least)
             if least > 1 << 20:
                 table, self.rest = table.limit(0), table.unionAll(self.rest)
-        self.ratios = Ratios(table.select("key", "ratio").toArrow(), other)
+        self.ratios = Ratios(table.select("key", "ratio", "context").toArrow(), other, bits)
 
 
 def _known(labels: DataFrame) -> DataFrame:
@@ -243,7 +339,7 @@ def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -
     for c, bound in bounds.items():
         if bound is not None:
             inside |= (F.col("toxic") == c) & (F.xxhash64("doc_id") <= F.lit(bound))
-    tables = _tables(rows.filter(~inside).select("text", "toxic").mapInArrow(_count, "word long, stem long, rest long, ordinary long, toxic long"))
+    tables = _tables(rows.filter(~inside))
     if tables is None:
         return None
     model = Model(*tables)
@@ -260,19 +356,20 @@ def fit(docs: DataFrame, labels: DataFrame, broadcast_labels: int = 2_000_000) -
 
 
 def _asked(shared):
-    """The distinct keys that are not held of words and stems, by block."""
+    """The distinct keys that are not held of words, stems and pairs, by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Ratios = shared.value
-        for batch in batches:
+        for batch in small(batches):
             block = batch.column(0).to_numpy()
             for at, parts in blocks(_lowered(batch.column(1))):
                 word, stem, _, bounds = _units(parts)
                 of = np.repeat(block[at : at + len(parts)], np.diff(bounds))
-                new = np.isnan(m.find(word))
-                of, word, stem = of[new], word[new], stem[new] ^ STEM_KEY
-                missing = np.isnan(m.find(stem))
-                pairs = pa.table({"__block": np.concatenate([of, of[missing]]), "key": np.concatenate([word, stem[missing]])})
+                new = np.isnan(m.find(word)[0])
+                where, pair = m.pairs(word, bounds)
+                asked = [(of[new], word[new]), (of[new], stem[new] ^ STEM_KEY), (of[where], pair)]
+                asked = [(o[gone], k[gone]) for o, k in asked for gone in [np.isnan(m.find(k)[0])]]
+                pairs = pa.table({"__block": np.concatenate([o for o, _ in asked]), "key": np.concatenate([k for _, k in asked])})
                 yield from pairs.group_by(["__block", "key"]).aggregate([]).select(["__block", "key"]).to_batches()
 
     return run
@@ -291,16 +388,16 @@ def _measured(rows: DataFrame, model: Model, make, schema: str, keep_text: bool
 
     shared = rows.sparkSession.sparkContext.broadcast(model.ratios)
     if model.rest is None:
-        return rows.mapInArrow(lambda batches: (one(shared.value, b) for b in batches), whole)
+        return rows.mapInArrow(lambda batches: (one(shared.value, b) for b in small(batches)), whole)
 
     def joined(left: pa.Table, right: pa.Table) -> pa.Table:
         m = copy(shared.value)
-        m.more = Ratios(right, m.other)
+        m.more = Ratios(right, m.other, m.bits)
         return pa.Table.from_batches([one(m, b) for b in left.to_batches()])
 
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = rows.withColumn("__block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(size // BLOCK_BYTES + 1)))
-    found = dealt.select("__block", "text").mapInArrow(_asked(shared), "__block long, key long").join(model.rest.select("key", "ratio"), "key").select("__block", "key", "ratio")
+    found = dealt.select("__block", "text").mapInArrow(_asked(shared), "__block long, key long").join(model.rest.select("key", "ratio", "context"), "key").select("__block", "key", "ratio", "context")
     return dealt.groupBy("__block").cogroup(found.groupBy("__block")).applyInArrow(joined, whole)
 
 
