@@ -5,12 +5,14 @@ prefix lengths that some rule has. Expressions meet rules in an equi-join on a s
 full digest then confirms the match, and the longest confirmed rule wins.
 
 Scale: URLs are first reduced to distinct (host, path) pairs, so a host or URL with a third of the rows
-is judged once. Rules are broadcast only when their counted number is at most ``broadcast_rules``;
-beyond that the join shuffles on the short hash.
+is judged once. Pages get their URL's rule in a shuffle join; those of a URL with more than one in ``HOT`` rows get it
+by a broadcast of fewer than ``HOT`` rows, and like those without a host take any place in the shuffle. Rules are broadcast
+only when their counted number is at most ``broadcast_rules``; beyond that the join shuffles on the short hash.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and path and get the default
-verdict. Repeated rules count once; of rules of equal length the one with the longer host wins, then
-``block``. Repeated pages each get their row. Columns beyond the named ones pass through.
+verdict; very long ones are judged whole. Repeated rules count once; of rules of equal length the one with the longer
+host wins, then ``block``. Repeated pages each get their row. Columns beyond the named ones (host, path, rule, verdict) pass
+through. An empty table gives no rows, an empty list of rules the default for all.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lower_ascii
+from ._common import lower_ascii, staged
 
 RULES = [
     ("allow", "org", "/"),
@@ -29,6 +31,10 @@ RULES = [
 ]
 
 
+#: A URL with more than one in so many rows is looked up by broadcast.
+HOT = 1000
+
+
 def rules_frame(spark: SparkSession, rules=RULES) -> DataFrame:
     return spark.createDataFrame(list(rules), "action string, host string, path string")
 
@@ -70,15 +76,15 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         best = None
     else:
         labels, lengths = sorted(shapes["labels"]), sorted(shapes["lengths"])
-        urls = pages.select("__host", "__path").filter("__host <> ''").distinct()
+        urls = pages.select("__host", "__path").filter("__host <> ''").groupBy("__host", "__path").agg(F.count("*").alias("__n"))
         n_labels = F.size(F.split("__host", r"\."))
         suffixes = F.filter(F.array(*[F.when(n_labels >= k, F.substring_index("__host", ".", -k)) for k in labels]), lambda x: x.isNotNull())
         prefixes = F.filter(F.array(*[F.when(F.length("__path") >= p, F.substring("__path", 1, p)) for p in lengths]), lambda x: x.isNotNull())
         pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(s.alias("s"), p.alias("p")))))
         seen = (
-            urls.select("__host", "__path", F.explode(pairs).alias("e"))
+            urls.select("__host", "__path", "__n", F.explode(pairs).alias("e"))
             .withColumn("__full", _digest(F.col("e.s"), F.col("e.p")))
-            .select("__host", "__path", "__full", _short(F.col("__full")).alias("__short"))
+            .select("__host", "__path", "__n", "__full", _short(F.col("__full")).alias("__short"))
         )
         index = rules.select(
             "action", "host", "path", _digest(F.col("host"), F.col("path")).alias("__rule"), _short(_digest(F.col("host"), F.col("path"))).alias("__short")
@@ -88,12 +94,21 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
         rank = F.struct(F.length(F.concat("host", "path")).alias("a"), F.length("host").alias("b"), F.col("action").alias("c"), F.concat("host", "path").alias("rule"))
         best = (
             seen.join(index, "__short").filter("__full = __rule")
-            .groupBy("__host", "__path").agg(F.max(rank).alias("__best"))
+            .groupBy("__host", "__path").agg(F.max("__n").alias("__n"), F.max(rank).alias("__best"))
         )
     if best is None:
         out = pages.withColumn("__best", F.lit(None).cast("struct<c:string,rule:string>"))
     else:
-        out = pages.join(best, ["__host", "__path"], "left")
+        n = pages.count()
+        best = staged(best, "rules")
+        hot = best.filter(F.col("__n") * HOT > n).select(F.col("__host").alias("__hot_host"), F.col("__path").alias("__hot_path"), F.col("__best").alias("__hot"))
+        found = pages.join(F.broadcast(hot), (F.col("__host") == F.col("__hot_host")) & (F.col("__path") == F.col("__hot_path")), "left")
+        anywhere = F.col("__hot").isNotNull() | (F.col("__host") == "")  # a null key meets nothing, its other half spreads the rows
+        found = found.withColumns({
+            "__key": F.when(~anywhere, F.col("__host")), "__rest": F.when(anywhere, F.monotonically_increasing_id().cast("string")).otherwise(F.col("__path")),
+        })
+        cold = best.filter(F.col("__n") * HOT <= n).select(F.col("__host").alias("__key"), F.col("__path").alias("__rest"), F.col("__best").alias("__cold"))
+        out = found.join(cold, ["__key", "__rest"], "left").withColumn("__best", F.coalesce("__hot", "__cold"))
     keep = [F.col(c) for c in taken if c not in ("host", "path", "rule", "verdict")]
     return out.select(
         *keep, F.col("__host").alias("host"), F.col("__path").alias("path"),
