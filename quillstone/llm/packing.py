@@ -9,8 +9,9 @@ bounded by ``capacity``, never by the data, and it may go to every task.
 Pieces then take their places by rank within their length. Ranks come from two levels, a hash bucket
 within the length and the counts of the buckets before it, so no task holds all pieces of a common length.
 
-Defined results: a null or empty text is one piece, the end id alone. Repeated doc_ids each get places
-(their order follows the ids' checksum, and is arbitrary among identical pieces). Empty table: no rows.
+Defined results: a null or empty text is one piece, the end id alone; a very long one is cut whole. Repeated
+rows and doc_ids, null ones too, each get places (their order follows the ids' checksum, and is arbitrary among
+identical pieces). Columns ``sequence_id`` and ``offset`` of the input give way; others pass. Empty table: no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import small, staged, unused
 from ._encode import encoder
 
 CAPACITY = 1024
@@ -147,22 +147,22 @@ def slots(plan: list[tuple[tuple[int, ...], int]], capacity: int = CAPACITY) ->
 
 def _pieces(tokenizer: str, end: int, capacity: int):
     names = ("doc_id", "piece", "start", "length", "ids_crc32")
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = encoder(tokenizer), int(end).to_bytes(4, "little")
-        for batch in batches:
-            rows: list[list[int]] = [[], [], [], [], []]
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = memoryview(enc.ids(text.as_py()) + last)
-                n = len(ids) // 4
-                at, number = 0, 0
-                while at < n:
-                    size = (n % capacity or capacity) if not at else capacity  # only the first may be shorter
-                    for column, v in zip(rows, (key, number, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]))):
-                        column.append(v)
-                    at, number = at + size, number + 1
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types)], names=list(names))
+        enc = encoder(tokenizer)
+        for batch in small(batches):
+            ids, bounds = enc.batch(batch.column(1).to_pylist(), end)
+            n = np.diff(bounds)
+            count = -(-n // capacity)
+            upto = np.cumsum(count)
+            of = np.repeat(np.arange(len(n)), count)
+            number = np.arange(len(of)) - np.repeat(upto - count, count)
+            head = n - (count - 1) * capacity  # only the first may be shorter
+            start = np.where(number > 0, head[of] + (number - 1) * capacity, 0)
+            length = np.where(number > 0, capacity, head[of])
+            data, at = memoryview(ids.tobytes()), 4 * (bounds[of] + start)
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=names)
 
     return run
 
@@ -174,6 +174,8 @@ def pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, capacity
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Give each row (with ``length`` and ``doc_id``) a ``sequence_id`` and an ``offset``; ``rows`` must be stored data."""
+    rows = rows.drop("sequence_id", "offset")
+    bucket, inner, earlier, number, rank = (unused(f"__{x}", rows.columns) for x in ("bucket", "in", "before", "n", "rank"))
     # At most `capacity` rows: a histogram of lengths.
     have = rows.groupBy("length").count().collect()
     counts = np.zeros(capacity + 1, dtype=np.int64)
@@ -182,29 +184,30 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     table = slots(plan_patterns(counts, capacity), capacity)
     n_buckets = max(16, math.isqrt(int(counts.sum())))
     order = ["doc_id", "piece", "ids_crc32"]
-    local = rows.withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_buckets)).cast("int"))
-    ranked = local.withColumn("__in", F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*order)) - 1)
+    local = rows.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
+    ranked = local.withColumn(inner, F.row_number().over(Window.partitionBy("length", bucket).orderBy(*order)) - 1)
     before = (
-        local.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
-        .withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("__n")).drop("__n")
+        local.groupBy("length", bucket).agg(F.count("*").alias(number))
+        .withColumn(earlier, F.sum(number).over(Window.partitionBy("length").orderBy(bucket)) - F.col(number)).drop(number)
     )
-    spots = ranked.join(before, ["length", "__bucket"]).withColumn("__rank", F.col("__before") + F.col("__in")).drop("__bucket", "__in", "__before")
+    spots = ranked.join(before, ["length", bucket]).withColumn(rank, F.col(earlier) + F.col(inner)).drop(bucket, inner, earlier)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            length, rank = f["length"].to_numpy(), f["__rank"].to_numpy()
-            sequence, offset = np.empty(len(f), np.int64), np.empty(len(f), np.int64)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            length, ranks = b.column("length").to_numpy(), b.column(rank).to_numpy()
+            sequence, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             for at in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
                 if len(at):
                     first, base, place_at = table[int(length[at[0]])]
-                    run = np.searchsorted(first, rank[at], "right") - 1
-                    sequence[at], offset[at] = base[run] + rank[at] - first[run], place_at[run]
-            yield f.drop(columns="__rank").assign(sequence_id=sequence, offset=offset)
+                    run = np.searchsorted(first, ranks[at], "right") - 1
+                    sequence[at], offset[at] = base[run] + ranks[at] - first[run], place_at[run]
+            kept = [n for n in b.schema.names if n != rank]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
-    kept = spots.drop("__rank").schema.fields
+    kept = spots.drop(rank).schema.fields
     schema = ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in kept), "sequence_id long", "offset long"])
-    return spots.mapInPandas(place, schema)
+    return spots.mapInArrow(place, schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
