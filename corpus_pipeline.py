@@ -6,20 +6,27 @@
 4. pii: personal data is replaced by placeholders; every document stays.
 5. pack: the rest is tokenised and packed into sequences.
 
-All but the last return the columns they were given.
+All but the last return the columns they were given. Rows are decided by themselves: a null or repeated doc_id neither
+saves nor drops another row. Null and empty texts are clean and stay; an empty table gives an empty one. Very long texts
+are judged whole; repeated rows stay once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, near_dedup, packing, pii, toxicity
 from quillstone.llm._common import staged
 
 
-#: Jaccard similarity of shingles, in per cent, from which documents are near duplicates; tests/llm hold the stage to this one.
-NEAR = 85
+#: Jaccard similarity of five-word shingles, in per cent, from which documents are near duplicates.
+NEAR = 80
+
+
+def _row_key() -> Column:
+    """Tells rows apart for a stage's decision: doc_id (null or not) and text. Rows that repeat both are decided alike."""
+    return F.xxhash64("doc_id", "text")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +35,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row stays if it is the one its group keeps; rows that repeat both doc_id and text stay once."""
-    found = staged(near_dedup.near_duplicates(docs, percent=NEAR), "kept").filter("kept").select("doc_id")
-    kept = docs.join(found.distinct(), "doc_id", "left_semi").select(*docs.columns)
-    repeated = found.count() != found.distinct().count()
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Of each group one row stays (repeated doc_ids or not); rows without a word stay, rows that repeat both doc_id and text once."""
+    found = staged(near_dedup.near_duplicates(docs, percent=NEAR), "kept")
+    gone = found.filter("not chosen").select(F.xxhash64("doc_id", "text_hash").alias("__gone")).distinct()
+    kept = docs.join(gone, F.xxhash64("doc_id", F.xxhash64("text")) == F.col("__gone"), "left_anti").select(*docs.columns)
+    chosen = found.filter("chosen").select("doc_id", "text_hash")
+    return kept.dropDuplicates(["doc_id", "text"]) if chosen.count() != chosen.distinct().count() else kept
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = staged(decontaminate.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
-    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Rows go whose own text holds an item, whatever other rows of their doc_id hold."""
+    rows = docs.select(_row_key().alias("doc_id"), "text")
+    found = staged(decontaminate.matches(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
+    return docs.join(found.select(F.col("doc_id").alias("__leak")).distinct(), _row_key() == F.col("__leak"), "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
