@@ -48,8 +48,8 @@ from ._common import BITS, LETTERS, Words, as_signed, bit_filter, blocks, drop_s
 STEM = 4
 WINDOW = 32
 DISCOUNT = 0.75
-#: How often toxic texts must have a pair of words that has counts of its own.
-PAIRS = 2
+#: How often toxic texts must have a pair of words that has counts of its own, and how many times as often as by chance.
+PAIRS, LIFT = 3, 4.0
 #: Rows of the table of ratios that every task may get, and bytes of a block of documents if there are more.
 HELD, BLOCK_BYTES = 1 << 21, 16 << 20
 #: Distinct words or pairs of a task that are added up before they are sent on.
@@ -180,14 +180,17 @@ def _tables(rows: DataFrame) -> tuple[DataFrame, float, np.ndarray] | None:
     often = words.filter(F.col("n0") + F.col("n1") > 1)
     known = staged(often.join(stems, "stem").join(rests, "rest").select("word", "n0", "n1", p["0"].alias("w0"), p["1"].alias("w1")), "known")
 
+    of_v = known.select(F.col("word").alias("v"), F.col("n0").alias("v0"), F.col("n1").alias("v1"))
+    of_w = known.select(F.col("word").alias("w"), F.col("n1").alias("of_w"))
     pairs = counts.filter("kind = 1").select(F.col("key").alias("pair"), F.col("a").alias("v"), F.col("b").alias("w"), F.col("n1").alias("m1"))
+    chance = F.col("v1") * F.col("of_w") / total["n1"]
+    pairs = chosen = staged(pairs.join(of_v, "v").join(of_w, "w").filter(F.col("m1") >= LIFT * chance).drop("of_w"), "chosen")
     bits = bit_filter(pairs, "pair")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     ordinary = rows.filter("toxic = 0").select("text").mapInArrow(_count_known(shared), _COUNTS).groupBy(F.col("key").alias("pair")).agg(F.sum("ordinary").alias("m0"))
     pairs = pairs.join(ordinary, "pair", "left").withColumn("m0", F.coalesce("m0", F.lit(0)))
-    of_v = known.select(F.col("word").alias("v"), F.col("n0").alias("v0"), F.col("n1").alias("v1"))
     share = lambda c: F.when(F.col(f"v{c}") > 0, F.greatest(F.col(f"m{c}") - d, F.lit(0.0)) / F.col(f"v{c}")).otherwise(0.0)
-    pairs = staged(pairs.join(of_v, "v").select("pair", "v", "w", (F.col("m0") + F.col("m1")).alias("n"), share("0").alias("f0"), share("1").alias("f1")), "pairs")
+    pairs = staged(pairs.select("pair", "v", "w", (F.col("m0") + F.col("m1")).alias("n"), share("0").alias("f0"), share("1").alias("f1")), "pairs")
     left = pairs.groupBy("v").agg((1 - F.sum("f0")).alias("l0"), (1 - F.sum("f1")).alias("l1"))
     context = F.log("l1") - F.log("l0")
     word_ratio = F.log("w1") - F.log("w0")
@@ -201,7 +204,7 @@ def _tables(rows: DataFrame) -> tuple[DataFrame, float, np.ndarray] | None:
     by_pair = pairs.join(left, "v").join(known.select(F.col("word").alias("w"), "w0", "w1"), "w").select(F.col("pair").alias("key"), own.cast("float").alias("ratio"), none, "n")
     other = float(np.log(total["k1"] / total["n1"]) - np.log(total["k0"] / total["n0"]))
     table = staged(by_word.unionAll(by_stem).unionAll(by_pair), "ratios")
-    drop_staged(counts, by_stems, known, pairs)
+    drop_staged(counts, by_stems, known, chosen, pairs)
     return table, other, bits
 
 

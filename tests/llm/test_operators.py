@@ -359,7 +359,8 @@ def test_toxicity_tells_all_words_apart(spark, monkeypatch):
     assert a == b and len(a) == len(texts) + 4  # a table that is joined gives what one that is broadcast gives
 
 
-def test_toxicity_probabilities_equal_brute_force(spark):
+def test_toxicity_probabilities_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LIFT", 1.1)  # few words give few pairs that stand out
     rng = random.Random(21)
     words = ["vile", "vilest", "vilely", "you", "are", "trees", "treetop", "the", "of", "lake"]
     texts = [(" ".join(rng.choices(words[: 6 if t else 10], k=rng.randint(1, 12))), t) for t in rng.choices([0, 1], k=120)]
@@ -373,7 +374,9 @@ def test_toxicity_probabilities_equal_brute_force(spark):
         for x in zip(w, w[1:]):
             m[c][x] = m[c].get(x, 0) + 1
     vocabulary = sorted({*n[0], *n[1]})
-    pairs = {x for x, k in m[1].items() if k >= toxicity.PAIRS}
+    size_1 = sum(n[1].values())
+    pairs = {(v, w) for (v, w), k in m[1].items() if k >= toxicity.PAIRS and k >= toxicity.LIFT * n[1][v] * n[1][w] / size_1}
+    assert 0 < len(pairs) < len(m[1])
     stems, rests = {w[:4] for w in vocabulary}, {w[4:] for w in vocabulary}
 
     def word(c, w):
