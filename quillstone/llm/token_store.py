@@ -174,32 +174,23 @@ def _bucketed(digests: list[bytes], n_buckets: int) -> Iterator[tuple[int, np.nd
             yield int(bucket[at[0]]), at
 
 
-def _index(digests: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """An order that sorts 32-byte digests, and which of the sorted are the first of their kind."""
-    words = np.frombuffer(digests, "<u8").reshape(-1, 4)
-    order = np.lexsort(words.T)
-    first = np.ones(len(order), bool)
-    first[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
-    return order, first
-
-
 def _n_buckets(size: int) -> int:
     return max(8, -(-size // BUCKET_BYTES)) if size < 1 << 60 else 8  # a plan that does not know its size says so with a huge one
 
 
 # ---------------------------------------------------------------- writing
 
-_STAGED = "doc_id long, n_tokens long, digests array<binary>, root binary, bucket long, d binary, n binary, data binary"
+_STAGED = "doc_id long, n_tokens long, digests array<binary>, root binary, bucket long, n binary, data binary"
 
 
-def _encoded(tokenizer: str, end: int, n_buckets: int):
-    """Recipes, and between them rows of new chunks by bucket: digests, lengths (uint32) and packed payload, each joined."""
+def _encoded(tokenizer: str, end: int, n_buckets: int, size: int):
+    """Recipes, and between them rows of new chunks by bucket: lengths (uint32) and packed payload, each joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         enc = encoder(tokenizer)
-        width = np.dtype("<u2" if enc.full.get_vocab_size() <= 1 << 16 and end < 1 << 16 else "<u4")
+        width = np.dtype(f"<u{size}")
         sent: set[bytes] = set()
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in small(batches):
@@ -219,17 +210,16 @@ def _encoded(tokenizer: str, end: int, n_buckets: int):
                 roots.append(merkle(digests[lists[-1] :]))
                 lists.append(len(digests))
             rows = len(roots)
-            ds, ns, payloads, buckets = [], [], [], []
+            ns, payloads, buckets = [], [], []
             for bucket, at in _bucketed([f[0] for f in fresh], n_buckets):
                 mine = [fresh[i] for i in at.tolist()]
                 buckets.append(bucket)
-                ds.append(b"".join(d for d, _, _ in mine))
                 ns.append(np.array([b - a for _, a, b in mine], "<u4").tobytes())
                 payloads.append(pack(b"".join(data[a * width.itemsize : b * width.itemsize] for _, a, b in mine)))
             if len(sent) > SENT:
                 sent.clear()
             recipes = [batch.column(0), pa.array(np.diff(bounds)), pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(digests, pa.binary())), pa.array(roots, pa.binary())]
-            chunks = [pa.array(buckets, pa.int64()), *(pa.array(x, pa.binary()) for x in (ds, ns, payloads))]
+            chunks = [pa.array(buckets, pa.int64()), *(pa.array(x, pa.binary()) for x in (ns, payloads))]
             names = [c.split()[0] for c in _STAGED.split(", ")]
             for own, others, count, ahead in ((recipes, chunks, rows, True), (chunks, recipes, len(buckets), False)):
                 nulls = [pa.nulls(count, c.type) for c in others]
@@ -238,21 +228,24 @@ def _encoded(tokenizer: str, end: int, n_buckets: int):
     return run
 
 
-def _merged(table: pa.Table) -> pa.Table:
+def _merged(width: int):
     """The chunks of one bucket, each once."""
-    import zstandard
 
-    unpack = zstandard.ZstdDecompressor().decompress
-    digests, sizes = b"".join(table["d"].to_pylist()), np.frombuffer(b"".join(table["n"].to_pylist()), "<u4").astype(np.int64)
-    data = b"".join(map(unpack, table["data"].to_pylist()))
-    width = len(data) // max(1, int(sizes.sum()))
-    upto = np.cumsum(sizes) * width
-    order, first = _index(digests)
-    at = np.sort(order[first])
-    return pa.table({
-        "digest": pa.array([digests[32 * i : 32 * i + 32] for i in at.tolist()], pa.binary()), "n": pa.array(sizes[at].astype(np.int32)),
-        "data": pa.array([data[a:b] for a, b in zip((upto[at] - sizes[at] * width).tolist(), upto[at].tolist())], pa.binary()),
-    })
+    def run(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        sizes = np.frombuffer(b"".join(table["n"].to_pylist()), "<u4")
+        data = b"".join(map(unpack, table["data"].to_pylist()))
+        upto = (np.cumsum(sizes, dtype=np.int64) * width).tolist()
+        chunks = {}
+        for a, b in zip([0, *upto[:-1]], upto):
+            chunk = data[a:b]
+            chunks[hashlib.sha256(chunk).digest()] = chunk
+        kept = list(chunks.values())
+        return pa.table({"digest": pa.array(list(chunks), pa.binary()), "n": pa.array([len(c) // width for c in kept], pa.int32()), "data": pa.array(kept, pa.binary())})
+
+    return run
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +265,12 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_buckets = _n_buckets(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
-    docs.mapInArrow(_encoded(tokenizer, end, n_buckets), _STAGED).write.option("compression", "zstd").parquet(f"{path}/staging")
+    width = 2 if encoder(tokenizer).full.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
+    docs.mapInArrow(_encoded(tokenizer, end, n_buckets, width), _STAGED).write.option("compression", "zstd").parquet(f"{path}/staging")
     staged = spark.read.schema(_STAGED).parquet(f"{path}/staging")
     (
-        staged.filter("bucket is not null").select("bucket", "d", "n", "data").groupBy("bucket")
-        .applyInArrow(_merged, "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
+        staged.filter("bucket is not null").select("bucket", "n", "data").groupBy("bucket")
+        .applyInArrow(_merged(width), "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
     )
     recipes = staged.filter("bucket is null").select("doc_id", "n_tokens", "digests", "root")
     (
@@ -369,12 +363,19 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests, lengths and CRCs of chunks whose bytes match their address."""
     for b in small(batches, 16_384):
-        digests, sizes, datas = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-        crcs = np.empty(len(digests), np.int64)
-        for i, (d, n, data) in enumerate(zip(digests, sizes, datas)):
-            if hashlib.sha256(data).digest() != d or len(data) not in (2 * n, 4 * n):
+        digests, sizes, data = b.column(0).to_pylist(), b.column(1).to_numpy(), b.column(2)
+        at = np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + len(data) + 1]
+        payload = np.frombuffer(data.buffers()[2], np.uint8)[at[0] : at[-1]] if len(data) else np.zeros(0, np.uint8)
+        width = len(payload) // max(1, int(sizes.sum()))
+        right = (np.diff(at) == sizes * width) if width in (2, 4) else np.zeros(len(data), bool)
+        wide = memoryview((payload.view("<u2").astype("<u4") if width == 2 and right.all() else payload).tobytes())
+        raw, crcs = memoryview(payload.tobytes()), np.empty(len(data), np.int64)
+        ends, last = (at[1:] - at[0]).tolist(), 0
+        for i, (d, e) in enumerate(zip(digests, ends)):
+            if not right[i] or hashlib.sha256(raw[last:e]).digest() != d:
                 raise ValueError(f"chunk {d.hex()} does not match its address")
-            crcs[i] = zlib.crc32(np.frombuffer(data, "<u2").astype("<u4").tobytes() if len(data) == 2 * n else data)
+            crcs[i] = zlib.crc32(wide[4 * last // width : 4 * e // width])
+            last = e
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crcs)], names=["digest", "n", "crc"])
 
 
