@@ -37,7 +37,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays (repeated doc_ids or not); rows without a word stay, rows that repeat both doc_id and text once."""
     found = staged(near_dedup.near_duplicates(docs, percent=NEAR), "kept")
-    gone = found.filter("not chosen").select(F.xxhash64("doc_id", "text_hash").alias("__gone")).distinct()
+    gone = staged(found.filter("not chosen").select(F.xxhash64("doc_id", "text_hash").alias("__gone")).distinct(), "gone")  # small, so that its size is known
     kept = docs.join(gone, F.xxhash64("doc_id", F.xxhash64("text")) == F.col("__gone"), "left_anti").select(*docs.columns)
     chosen = found.filter("chosen").select("doc_id", "text_hash")
     return kept.dropDuplicates(["doc_id", "text"]) if chosen.count() != chosen.distinct().count() else kept
@@ -47,7 +47,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Rows go whose own text holds an item, whatever other rows of their doc_id hold."""
     rows = docs.select(_row_key().alias("doc_id"), "text")
     found = staged(decontaminate.matches(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "leaks")
-    return docs.join(found.select(F.col("doc_id").alias("__leak")).distinct(), _row_key() == F.col("__leak"), "left_anti").select(*docs.columns)
+    leaks = staged(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaking")
+    return docs.join(leaks, _row_key() == F.col("__leak"), "left_anti").select(*docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
