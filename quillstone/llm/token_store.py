@@ -48,8 +48,8 @@ REACH, MOST = 40, 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of input (or of ids) whose chunks meet in one group, and digests that a task remembers as sent.
 BUCKET_BYTES, SENT = 8 << 20, 200_000
-#: Children of a node in the tree over a part's documents.
-FAN = 256
+#: Children of a node in the tree over a part's documents, and in that over a document's chunks.
+FAN, CHILDREN = 256, 16
 
 
 def _most_of_next(h: np.ndarray, n: int) -> np.ndarray:
@@ -98,11 +98,10 @@ def cut_points(ids: np.ndarray, bounds: np.ndarray) -> list[list[int]]:
 
 
 def merkle(digests: list[bytes]) -> bytes:
-    """Root of a binary hash tree over digests and of their number; an odd node moves up."""
+    """Root of a hash tree over digests, with up to ``CHILDREN`` children a node, and of their number."""
     level = digests
     while len(level) > 1:
-        up = [hashlib.sha256(b"\x01" + a + b).digest() for a, b in zip(level[::2], level[1::2])]
-        level = up + level[len(up) * 2 :]
+        level = [hashlib.sha256(b"\x01" + b"".join(level[i : i + CHILDREN])).digest() for i in range(0, len(level), CHILDREN)]
     return hashlib.sha256(b"\x02" + len(digests).to_bytes(8, "little") + b"".join(level)).digest()
 
 
@@ -422,22 +421,33 @@ def _wanted(n_buckets: int):
     return run
 
 
-def _known(keys: bytes) -> dict[bytes, int]:
-    return {keys[i : i + KEY]: i // KEY for i in range(0, len(keys), KEY)}
+def _places(keys: bytes, wanted: bytes) -> np.ndarray:
+    """Where each of ``wanted`` is among ``keys``; both are keys of ``KEY`` bytes, joined."""
+    have, want = (np.frombuffer(x, "<u8").reshape(-1, 2) for x in (keys, wanted))
+    order = np.lexsort((have[:, 1], have[:, 0]))
+    at = np.searchsorted(have[order, 0], want[:, 0])
+    at = np.minimum(at, max(0, len(order) - 1))
+    wrong = np.ones(len(want), bool) if not len(order) else (have[order[at]] != want).any(axis=1)
+    if wrong.any():  # keys that share their first half, or missing ones
+        known = {keys[i : i + KEY]: i // KEY for i in range(0, len(keys), KEY)}
+        out = np.zeros(len(want), np.int64) if not len(order) else order[at]
+        for i in np.flatnonzero(wrong).tolist():
+            key = wanted[KEY * i : KEY * i + KEY]
+            if key not in known:
+                raise ValueError(f"chunk {key.hex()} is missing")
+            out[i] = known[key]
+        return out
+    return order[at]
 
 
 def _answered(asked: pa.Table, there: pa.Table) -> pa.Table:
     """Lengths and CRCs of the digests that blocks ask for, from the chunks of their bucket."""
     have, sizes, crcs = (b"".join(there[c].to_pylist()) for c in ("d", "n", "crc"))
-    known, sizes, crcs = _known(have), np.frombuffer(sizes, "<u4"), np.frombuffer(crcs, "<u4")
-    ns, cs = [], []
-    for d in asked["d"].to_pylist():
-        try:
-            at = [known[d[i : i + KEY]] for i in range(0, len(d), KEY)]
-        except KeyError as e:
-            raise ValueError(f"chunk {e.args[0].hex()} is missing") from None
-        ns.append(sizes[at].tobytes())
-        cs.append(crcs[at].tobytes())
+    sizes, crcs, lists = np.frombuffer(sizes, "<u4"), np.frombuffer(crcs, "<u4"), asked["d"].to_pylist()
+    at = _places(have, b"".join(lists))
+    ends = np.cumsum([len(d) // KEY for d in lists]).tolist()
+    sizes, crcs = sizes[at], crcs[at]
+    ns, cs = ([x[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends)] for x in (sizes, crcs))
     return pa.table({"part": asked["part"], "block": asked["block"], "d": asked["d"], "n": pa.array(ns, pa.binary()), "crc": pa.array(cs, pa.binary())})
 
 
@@ -451,8 +461,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _assembled(docs: pa.Table, found: pa.Table) -> pa.Table:
     """Documents of one block with the number and CRC of their ids."""
     have, sizes, crcs = (b"".join(found[c].to_pylist()) for c in ("d", "n", "crc"))
-    known, keys, n_tokens = _known(have), docs["keys"].to_pylist(), docs["n_tokens"].to_numpy()
-    at = [known[k[i : i + KEY]] for k in keys for i in range(0, len(k), KEY)]
+    keys, n_tokens = docs["keys"].to_pylist(), docs["n_tokens"].to_numpy()
+    at = _places(have, b"".join(keys))
     sizes, crcs = np.frombuffer(sizes, "<u4")[at].astype(np.int64), np.frombuffer(crcs, "<u4")[at]
     bounds = np.cumsum([0, *(len(k) // KEY for k in keys)])
     upto = np.concatenate([[0], np.cumsum(sizes)])
