@@ -8,11 +8,10 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # English stop words of the stop analyzer.
 STOP_WORDS = (
@@ -21,29 +20,70 @@ STOP_WORDS = (
 
 # Folds that canonical decomposition does not give.
 FOLDS = {
-    "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ø": "O", "ø": "o", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d",
-    "Þ": "TH", "þ": "th", "ß": "ss", "ẞ": "SS", "Ħ": "H", "ħ": "h", "ı": "i", "Ŀ": "L", "ŀ": "l", "Ŧ": "T", "ŧ": "t",
-    "«": '"', "»": '"', "“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "‚": "'", "–": "-", "—": "-", "‐": "-", "…": "...",
+    "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Ĳ": "IJ", "ĳ": "ij", "ß": "ss", "ẞ": "SS", "Ł": "L", "ł": "l", "Đ": "D", "đ": "d", "Ð": "D", "ð": "d",
+    "Ø": "O", "ø": "o", "Þ": "TH", "þ": "th", "Ħ": "H", "ħ": "h", "Ŧ": "T", "ŧ": "t", "Ŀ": "L", "ŀ": "l", "ı": "i", "Ŋ": "N", "ŋ": "n", "Ə": "E", "ə": "e",
+    "«": '"', "»": '"', "“": '"', "”": '"', "„": '"', "‘": "'", "’": "'", "‚": "'", "–": "-", "—": "-",
+}
+# The letters that the search-side tokenizer folds, one to one.
+ONE_TO_ONE = {
+    c: base
+    for base, letters in {
+        "a": "àáâãäå", "A": "ÀÁÂÃÄÅ", "c": "ç", "C": "Ç", "e": "èéêë", "E": "ÈÉÊË", "i": "ìíîï", "I": "ÌÍÎÏ", "n": "ñ", "N": "Ñ", "o": "òóôõö", "O": "ÒÓÔÕÖ",
+        "u": "ùúûü", "U": "ÙÚÛÜ", "y": "ýÿ", "Y": "ÝŸ",
+    }.items()
+    for c in letters
 }
-#: One-to-one folding of accented Latin letters, used where a search-side tokenizer must keep lengths.
-ONE_TO_ONE = {c: b for c in map(chr, range(0xC0, 0x180)) if len(b := "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))) == 1 and b != c and b.isascii()}
 
 _SPLITS = {"standard": r"[^\p{L}\p{N}]+", "simple": r"[^\p{L}]+", "stop": r"[^\p{L}]+", "norm": r"[^\p{L}\p{N}]+"}
 _NOT_SPACE = r"(?U)\s+"
 
 
+def _unmarked(text: str) -> str:
+    """Canonical decomposition without marks."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M")
+
+
 def fold(text: str | None) -> str | None:
-    """ASCII folding: the table above, then canonical decomposition without combining marks."""
+    """ASCII folding: the table above, then canonical decomposition without marks."""
     if text is None or text.isascii():
         return text
-    text = "".join(FOLDS.get(c, c) for c in text)
-    return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-
-
-@F.pandas_udf(T.StringType())
-def asciifold(s: pd.Series) -> pd.Series:
-    """ASCII folding of a column (Spark has no canonical decomposition)."""
-    return s.map(fold)
+    return _unmarked("".join(FOLDS.get(c, c) for c in text))
+
+
+@cache
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """By rule from the character database: letters and what single character each becomes (those beyond are dropped), and the longer folds."""
+    single, gone, longer = {}, [], {}
+    for c in map(chr, (*range(0x80, 0xAC00), *range(0xF900, 0x30000))):
+        folded = fold(c)
+        if folded != c:
+            if len(folded) == 1:
+                single[c] = folded
+            elif folded:
+                longer[c] = folded
+            else:
+                gone.append(c)
+    return "".join(single) + "".join(gone), "".join(single.values()), longer
+
+
+def asciifold(c: Column) -> Column:
+    """ASCII folding of a column, inside the JVM; Hangul syllables fall into their letters by arithmetic."""
+    given, wanted, longer = _fold_tables()
+    out = F.translate(c, given, wanted)
+    for a, b in longer.items():
+        out = F.when(F.contains(out, F.lit(a)), F.replace(out, F.lit(a), F.lit(b))).otherwise(out) if a not in FOLDS else F.replace(out, F.lit(a), F.lit(b))
+    letter = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 4, "0")), "UTF-16BE")
+
+    def split_up(x: Column) -> Column:
+        n = F.conv(F.hex(F.encode(x, "UTF-16BE")), 16, 10).cast("int") - 0xAC00
+        last = n % 28
+        return F.concat(letter((n / 588).cast("int") + 0x1100), letter((n % 588 / 28).cast("int") + 0x1161), F.when(last > 0, letter(last + 0x11A7)).otherwise(""))
+
+    korean = F.array_join(F.transform(F.split(out, ""), lambda x: F.when(x.between("\uac00", "\ud7a3"), split_up(x)).otherwise(x)), "")
+    return F.when(F.translate(c, _ASCII, "") == "", c).otherwise(F.when(out.rlike("[\uac00-\ud7a3]"), korean).otherwise(out))
+
+
+_ASCII = "".join(map(chr, range(0x80)))
 
 
 def fold_letters(c: Column) -> Column:

@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 K1, B = 1.2, 0.75
 
@@ -30,28 +28,30 @@ def osa(a: str, b: str, most: int = 2) -> int:
     return min(row[-1], most + 1)
 
 
-def within_edits(tokens: Column, term: str, edits: int) -> Column:
-    """Some token lies within ``edits`` of ``term``. Tokens of another length class never reach Python."""
-    near = F.filter(tokens, lambda t: F.length(t).between(len(term) - edits, len(term) + edits))
+def near(t: Column, term: str, edits: int) -> Column:
+    """A token lies within ``edits`` (up to two) of ``term``, swaps of neighbours included; no part is edited twice."""
     if edits == 0:
-        return F.array_contains(tokens, term)
-    if edits == 1:  # one edit, or one swap of neighbours
-        swaps = sorted({term[:i] + term[i + 1] + term[i] + term[i + 2 :] for i in range(len(term) - 1)})
-        return F.exists(near, lambda t: (F.levenshtein(t, F.lit(term)) <= 1) | t.isin(swaps))
-
-    @F.pandas_udf(T.BooleanType())
-    def some(s: pd.Series) -> pd.Series:
-        seen: dict[str, bool] = {}
+        return t == term
+    plain = F.levenshtein(t, F.lit(term)) <= edits
+    swap = lambda s, i: s[:i] + s[i + 1] + s[i] + s[i + 2 :]
+    once = sorted({swap(term, i) for i in range(len(term) - 1)})
+    if edits == 1:
+        return plain | t.isin(once) if once else plain
+    twice = sorted({swap(swap(term, i), j) for i in range(len(term) - 1) for j in range(i + 2, len(term) - 1)})
+    out = plain | t.isin([*once, *twice]) if once else plain
+    for i in range(len(term) - 1):  # one swap, and one edit before or after it
+        before, middle, after = term[:i], term[i + 1] + term[i], term[i + 2 :]
+        head, tail = before + middle, middle + after
+        out = out | (t.startswith(head) & (F.levenshtein(F.substring(t, F.lit(len(head) + 1), F.length(t)), F.lit(after)) <= 1))
+        out = out | (t.endswith(tail) & (F.levenshtein(F.substring(t, F.lit(1), F.length(t) - len(tail)), F.lit(before)) <= 1))
+    return out
 
-        def close(t: str) -> bool:
-            if t not in seen:
-                seen[t] = osa(term, t, edits) <= edits
-            return seen[t]
 
-        return s.map(lambda ts: any(map(close, ts)))
-
-    # Two edits of plain distance 2 are 2 here too; swaps only matter up to a plain distance of 4.
-    return some(F.filter(near, lambda t: F.levenshtein(t, F.lit(term)) <= 2 * edits))
+def within_edits(tokens: Column, term: str, edits: int) -> Column:
+    """Some token lies within ``edits`` of ``term``."""
+    if edits == 0:
+        return F.array_contains(tokens, term)
+    return F.exists(tokens, lambda t: F.length(t).between(len(term) - edits, len(term) + edits) & near(t, term, edits))
 
 
 def fuzziness(value, length: int) -> int:
@@ -70,10 +70,11 @@ def fuzziness(value, length: int) -> int:
 
 def expand_fuzzy(dictionary, term: str, edits: int, prefix: int = 0, limit: int = 50):
     """Terms of a one-column DataFrame ``term`` near a term, nearest first, ties by the term."""
-    distance = F.pandas_udf(lambda s: s.map(lambda t: osa(term, t, edits)), T.IntegerType())
-    found = dictionary.filter(F.substring("term", 1, prefix) == term[:prefix]) if prefix else dictionary
-    found = found.filter(F.length("term").between(len(term) - edits, len(term) + edits)).distinct()
-    return found.withColumn("edits", distance("term")).filter(F.col("edits") <= edits).orderBy("edits", "term").limit(limit)
+    t = F.col("term")
+    found = dictionary.filter(F.substring(t, 1, prefix) == term[:prefix]) if prefix else dictionary
+    found = found.filter(F.length(t).between(len(term) - edits, len(term) + edits)).distinct()
+    least = F.coalesce(*[F.when(near(t, term, n), n) for n in range(edits + 1)])
+    return found.withColumn("edits", least).filter(F.col("edits").isNotNull()).orderBy("edits", "term").limit(limit)
 
 
 def wildcard_regex(pattern: str) -> str:
@@ -93,6 +94,11 @@ def quantise(dl: int) -> int:
     return dl if w < 8 else 24 + ((w >> (s := w.bit_length() - 4)) << s)
 
 
+def tf_idf(tf: Column) -> Column:
+    """The older scorer's weight of a term: one and the logarithm of its frequency."""
+    return 1 + F.log(tf)
+
+
 def idf(n: float, df: float) -> float:
     return math.log(1 + (n - df + 0.5) / (df + 0.5))
 
