@@ -7,26 +7,30 @@ fields. Metadata lives on the driver; nothing here brings more than a page of hi
 from __future__ import annotations
 
 import datetime as dt
-import fnmatch
+import itertools
 import json
 import re
 import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillstone.functions import text as tx
 from quillstone.plans import dsl
 from quillstone.plans.compiler import TOKENS, Compiler
 from quillstone.plans.dsl import QueryError
 from quillstone.plans.mapping import Mapping
+from quillstone.sources import bulk as bulk_source
 
 from . import aggregations, highlight
 
 WINDOW = 10_000
+#: Bytes of a bulk request.
+BODY = 16 << 20
 
 
 @dataclass
@@ -72,6 +76,8 @@ class Engine:
         self.components: dict[str, dict] = {}
         self._scrolls: dict[str, dict] = {}
         self._cache: dict[tuple, dict] = {}
+        self._versions = itertools.count(1)  # never used twice, so a re-created index has none of its predecessor's
+        self._requests = {"search": 0, "bulk": 0, "count": 0}
 
     # ------------------------------------------------------------ catalogue
 
@@ -84,13 +90,13 @@ class Engine:
             raise QueryError("an index takes [settings], [mappings] and [aliases]")
         full: dict = {}
         for _, t in sorted(self.templates.items(), key=lambda x: (x[1].get("priority", 0), x[0])):
-            if any(fnmatch.fnmatchcase(name, p) for p in t["index_patterns"]):
+            if any(re.fullmatch(tx.wildcard_regex(p).removeprefix("^(?s)").removesuffix("$"), name, re.S) for p in t["index_patterns"]):
                 full = merge(full, t["template"])
         full = merge(full, body or {})
         mapping = Mapping.parse(full.get("mappings"), full.get("settings"))
         if docs is None:
             docs = self.spark.createDataFrame([], "_ord long, _id string")
-        self.indices[name] = Index(name, docs, mapping.infer(docs.schema), full.get("settings", {}))
+        self.indices[name] = Index(name, docs, mapping.infer(docs.schema), full.get("settings", {}), next(self._versions))
         for a, definition in (full.get("aliases") or {}).items():
             self.aliases.setdefault(a, {})[name] = definition
         return self.indices[name]
@@ -129,7 +135,7 @@ class Engine:
     def put_mapping(self, name: str, body: dict) -> None:
         for i in self.resolve(name):
             i.mapping = i.mapping.merge(Mapping.parse(body))
-            i.version += 1
+            i.version = next(self._versions)
 
     def get_mapping(self, name: str) -> dict:
         return {i.name: {"mappings": i.mapping.body()} for i in self.resolve(name)}
@@ -169,7 +175,7 @@ class Engine:
         c = Compiler(i.mapping, i.docs.schema)
         texts = [f for f, spec in i.mapping.fields.items() if spec.type == "text" and c.known(f)]
         i.docs.withColumns({TOKENS.format(f): c.tokens(f) for f in texts}).write.mode("overwrite").parquet(path)
-        i.docs, i.version = self.spark.read.parquet(path), i.version + 1
+        i.docs, i.version = self.spark.read.parquet(path), next(self._versions)
         return i
 
     # ------------------------------------------------------------ search
@@ -179,12 +185,12 @@ class Engine:
 
     def matched(self, i: Index, q: dsl.Query, min_score: float | None = None) -> DataFrame:
         """The matching documents, with ``_score`` (null if the query does not score)."""
-        c = self.compiler(i)
-        out = i.docs.filter(c.match(q))
-        if not q.scoring:
-            return out.withColumn("_score", F.lit(None).cast("double"))
-        out = out.withColumn("_score", c.score(q, c.statistics(i.docs, q)))
-        return out if min_score is None else out.filter(F.col("_score") >= min_score)
+        plain = self.compiler(i)
+        docs, c = plain.prepared(i.docs, q)
+        out = docs.filter(c.predicate(q))
+        score = c.score(q, plain.statistics(i.docs, q)) if q.scoring else F.lit(None).cast("double")
+        out = out.select(*[F.col(f"`{n}`") for n in i.docs.columns], score.alias("_score"))
+        return out if min_score is None or not q.scoring else out.filter(F.col("_score") >= min_score)
 
     def _all(self, target: str, q: dsl.Query, min_score: float | None = None) -> DataFrame:
         """Matches of all indices of a target; statistics are each index's own."""
@@ -192,10 +198,11 @@ class Engine:
         parts = [self.matched(i, q, min_score).withColumns({"_index": F.lit(i.name), "_rank": F.lit(n)}) for n, i in enumerate(found)]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-    def hits(self, target: str, body: dict | None = None) -> Hits:
+    def hits(self, target: str, body: dict | None = None, deep: bool = False) -> Hits:
+        """``deep`` lifts the limit of the window, as later pages of a scroll need."""
         body = body or {}
         q = dsl.parse(body["query"]) if body.get("query") else dsl.MatchAll()
-        start, size = _window(body)
+        start, size = _window(body, deep)
         low = body.get("min_score")
         if low is not None and (isinstance(low, bool) or not isinstance(low, (int, float)) or low < 0):
             raise QueryError("[min_score] must be a number of 0 or more")
@@ -212,17 +219,18 @@ class Engine:
             total, relation = totals, "gte"
         return Hits(page, total, relation, summary["m"])
 
-    def search(self, target: str, body: dict | None = None, scroll: str | None = None, request_cache: bool = True) -> dict:
+    def search(self, target: str, body: dict | None = None, scroll: str | None = None, request_cache: bool = True, deep: bool = False) -> dict:
         """A whole response body."""
         body = body or {}
+        self._requests["search"] += 1
         began = time.time()
         indices = self.resolve(target)
         key = (tuple((i.name, i.version) for i in indices), json.dumps(body, sort_keys=True, default=str))
         if request_cache and scroll is None and len(indices) == 1 and key in self._cache:
             return self._cache[key]
         q = dsl.parse(body["query"]) if body.get("query") else dsl.MatchAll()
-        found = self.hits(target, body)
-        start, size = _window(body)
+        found = self.hits(target, body, deep)
+        start, size = _window(body, deep)
         rows = found.page.collect() if size else []
         shown = []
         for r in rows:
@@ -241,7 +249,13 @@ class Engine:
         spec = aggregations.parse(body.get("aggs") or body.get("aggregations"))
         if spec:
             c = self.compiler(indices[0])
-            out["aggregations"] = aggregations.run(self._all(target, q, body.get("min_score")), spec, lambda f: field_values(c, f), c.is_array)
+            matches = self._all(target, q, body.get("min_score"))
+            if len(spec) > 1:
+                matches = matches.persist()  # one match set for all
+            try:
+                out["aggregations"] = aggregations.run(matches, spec, lambda f: field_values(c, f), c.is_array)
+            finally:
+                matches.unpersist()
         if scroll is not None:
             out["_scroll_id"] = self._keep(target, body, start + size, scroll)
         elif request_cache and len(indices) == 1:
@@ -266,7 +280,7 @@ class Engine:
             raise QueryError("No search context found", 404, "search_context_missing_exception")
         body = {**s["body"], "from": s["at"]}
         size = body.get("size", 10)
-        out = self.search(s["target"], body, request_cache=False)
+        out = self.search(s["target"], body, request_cache=False, deep=True)
         if out["hits"]["hits"]:
             out["_scroll_id"] = self._keep(s["target"], s["body"], s["at"] + size, ttl or s["ttl"])
         return out
@@ -287,6 +301,7 @@ class Engine:
 
     def count(self, target: str, body: dict | None = None) -> int:
         """Exact number of matches, in the smaller grammar that counting has; an integer track_total_hits caps it."""
+        self._requests["count"] += 1
         q = dsl.parse(body["query"]) if body and body.get("query") is not None else dsl.MatchAll()
         _countable(q)
         found = self._all(target, q).select("_ord")
@@ -307,8 +322,85 @@ class Engine:
         out = self._all(target, dsl.MatchAll()).drop("_score").orderBy("_rank", "_ord")
         return out if size is None else out.offset(start).limit(size)
 
+    def boolean_terms(self, target: str, terms: list[tuple[str, str]], size: int = 10) -> DataFrame:
+        """(_id, _score): documents that have every (field, exact term), by the sum of the terms' scores."""
+        if size <= 0:
+            raise QueryError("[size] must be positive")
+        i = self.resolve(target)[0]
+        q = dsl.Bool(must=tuple(dsl.Match(f, w, True) for f, w in terms))
+        return self.matched(i, q).orderBy(F.desc("_score"), "_ord").limit(size).select("_id", "_score")
+
+    # ------------------------------------------------------------ writing
+
+    def bulk(self, body: str, target: str | None = None) -> dict:
+        """Apply a request body of operations in order; unknown indices are created, aliases lead to their write index."""
+        self._requests["bulk"] += 1
+        if len(body.encode()) > BODY:
+            raise QueryError(f"a body has at most {BODY} bytes", 413, "content_too_long_exception")
+        ops = bulk_source.parse(body, target)
+        items: list[dict] = [{} for _ in ops]
+        by: dict[str, list] = {}
+        for o in ops:
+            if o.error:
+                items[o.seq] = {o.action or "index": {"status": 400, "error": {"type": "parsing_exception", "reason": o.error}}}
+            else:
+                by.setdefault(self.write_target(o.index), []).append(replace(o, id=uuid.uuid4().hex if o.id is None else str(o.id)))
+        for name, mine in by.items():
+            for o, status in zip(mine, self._write(name, mine)):
+                failed = {"error": {"type": "version_conflict_engine_exception", "reason": "document already exists"}} if status == 409 else {}
+                items[o.seq] = {o.action: {"_index": name, "_id": o.id, "status": status, **failed}}
+        return bulk_source.response(items)
+
+    def put_document(self, target: str, key: str, source: dict) -> dict:
+        """Write one document whole; it is always reported as created."""
+        if not isinstance(source, dict):
+            raise QueryError("a document must be an object")
+        name = self.write_target(target)
+        self._write(name, [bulk_source.Operation(0, "index", name, key, source)])
+        return {"_index": name, "_id": key, "_version": 1, "result": "created"}
+
+    def _write(self, name: str, ops: list) -> list[int]:
+        """Statuses of one index's operations, in order; the operations are one request's."""
+        i = self.indices.get(name) or self.create(name)
+        text = self.spark.createDataFrame([(o.seq, o.action, o.id, json.dumps(o.source) if o.source is not None else None) for o in ops], "seq long, action string, _id string, source string")
+        fields = {k: v for o in ops for k, v in (o.source or {}).items() if v is not None}
+        have = {f.name: f.dataType for f in i.docs.schema.fields}
+        new = {k: t for k, v in fields.items() if k not in have and (t := json_type(v)) is not None}
+        docs = i.docs.select("*", *[F.lit(None).cast(t).alias(k) for k, t in new.items()])
+        made = [f for f in docs.columns if not f.startswith("_")]
+        kept = docs.select("_ord", "_id", *made)
+        if made:
+            kind = T.StructType([kept.schema[f] for f in made])
+            parsed = text.withColumn("s", F.from_json("source", kind)).select("seq", "action", "_id", *[F.col("s")[f].alias(f) for f in made])
+        else:
+            parsed = text.select("seq", "action", "_id")
+        judged = {r["seq"]: r["status"] for r in bulk_source.statuses(kept, parsed).select("seq", "status").collect()}
+        i.docs = bulk_source.apply(kept, parsed)
+        i.mapping, i.version = i.mapping.infer(i.docs.schema), next(self._versions)
+        return [judged[o.seq] for o in ops]
+
     # ------------------------------------------------------------ looking around
 
+    def banner(self) -> dict:
+        return {"name": "node-0", "cluster_name": "quillstone", "version": {"number": "2.17.1", "distribution": "opensearch"}, "tagline": "Search as Spark plans"}
+
+    def get_index(self, name: str) -> dict:
+        return {i.name: {"aliases": {a: m[i.name] for a, m in self.aliases.items() if i.name in m}, "mappings": i.mapping.body(), "settings": i.settings} for i in self.resolve(name)}
+
+    def stats(self) -> dict:
+        """Documents and planned bytes of every index."""
+        size = lambda i: int(str(i.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return {"indices": {n: {"docs": {"count": i.docs.count()}, "store": {"size_in_bytes": size(i)}} for n, i in sorted(self.indices.items())}}
+
+    def metrics(self) -> str:
+        """Counters in the text format that scrapers read."""
+        lines = [line for k, v in sorted(self._requests.items()) for line in (f"# TYPE quillstone_{k}_requests_total counter", f"quillstone_{k}_requests_total {v}")]
+        return "\n".join([*lines, "# TYPE quillstone_indices gauge", f"quillstone_indices {len(self.indices)}", ""])
+
+    def cat_health(self) -> list[dict]:
+        n = str(len(self.indices))
+        return [{"cluster": "quillstone", "status": "green", "node.total": "1", "node.data": "1", "shards": n, "pri": n, "relo": "0", "init": "0", "unassign": "0", "active_shards_percent": "100.0%"}]
+
     def field_caps(self, target: str, fields: list[str]) -> dict:
         out: dict[str, dict] = {}
         for i in self.resolve(target):
@@ -326,16 +418,29 @@ class Engine:
     def cat_count(self, target: str) -> list[dict]:
         return [{"count": str(self.count(target))}]
 
-    def health(self) -> dict:
-        return {"status": "green", "number_of_nodes": 1, "active_primary_shards": len(self.indices)}
+    def health(self, index: str | None = None) -> dict:
+        if index is not None and index not in self.indices:
+            raise missing(index)
+        return {"status": "green", "number_of_nodes": 1, "active_primary_shards": 1 if index else len(self.indices)}
+
+
+def json_type(v) -> T.DataType | None:
+    """The type of a column that takes a JSON value; none for null."""
+    if isinstance(v, dict):
+        inner = {k: json_type(x) for k, x in v.items()}
+        return T.StructType([T.StructField(k, t) for k, t in inner.items() if t is not None])
+    if isinstance(v, list):
+        first = next((t for t in map(json_type, v) if t is not None), T.StringType())
+        return T.ArrayType(first)
+    return next((t for kind, t in ((bool, T.BooleanType()), (int, T.LongType()), (float, T.DoubleType()), (str, T.StringType())) if isinstance(v, kind)), None)
 
 
-def _window(body: dict) -> tuple[int, int]:
+def _window(body: dict, deep: bool = False) -> tuple[int, int]:
     start, size = body.get("from", 0), body.get("size", 10)
     for k, v in (("from", start), ("size", size)):
         if isinstance(v, bool) or not isinstance(v, int) or v < 0:
             raise QueryError(f"[{k}] must be a number of 0 or more")
-    if start + (size if "size" in body else 0) > WINDOW:
+    if not deep and start + (size if "size" in body else 0) > WINDOW:
         raise QueryError(f"Result window is too large, from + size must be at most {WINDOW}", 400, "illegal_argument_exception")
     return start, size
 

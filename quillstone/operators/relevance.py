@@ -2,10 +2,36 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANGES = 64
+
+
+def top_docs(scores: DataFrame, size: int) -> tuple[int, DataFrame]:
+    """(number of documents, the best of them) of ``scores`` (doc, score): highest first, ties by doc; scores must be finite."""
+    if size <= 0:
+        raise ValueError("size must be positive")
+    found = scores.agg(F.count("*").alias("n"), F.count_if(F.isnan("score") | (F.abs("score") == float("inf"))).alias("bad")).first()
+    if found["bad"]:
+        raise ValueError("a score is not finite")
+    return found["n"], scores.orderBy(F.desc("score"), "doc").limit(size)
+
+
+def report(runs: DataFrame, limits: DataFrame) -> DataFrame:
+    """(metric, median, most, baseline, ok, change): runs (metric, value) against limits (metric, most, baseline).
+
+    A metric is ok if its median is at most ``most``; ``change`` is the median's change from ``baseline`` in per cent.
+    """
+    medians = runs.filter(F.col("value").isNotNull()).groupBy("metric").agg(F.median("value").alias("median"))
+    return limits.join(medians, "metric", "left").select(
+        "metric", "median", "most", "baseline", F.coalesce(F.col("median") <= F.col("most"), F.lit(False)).alias("ok"), F.round((F.col("median") / F.col("baseline") - 1) * 100, 3).alias("change")
+    )
+
+
 def ndcg(hits: DataFrame, judgements: DataFrame, k: int = 10, graded: bool = False) -> DataFrame:
     """(query_id, ndcg) for ``hits`` (query_id, doc_id, rank from 1) and ``judgements`` (query_id, doc_id, rel > 0)."""
     gain = (lambda c: F.pow(F.lit(2.0), c) - 1) if graded else (lambda c: F.lit(1.0))
@@ -28,11 +54,26 @@ def recall(hits: DataFrame, judgements: DataFrame, k: int = 10, any_hit: bool =
 
 
 def nearest_rank(df: DataFrame, value: str, percents: list[float]) -> DataFrame:
-    """(percent, value): exact nearest-rank percentiles; ranks are found by counting, not by gathering."""
-    n = df.filter(F.col(value).isNotNull()).count()
+    """(percent, value): exact nearest-rank percentiles of a number; ranks are found by counting, not by gathering.
+
+    Values fall into about ``RANGES`` ranges of like size, whose totals come to the driver; only within a range are values put in order.
+    """
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__n"))
-    upto = counts.withColumn("__upto", F.sum("__n").over(Window.orderBy(value)))
-    wanted = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.greatest(F.ceil(F.lit(p / 100 * n)), F.lit(1)).alias("rank")) for p in percents])
+    edges = counts.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("e")).first()["e"] or []
+    own = F.size(F.filter(F.array(*[F.lit(e) for e in sorted(set(edges))]), lambda e: e < F.col(value))) if edges else F.lit(0)
+    counts = counts.withColumn("__range", own)
+    totals = {r["__range"]: r["n"] for r in counts.groupBy("__range").agg(F.sum("__n").alias("n")).collect()}  # a row a range
+    before, n = {}, 0
+    for k in sorted(totals):
+        before[k], n = n, n + totals[k]
+    ranks = {p: max(1, math.ceil(p / 100 * n)) for p in percents}
+    needed = sorted({k for k in totals for r in ranks.values() if before[k] < r <= before[k] + totals[k]})
+    if not needed:
+        return df.sparkSession.createDataFrame([], f"percent double, {value} {dict(df.dtypes)[value]}")
+    counts = counts.filter(F.col("__range").isin(needed))
+    offset = F.element_at(F.create_map(*[x for k in needed for x in (F.lit(k), F.lit(before[k]))]), F.col("__range"))
+    upto = counts.withColumn("__upto", offset + F.sum("__n").over(Window.partitionBy("__range").orderBy(value)))
+    wanted = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.lit(r).alias("rank")) for p, r in ranks.items()])
     hit = upto.select(value, "__upto", (F.col("__upto") - F.col("__n")).alias("__from"), F.explode(wanted).alias("p"))
     return hit.filter((F.col("p.rank") > F.col("__from")) & (F.col("p.rank") <= F.col("__upto"))).select("p.percent", value)
 

@@ -24,8 +24,8 @@ from .mapping import Mapping
 
 EARTH = 6_371_008.8
 NUMBERS = ("integer", "long", "short", "byte", "float", "double")
-#: Name of the column with a field's tokens.
-TOKENS = "__tokens:{}"
+#: Names of the columns with a field's tokens, as indexed and as the search-side tokenizer gives them.
+TOKENS, LOOSE = "__tokens:{}", "__loose:{}"
 
 
 @dataclass
@@ -72,7 +72,50 @@ class Compiler:
 
     def loose(self, name: str) -> Column:
         """Search-side tokens, as prefixes, wildcards and fuzzy terms see them."""
-        return self._tokens(name, "search")
+        stored = LOOSE.format(name)
+        return F.col(f"`{stored}`") if stored in self.schema.fieldNames() else self._tokens(name, "search")
+
+    def prepared(self, docs: DataFrame, q: dsl.Query, scores_only: bool = False) -> tuple[DataFrame, Compiler]:
+        """``docs`` with the token columns that a query needs, made once a row, and the compiler that reads them.
+
+        They pass through a one-row ``explode``: else the optimiser would put the tokenizer's expression back into every
+        predicate and every term's count. Predicates on other columns still go below it.
+        """
+        wanted: dict[str, Column] = {}
+
+        def need(form: str, f: str) -> None:
+            if self.known(f) and form.format(f) not in self.schema.fieldNames():
+                wanted[form.format(f)] = (self.tokens if form == TOKENS else self.loose)(f)
+
+        def walk(x) -> None:
+            if isinstance(x, (dsl.Match, dsl.Phrase, dsl.Term, dsl.Terms)):
+                if self.plain_keyword(x.field) is None:
+                    need(TOKENS, x.field)
+            elif isinstance(x, dsl.MultiMatch):
+                for f in x.fields:
+                    need(TOKENS, f)
+            elif isinstance(x, (dsl.Fuzzy, dsl.Prefix, dsl.Wildcard)):
+                need(LOOSE, x.field)
+                need(TOKENS, x.field)
+            elif isinstance(x, dsl.Bool):
+                for c in (*x.must, *x.filter, *x.must_not, *x.should):
+                    walk(c)
+            elif isinstance(x, dsl.FunctionScore):
+                walk(x.query)
+                for f in x.functions:
+                    if f.filter:
+                        walk(f.filter)
+
+        if scores_only:
+            for f in self.scored_terms(q):
+                need(TOKENS, f)
+        else:
+            walk(q)
+        if not wanted:
+            return docs, self
+        one = docs.withColumn("__made", F.explode(F.array(F.struct(*[c.alias(n) for n, c in wanted.items()]))))
+        out = one.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("__made")[n].alias(n) for n in wanted])
+        return out, Compiler(self.mapping, out.schema, self.now)
 
     def query_tokens(self, name: str, text: str) -> list[str]:
         found = self.mapping.analyzer(name, query=True)
@@ -86,10 +129,25 @@ class Compiler:
     def _m_MatchAll(self, q) -> Column:
         return F.lit(True)
 
+    def predicate(self, q: dsl.Query) -> Column:
+        """As ``match``, for a filter: null there is false, so conjunctions stay apart and simple ones reach the scan."""
+        if isinstance(q, dsl.Bool):
+            return self._m_Bool(q, self.predicate)
+        return getattr(self, "_m_" + type(q).__name__)(q)
+
+    def plain_keyword(self, name: str) -> Column | None:
+        """The column itself if its only token is its whole value."""
+        if not self.known(name) or self.is_array(name) or self.source(name) != name:
+            return None
+        return self.col(name) if (self.mapping.analyzer(name) or ("", {}))[0] == "keyword" and isinstance(self.schema[name].dataType, T.StringType) else None
+
     def _some(self, name: str, words: list[str], every: bool) -> Column:
         if not words:
             return F.lit(False)
         words = list(dict.fromkeys(words))
+        whole = self.plain_keyword(name)
+        if whole is not None:
+            return (whole == words[0]) if len(words) == 1 else F.lit(False) if every else whole.isin(words)
         toks = self.tokens(name)
         if every:
             return reduce(lambda a, b: a & b, [F.array_contains(toks, w) for w in words])
@@ -102,9 +160,9 @@ class Compiler:
         words = self.query_tokens(q.field, q.text)
         if not words:
             return F.lit(False)
-        want, toks = F.array(*map(F.lit, words)), self.tokens(q.field)
-        starts = F.when(F.size(toks) >= len(words), F.sequence(F.lit(1), F.size(toks) - len(words) + 1)).otherwise(F.array().cast("array<int>"))
-        return self._some(q.field, words, True) & F.exists(starts, lambda i: F.slice(toks, i, len(words)) == want)
+        # No token holds the separator, so a run of tokens is a part of the joined string.
+        line = F.concat(F.lit("\x01"), F.array_join(self.tokens(q.field), "\x01"), F.lit("\x01"))
+        return F.contains(line, F.lit("\x01" + "\x01".join(words) + "\x01"))
 
     def _m_Term(self, q) -> Column:
         return self._some(q.field, self.query_tokens(q.field, q.value)[:1], False)
@@ -115,9 +173,11 @@ class Compiler:
     #: Cheap clauses first: the JVM stops at the first that fails.
     _COST = {"Range": 0, "Exists": 0, "Term": 1, "Terms": 1, "GeoBox": 1, "Match": 2, "MultiMatch": 3, "Phrase": 3, "Prefix": 4, "Wildcard": 4, "Fuzzy": 9}
 
-    def _m_Bool(self, q) -> Column:
-        cost = lambda c: self._COST.get(type(c).__name__, 5)
-        parts = [self.match(c) for c in sorted((*q.must, *q.filter), key=cost)] + [~self.match(c) for c in sorted(q.must_not, key=cost)]
+    def _m_Bool(self, q, inner=None) -> Column:
+        cost, inner = lambda c: self._COST.get(type(c).__name__, 5), inner or self.match
+        needed = sorted((*q.must, *q.filter), key=cost)
+        parts = [inner(c) for c in needed] + [~self.match(c) for c in sorted(q.must_not, key=cost)]
+        parts += [p for c in needed if isinstance(c, dsl.Prefix) and (p := self._prefix_terms(c)) is not None]
         n, least = len(q.should), q.required()
         if n and least:
             should = [self.match(c) for c in q.should]
@@ -147,13 +207,16 @@ class Compiler:
             value = self.day_column(c, f.format)
             inside = reduce(lambda a, b: a & b, [self._compare(value, op, F.lit(d)) for op, d in days])
             return F.when(value.isNotNull(), inside).otherwise(self._plain_range(c.cast("string"), q.bounds, False))
-        numeric = self.known(q.field) and isinstance(self.schema[self.source(q.field)].dataType, T.NumericType)
+        kind = self.schema[self.source(q.field)].dataType if self.known(q.field) else T.StringType()
+        numeric = isinstance(kind, T.NumericType)
+        if isinstance(kind, T.IntegralType) and all(isinstance(v, int) and abs(v) < 1 << 31 for _, v in q.bounds if isinstance(v, (int, float))):
+            return self._plain_range(c, q.bounds, True, int)  # without a cast, so that it reaches the scan
         return self._plain_range(c.cast("double") if numeric else c.cast("string"), q.bounds, numeric)
 
-    def _plain_range(self, c: Column, bounds, numeric: bool) -> Column:
+    def _plain_range(self, c: Column, bounds, numeric: bool, number=float) -> Column:
         """A bound of the other kind does not restrict; null values match nothing."""
         usable = [(op, v) for op, v in bounds if isinstance(v, (int, float)) == numeric]
-        return reduce(lambda a, b: a & b, [self._compare(c, op, F.lit(float(v) if numeric else v)) for op, v in usable], c.isNotNull())
+        return reduce(lambda a, b: a & b, [self._compare(c, op, F.lit(number(v) if numeric else v)) for op, v in usable], c.isNotNull())
 
     @staticmethod
     def _compare(a: Column, op: str, b: Column) -> Column:
@@ -203,6 +266,19 @@ class Compiler:
         start = "".join(an.host_tokens(q.text, "search")[:1]) or q.text.lower()
         return F.exists(self.loose(q.field), lambda t: t.startswith(start))
 
+    def _prefix_terms(self, q) -> Column | None:
+        """What a required prefix asks of the indexed terms besides: of keyword and date fields that the whole value begins so,
+        of fields with stored prefixes of that length that a term does."""
+        f, start = self.mapping.get(q.field), "".join(self.query_tokens(q.field, q.text)[:1])
+        if not f or not start or not self.known(q.field):
+            return None
+        if f.prefixes:
+            return F.exists(self.tokens(q.field), lambda t: t.startswith(start)) if f.prefixes[0] <= len(start) <= f.prefixes[1] else None
+        if f.type not in ("keyword", "date"):
+            return None
+        whole = self.plain_keyword(q.field)
+        return whole.startswith(start) if whole is not None else F.exists(self.tokens(q.field), lambda t: t.startswith(start))
+
     def _m_Wildcard(self, q) -> Column:
         pattern = tx.wildcard_regex(q.text.lower().translate(str.maketrans(an.ONE_TO_ONE)))
         return F.exists(self.loose(q.field), lambda t: t.rlike(pattern))
@@ -267,7 +343,8 @@ class Compiler:
         if not wanted:
             return Statistics()
         aggs = []
-        prepared = docs.select(*[self.tokens(f).alias(f"t{i}") for i, f in enumerate(wanted)])
+        docs, made = self.prepared(docs, q, scores_only=True)
+        prepared = docs.select(*[made.tokens(f).alias(f"t{i}") for i, f in enumerate(wanted)])
         for i, terms in enumerate(wanted.values()):
             t = F.col(f"t{i}")
             aggs += [F.count_if(F.size(t) > 0).alias(f"n{i}"), F.sum(F.size(t)).alias(f"s{i}")]

@@ -1,4 +1,4 @@
-"""Streaming ingestion: micro-batches of bulk lines applied to an index table, last write wins."""
+"""Streaming ingestion: micro-batches of bulk lines kept as a log of operations, last write wins."""
 
 from __future__ import annotations
 
@@ -9,33 +9,55 @@ from quillstone.sources import bulk
 
 
 def upsert_stream(lines: DataFrame, table: str, schema: str, checkpoint: str):
-    """Apply a stream of (seq, action, _id, source JSON) to a versioned Parquet table.
+    """Keep a stream of (seq, action, _id, source JSON) as ``<table>/ops/b=<batch>``; ``schema`` is that of the source.
 
-    Every batch writes ``<table>/v=<batch>`` from the version before it, so a batch that is run again after a
-    failure gives the same files. ``schema`` is that of the source.
+    A batch writes its own operations and nothing else, and the same files if it is run again. ``latest`` puts the
+    operations of all batches in the order of ``seq``, so it does not matter in which batch one arrives.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        empty = spark.createDataFrame([], "_ord long, _id string").withColumn("s", F.lit(None).cast(f"struct<{_struct(schema)}>")).select("_ord", "_id", "s.*")
-        before = spark.read.schema(empty.schema).parquet(f"{table}/v={number - 1}") if number else empty
         ops = rows.withColumn("s", F.from_json("source", schema)).select("seq", "action", "_id", "s.*")
-        bulk.apply(before, ops).write.mode("overwrite").parquet(f"{table}/v={number}")
+        ops.write.mode("overwrite").parquet(f"{table}/ops/b={number}")
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
 
-def _struct(ddl: str) -> str:
-    return ", ".join(f"{p.split()[0]}:{p.split()[1]}" for p in ddl.split(","))
+def _versions(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the complete folders ``<prefix><number>`` below a path."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith(prefix)]
+    return sorted(int(n.getName()[len(prefix) :]) for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(n, "_SUCCESS")))
 
 
 def latest(spark: SparkSession, table: str) -> DataFrame:
-    """The newest complete version of a table."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(table)
-    fs = p.getFileSystem(conf)
-    versions = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{table}/v={max(versions)}")
+    """The table after all operations: the newest compacted state, and what came with a later ``seq``."""
+    batches, states = _versions(spark, f"{table}/ops", "b="), _versions(spark, f"{table}/state", "upto=")
+    if not batches and not states:
+        raise ValueError(f"there is nothing at {table}")
+    ops = spark.read.parquet(*[f"{table}/ops/b={b}" for b in batches]) if batches else None
+    if states:
+        base = spark.read.parquet(f"{table}/state/upto={states[-1]}")
+        return base if ops is None else bulk.apply(base, ops.filter(F.col("seq") > states[-1]))
+    fields = [f for f in ops.schema.fields if f.name not in ("seq", "action", "_id")]
+    empty = spark.createDataFrame([], "_ord long, _id string").select("_ord", "_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    return bulk.apply(empty, ops)
+
+
+def compact(spark: SparkSession, table: str, upto: int) -> DataFrame:
+    """Fold the operations up to ``upto`` into a state, so that ``latest`` reads fewer; any that still arrive below it are ignored."""
+    states = _versions(spark, f"{table}/state", "upto=")
+    ops = spark.read.parquet(*[f"{table}/ops/b={b}" for b in _versions(spark, f"{table}/ops", "b=")]).filter(F.col("seq") <= upto)
+    if states:
+        state = bulk.apply(spark.read.parquet(f"{table}/state/upto={states[-1]}"), ops.filter(F.col("seq") > states[-1]))
+    else:
+        fields = [f for f in ops.schema.fields if f.name not in ("seq", "action", "_id")]
+        state = bulk.apply(spark.createDataFrame([], "_ord long, _id string").select("_ord", "_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields]), ops)
+    state.write.mode("overwrite").parquet(f"{table}/state/upto={upto}")
+    return spark.read.parquet(f"{table}/state/upto={upto}")
 
 
 def windowed_counts(events: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
