@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Callable
 
@@ -16,7 +18,7 @@ from quillstone.operators import aggregations as ag
 from quillstone.operators import relevance as rv
 from quillstone.operators.engine import Engine, sort_columns
 from quillstone.plans import dsl
-from quillstone.sources import bulk, files
+from quillstone.sources import bulk, files, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -254,7 +256,21 @@ def _sort_missing(spark, sf) -> DataFrame:
 
 
 _add("sort_missing_last", _sort_missing, "SELECT d.doc_id AS id, l.quality, d.n_chars FROM documents d LEFT JOIN labels l USING (doc_id) ORDER BY l.quality DESC NULLS LAST, d.n_chars, d.doc_id LIMIT 100 OFFSET 350")
-_add("source_includes_excludes", lambda s, sf: engine(s, sf, "part").scan("part").select("p_name", "p_size"), "SELECT p_name, p_size FROM part")
+
+
+def _sources_of(table: str, body: dict, ddl: str):
+    """The sources of a response's hits."""
+
+    def run(spark, sf) -> DataFrame:
+        names = [c.split()[0] for c in ddl.split(", ")]
+        hits = engine(spark, sf, table).search(table, body)["hits"]["hits"]
+        assert all(set(h["_source"]) <= set(names) for h in hits)
+        return spark.createDataFrame([tuple(h["_source"].get(n) for n in names) for h in hits], ddl)
+
+    return run
+
+
+_add("source_includes_excludes", _sources_of("part", {"query": {"range": {"p_size": {"lte": 10}}}, "size": 10000, "_source": {"includes": ["p_name", "p_size", "p_brand"], "excludes": "p_brand"}}, "p_name string, p_size int"), "SELECT p_name, p_size FROM part WHERE p_size <= 10")
 _add("paged_scan", lambda s, sf: engine(s, sf, "orders").scan("orders", 40, 25).select(F.col("_ord").alias("id"), "day"), f"SELECT CAST(o_orderkey AS BIGINT) AS id, day FROM {FROM['orders']} ORDER BY o_orderkey LIMIT 25 OFFSET 40")
 _ids = ["7", "3", "999999999", "12"]
 _add("mget_order", lambda s, sf: engine(s, sf, "part").mget("part", _ids).select("_id", "found", "p_name"), "SELECT v.id AS _id, p.p_partkey IS NOT NULL AS found, p.p_name FROM (VALUES ('7'), ('3'), ('999999999'), ('12')) v(id) LEFT JOIN part p ON CAST(p.p_partkey AS VARCHAR) = v.id")
@@ -321,12 +337,22 @@ def _ops(spark, sf) -> DataFrame:
 _OPS = "ops AS (SELECT CAST(o_orderkey AS BIGINT) AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 'delete' WHEN o_orderkey % 5 = 0 THEN 'create' ELSE 'index' END AS action, CAST(o_custkey AS VARCHAR) AS _id, o_totalprice AS price FROM orders)"
 
 
+_WITH_UPDATES = _OPS.replace("'create'", "'update'")
+
+
 def _last_write(spark, sf) -> DataFrame:
+    """Every fifth operation an update: like the others, the last one of an id wins whole."""
     stored = spark.createDataFrame([], "_ord long, _id string, price double")
-    return bulk.apply(stored, _ops(spark, sf).filter("action <> 'create'")).select("_id", "price")
+    ops = _ops(spark, sf).withColumn("action", F.when(F.col("action") == "create", "update").otherwise(F.col("action")))
+    return bulk.apply(stored, ops).select("_id", "price")
 
 
-_add("bulk_last_write_wins", _last_write, f"WITH {_OPS}, l AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY seq DESC) AS n FROM ops WHERE action <> 'create') SELECT _id, price FROM l WHERE n = 1 AND action <> 'delete'")
+_add("bulk_last_write_wins", _last_write, f"WITH {_WITH_UPDATES}, l AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY seq DESC) AS n FROM ops) SELECT _id, price FROM l WHERE n = 1 AND action <> 'delete'")
+_add("bulk_apply_with_creates", lambda s, sf: bulk.apply(s.createDataFrame([], "_ord long, _id string, price double"), _ops(s, sf)).select("_id", "price"), f"""
+WITH RECURSIVE {_OPS}, o AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY seq) AS n FROM ops),
+r AS (SELECT _id, n, action <> 'delete' AS live, CASE WHEN action <> 'delete' THEN price END AS price FROM o WHERE n = 1
+  UNION ALL SELECT o._id, o.n, o.action <> 'delete', CASE WHEN o.action = 'delete' THEN NULL WHEN o.action = 'create' AND r.live THEN r.price ELSE o.price END FROM o JOIN r ON o._id = r._id AND o.n = r.n + 1)
+SELECT _id, price FROM r WHERE live QUALIFY row_number() OVER (PARTITION BY _id ORDER BY n DESC) = 1 AND n = (SELECT max(n) FROM o WHERE o._id = r._id)""")
 _add("create_conflicts", lambda s, sf: bulk.statuses(s.createDataFrame([], "_id string"), _ops(s, sf)).groupBy("action", "status").agg(F.count("*").alias("n")), f"""
 WITH RECURSIVE {_OPS}, o AS (SELECT *, row_number() OVER (PARTITION BY _id ORDER BY seq) AS n FROM ops),
 r AS (SELECT _id, n, action, CASE action WHEN 'index' THEN 201 WHEN 'create' THEN 201 ELSE 200 END AS status, action <> 'delete' AS live FROM o WHERE n = 1
@@ -363,24 +389,319 @@ _add("nearest_rank_percentile", lambda s, sf: rv.nearest_rank(_table(s, sf, "eve
 _add("hit_overlap", lambda s, sf: _table(s, sf, "part").groupBy("p_brand").agg(F.collect_set(F.when(F.col("p_size") > 20, F.col("p_partkey"))).alias("a"), F.collect_set(F.when(F.col("p_retailprice") > 1000, F.col("p_partkey"))).alias("b")).select("p_brand", rv.overlap(F.col("a"), F.col("b")).cast("long").alias("n")), "SELECT p_brand, count(*) FILTER (p_size > 20 AND p_retailprice > 1000) AS n FROM part GROUP BY 1")
 
 
-# ---------------------------------------------------------------- without SQL: rows only
+# ---------------------------------------------------------------- requests answered as a whole
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    """Rows as SQL."""
+    one = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else repr(v)
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(one, r)) + ')' for r in rows)}) t({names})"
 
 
-def _highlighted(spark, sf) -> DataFrame:
-    out = engine(spark, sf, "documents").search("documents", {"query": {"match": {"text": "people the"}}, "highlight": {"fields": {"text": {"fragment_size": 80, "number_of_fragments": 2}}}})
-    return spark.createDataFrame([(h["_id"], json.dumps(h.get("highlight", {}))) for h in out["hits"]["hits"]], "id string, highlight string")
+def _facts(name: str, run, want: list[tuple]) -> None:
+    """A query of (name, value) pairs that hold whatever the data."""
+    _add(name, lambda s, sf: s.createDataFrame([(k, str(v)) for k, v in run(s, sf)], "name string, value string"), _values(want, "name, value"))
+
+
+def _refused(*bodies):
+    out = []
+    for name, body in bodies:
+        try:
+            dsl.parse(body)
+            out.append((name, "accepted"))
+        except dsl.QueryError as e:
+            out.append((name, f"{e.status} {e.kind}"))
+    return out
+
+
+_BAD = [
+    ("empty bool", {"bool": {}}), ("script score", {"function_score": {"script_score": {"script": "1"}}}), ("random score", {"function_score": {"random_score": {}}}), ("two queries", {"match_all": {}, "term": {"a": 1}}),
+    ("value factor without field", {"function_score": {"field_value_factor": {}}}), ("decay without origin", {"function_score": {"gauss": {"day": {"scale": "3d"}}}}), ("decay offset", {"function_score": {"exp": {"day": {"origin": "20240101", "scale": "3d", "offset": "1d"}}}}),
+    ("empty prefix", {"prefix": {"a": ""}}), ("boosted field", {"multi_match": {"query": "x", "fields": ["a^2"]}}), ("unit", {"geo_distance": {"distance": "5cm", "p": "1,1"}}), ("fuzziness", {"fuzzy": {"a": {"value": "x", "fuzziness": 3}}}),
+]
+_facts("rejected_queries", lambda s, sf: _refused(*_BAD), [(n, "400 parsing_exception") for n, _ in _BAD])
+
+
+def _rejected_aggs(spark, sf):
+    bad = {"sub": {"terms": {"field": "a"}, "aggs": {}}, "avg": {"avg": {"field": "a"}}, "interval": {"date_histogram": {"field": "a", "calendar_interval": "hour"}}, "size": {"terms": {"field": "a", "size": -1}}}
+    for name, spec in bad.items():
+        try:
+            ag.parse({name: spec})
+            yield name, "accepted"
+        except dsl.QueryError as e:
+            yield name, e.status
+
+
+_facts("rejected_aggregations", _rejected_aggs, [(n, "400") for n in ("sub", "avg", "interval", "size")])
+
+
+def _catalog(spark, sf):
+    e = Engine(spark)
+    e.put_component("c", {"template": {"settings": {"x": {"a": 1}}}})
+    e.put_template("t1", {"index_patterns": ["log-*"], "composed_of": ["c"], "priority": 1, "template": {"mappings": {"properties": {"m": {"type": "text"}}}}})
+    e.put_template("t2", {"index_patterns": ["lo?-1", "z*"], "priority": 5, "template": {"settings": {"x": {"b": 2}}}})
+    e.create("log-1", {"aliases": {"logs": {"is_write_index": True}}})
+    e.create("log-2", {"aliases": {"logs": {}}})
+    yield "settings merged", json.dumps(e.get_index("log-1")["log-1"]["settings"])
+    yield "settings of the other", json.dumps(e.get_index("log-2")["log-2"]["settings"])
+    yield "mapping", json.dumps(e.get_mapping("log-1")["log-1"]["mappings"])
+    e.put_mapping("log-1", {"properties": {"k": {"type": "keyword"}}})
+    yield "mapping put", json.dumps(e.get_mapping("log-1")["log-1"]["mappings"])
+    yield "alias", json.dumps(e.cat_aliases())
+    yield "written to", e.write_target("logs")
+    yield "health", e.health()["active_primary_shards"]
+    yield "health of one", e.health("log-2")["active_primary_shards"]
+    yield "cat health", e.cat_health()[0]["shards"]
+    yield "banner", e.banner()["version"]["number"]
+    yield "metrics", "quillstone_indices 2" in e.metrics()
+    for name, act in (("type change", lambda: e.put_mapping("log-1", {"properties": {"k": {"type": "text"}}})), ("again", lambda: e.create("log-1")), ("upper case", lambda: e.create("Log")), ("no alias", lambda: e.update_aliases([{"remove": {"index": "log-1", "alias": "q"}}])), ("gone", lambda: e.delete("log-9")), ("health of none", lambda: e.health("log-9"))):
+        try:
+            act()
+            yield name, "accepted"
+        except dsl.QueryError as x:
+            yield name, f"{x.status} {x.kind}"
+    e.update_aliases([{"add": {"index": "log-2", "alias": "two", "filter": 1}}, {"remove": {"index": "log-1", "alias": "logs"}}])
+    yield "aliases changed", json.dumps(e.aliases)
+    e.delete("log-2")
+    yield "aliases after delete", json.dumps(e.aliases)
+
+
+_facts("catalogue_requests", _catalog, [
+    ("settings merged", '{"x": {"a": 1, "b": 2}}'), ("settings of the other", '{"x": {"a": 1}}'), ("mapping", '{"properties": {"m": {"type": "text"}}}'), ("mapping put", '{"properties": {"m": {"type": "text"}, "k": {"type": "keyword"}}}'),
+    ("alias", '[{"alias": "logs", "index": "log-1"}, {"alias": "logs", "index": "log-2"}]'), ("written to", "log-1"), ("health", "2"), ("health of one", "1"), ("cat health", "2"), ("banner", "2.17.1"), ("metrics", "True"),
+    ("type change", "400 mapper_parsing_exception"), ("again", "400 resource_already_exists_exception"), ("upper case", "400 invalid_index_name_exception"), ("no alias", "404 aliases_not_found_exception"), ("gone", "404 index_not_found_exception"), ("health of none", "404 index_not_found_exception"),
+    ("aliases changed", '{"logs": {"log-2": {}}, "two": {"log-2": {"filter": 1}}}'), ("aliases after delete", "{}"),
+])
+
+
+def _writes(spark, sf):
+    e = Engine(spark)
+    out = e.bulk('{"index":{"_index":"a","_id":"1"}}\n{"x":1,"t":"red fox"}\n{"create":{"_index":"a","_id":"1"}}\n{"x":2}\n{"update":{"_index":"a","_id":"2"}}\n{"doc":{"x":3}}\nnonsense\n{"delete":{"_index":"a","_id":"9"}}\n')
+    yield "statuses", [next(iter(i.values()))["status"] for i in out["items"]]
+    yield "errors", out["errors"]
+    e.update_aliases([{"add": {"index": "a", "alias": "w"}}])
+    yield "document", e.put_document("w", "3", {"t": "blue fox", "y": [1.5]})["result"]
+    yield "found", [h["_id"] for h in e.search("w", {"query": {"match": {"t": "fox"}}})["hits"]["hits"]]
+    before = e.search("a")["hits"]["total"]["value"]
+    e.delete("a")
+    e.put_document("a", "7", {"t": "one"})
+    yield "re-created", (before, e.search("a")["hits"]["total"]["value"])
+    for name, body in (("all bad", "x\n"), ("too large", " " * ((16 << 20) + 1))):
+        try:
+            e.bulk(body)
+            yield name, "accepted"
+        except dsl.QueryError as x:
+            yield name, x.status
+
+
+_facts("write_requests", _writes, [("statuses", "[201, 409, 200, 400, 200]"), ("errors", "True"), ("document", "created"), ("found", "['1', '3']"), ("re-created", "(3, 1)"), ("all bad", "400"), ("too large", "413")])
+_facts("analyze_offsets", lambda s, sf: [(f"{a} {i}", " ".join(f"{t['token']}:{t['start_offset']}-{t['end_offset']}@{t['position']}" for t in an.analyze(x, a))) for i, (a, x) in enumerate([("simple", "Larch 2.0: CAFÉ déjà-vu"), ("stop", "The quick fox is in the yard."), ("standard", ["é a", "b2"]), ("whitespace", " A b"), ("keyword", "A b")])], [
+    ("simple 0", "larch:0-5@0 café:11-16@1 déjà:17-23@2 vu:24-26@3"), ("stop 1", "quick:4-9@1 fox:10-13@2 yard:24-28@6"), ("standard 2", "é:0-2@0 a:3-4@1 b2:4-6@2"), ("whitespace 3", "A:1-2@0 b:3-4@1"), ("keyword 4", "A b:0-3@0"),
+])
+
+
+def _many(spark, sf) -> DataFrame:
+    """Several searches in one request: place, status and total of each."""
+    lines = '{"index":"part"}\n{"query":{"range":{"p_size":{"gte":40}}},"track_total_hits":true}\n{"index":"none"}\n{}\n{}\n{"query":{"bool":{}}}\n{}\n{"query":{"term":{"p_name":"widget"}},"track_total_hits":true}\n'
+    out = engine(spark, sf, "part").msearch(lines, "part")["responses"]
+    return spark.createDataFrame([(n, r["status"], r.get("hits", {}).get("total", {}).get("value")) for n, r in enumerate(out)], "n int, status int, total long")
+
+
+_add("msearch", _many, f"SELECT 0 AS n, 200 AS status, (SELECT count(*) FROM part WHERE p_size >= 40) AS total UNION ALL SELECT 1, 404, NULL UNION ALL SELECT 2, 400, NULL UNION ALL SELECT 3, 200, (SELECT count(*) FROM part WHERE list_contains({_toks('p_name')}, 'widget'))")
+
+
+def _aggregated(spark, sf) -> DataFrame:
+    """Three aggregations of one request."""
+    body = {"size": 0, "query": {"range": {"value": {"gte": 20}}}, "aggs": {"t": {"terms": {"field": "event_type"}}, "n": {"cardinality": {"field": "user_id"}}, "m": {"date_histogram": {"field": "day", "calendar_interval": "month"}}}}
+    a = engine(spark, sf, "events").search("events", body)["aggregations"]
+    rows = [(k, b["key"], b["doc_count"]) for k in ("t", "m") for b in a[k]["buckets"]] + [("n", None, a["n"]["value"])]
+    return spark.createDataFrame(rows, "agg string, key string, n long")
+
+
+_add("agg_request", _aggregated, f"WITH e AS (SELECT * FROM {FROM['events']} WHERE value >= 20) SELECT 't' AS agg, event_type AS key, count(*) AS n FROM e GROUP BY 2 UNION ALL SELECT 'm', substr(day, 1, 6) || '01', count(*) FROM e GROUP BY 2 UNION ALL SELECT 'n', NULL, count(DISTINCT user_id) FROM e")
+
+_RAW = {"properties": {"p_name": {"type": "text", "index_prefixes": {"min_chars": 2, "max_chars": 5}, "fields": {"raw": {"type": "keyword", "normalizer": "norm"}, "auto": {"type": "text", "analyzer": "auto", "search_analyzer": "standard"}}}, "p_brand": {"type": "keyword"}}}
+
+
+def _raw(spark, sf) -> Engine:
+    e = Engine(spark, TODAY)
+    docs = _table(spark, sf, "part")
+    e.create("part", {"mappings": _RAW, "settings": AUTO}, docs.select(F.col("p_partkey").cast("long").alias("_ord"), F.col("p_partkey").cast("string").alias("_id"), *docs.columns))
+    return e
+
+
+def _ids_of(query: dict):
+    return lambda s, sf: (lambda e: e.matched(e.indices["part"], dsl.parse(query)).select(F.col("_ord").alias("id")))(_raw(s, sf))
+
+
+_add("sort_subfield", lambda s, sf: _raw(s, sf).hits("part", {"sort": [{"p_name.raw": "desc"}], "size": 60}).page.select(F.col("_ord").alias("id"), "p_name"), "SELECT p_partkey AS id, p_name FROM part ORDER BY lower(p_name) DESC, p_partkey LIMIT 60")
+_add("sort_by_score", lambda s, sf: engine(s, sf, "documents").hits("documents", {"query": {"match": {"text": "que"}}, "sort": [{"_score": "asc"}], "size": 20}).page.select(F.col("_ord").alias("id"), F.round("_score", 6).alias("score")), f"WITH a AS (SELECT *, {_toks('text')} AS toks FROM documents), s AS (SELECT doc_id AS id, {_bm25_sql(T2, ['que'])} AS raw FROM a WHERE list_contains(toks, 'que')) SELECT CAST(id AS BIGINT) AS id, round(CAST(raw AS DOUBLE), 6) AS score FROM s ORDER BY raw, id LIMIT 20")
+_add("agg_subfield", lambda s, sf: s.createDataFrame([(b["key"], b["doc_count"]) for b in _raw(s, sf).search("part", {"size": 0, "aggs": {"r": {"terms": {"field": "p_name.raw", "size": 7}}}})["aggregations"]["r"]["buckets"]], "key string, n long"), "SELECT lower(p_name) AS key, count(*) AS n FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 7")
+_add("subfield_term_normalized", _ids_of({"term": {"p_name.raw": "SMALL WIDGET"}}), "SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE lower(p_name) = 'small widget'")
+_add("prefix_index_prefixes", _ids_of({"bool": {"must": [{"prefix": {"p_name": "Wid"}}]}}), f"SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE len(list_filter({_toks('p_name')}, lambda t: starts_with(t, 'wid'))) > 0")
+_add("prefix_keyword_in_bool", _ids_of({"bool": {"filter": [{"prefix": {"p_brand": "Brand#1"}}]}}), "SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE starts_with(p_brand, 'Brand#1')")
+_add("prefix_keyword_case", _ids_of({"bool": {"filter": [{"prefix": {"p_brand": "brand"}}]}}), "SELECT CAST(p_partkey AS BIGINT) AS id FROM part WHERE starts_with(p_brand, 'brand')")
+_add("match_subfield_unscored", lambda s, sf: _raw(s, sf).hits("part", {"query": {"match": {"p_name.auto": "wi"}}, "size": 10000}).page.select(F.col("_ord").alias("id"), F.col("_score").alias("score")), f"SELECT CAST(p_partkey AS BIGINT) AS id, CAST(1.0 AS DOUBLE) AS score FROM part WHERE len(list_filter({_toks('p_name', 'standard')}, lambda t: starts_with(t, 'wi'))) > 0 ORDER BY 1 LIMIT 10000")
+_add("bool_msm_default", _selected("documents", {"bool": {"should": _four[:2]}}), _selected_sql("documents", "lang = 'en' OR n_chars >= 1000"))
+_add("bool_should_optional", _selected("documents", {"bool": {"should": _four[:2], "filter": {"term": {"source": "src1"}}}}), _selected_sql("documents", "source = 'src1'"))
+_add("count_multi_match", lambda s, sf: s.createDataFrame([(engine(s, sf, "part").count("part", {"query": {"multi_match": {"query": "red widget", "fields": ["p_name", "p_type"]}}}),)], "n long"), f"SELECT count(*) AS n FROM part WHERE list_has_any({_toks('p_name')}, ['red','widget']) OR list_has_any({_toks('p_type', 'standard')}, ['red','widget'])")
+_add("boolean_terms", lambda s, sf: engine(s, sf, "documents").boolean_terms("documents", [("text", "the"), ("text", "of")], 12).select(F.col("_id").cast("long").alias("id"), F.round("_score", 6).alias("score")), f"WITH a AS (SELECT *, {_toks('text')} AS toks FROM documents), s AS (SELECT doc_id AS id, {_one_('the')} + {_one_('of')} AS raw FROM a WHERE list_has_all(toks, ['the','of'])) SELECT CAST(id AS BIGINT) AS id, round(CAST(raw AS DOUBLE), 6) AS score FROM s ORDER BY raw DESC, id LIMIT 12")
+
+
+def _decayed(spark, sf) -> DataFrame:
+    """Orders of which some have no date, and some one that is none."""
+    k = F.col("o_orderkey")
+    docs = _table(spark, sf, "orders").select(k, F.when(k % 3 == 0, None).when(k % 5 == 0, "soon").otherwise(F.col("day")).alias("day"))
+    e = Engine(spark)
+    e.register("o", docs, "o_orderkey", {"properties": {"day": {"type": "date"}}})
+    c = e.compiler(e.indices["o"])
+    q = dsl.parse({"function_score": {"functions": [{"weight": 2, "exp": {"day": {"origin": "19960601", "scale": "100", "decay": 0.3}}}]}})
+    return e.indices["o"].docs.select(F.col("_ord").alias("id"), F.round(c.score(q, c.statistics(docs, q)), 6).alias("score"))
+
+
+_add("decay_of_missing_dates", _decayed, f"SELECT CAST(o_orderkey AS BIGINT) AS id, round(CAST(2 * CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 0.3 ELSE exp(-{_d} * ln(1 / 0.3) / 100.0) END AS DOUBLE), 6) AS score FROM orders")
+
+
+def _place_forms(spark, sf) -> DataFrame:
+    docs = _table(spark, sf, "customer").select("c_custkey", F.concat_ws(",", F.col("location.lat").cast("string"), F.col("location.lon").cast("string")).alias("text"), F.array("location.lon", "location.lat").alias("pair"))
+    e = Engine(spark)
+    e.register("c", docs, "c_custkey")
+    q = lambda f: e.matched(e.indices["c"], dsl.parse({"geo_distance": {"distance": "1500 Miles", f: [2.35, 48.85]}})).select(F.lit(f).alias("form"), F.col("_ord").alias("id"))
+    return q("text").unionAll(q("pair"))
+
+
+_add("geo_point_forms", _place_forms, f"SELECT f AS form, CAST(c_custkey AS BIGINT) AS id FROM {FROM['customer']}, (VALUES ('text'), ('pair')) v(f) WHERE {_hav} <= 1500 * 1609.344")
+_add("analyze_normalizer", lambda s, sf: _table(s, sf, "conversations").select("conv_id", "turn", F.array_join(an.tokens(F.col("text"), "normalizer"), "|").alias("tokens")), _an("list_filter([lower(strip_accents(replace(coalesce(text, ''), 'ß', 'ss')))], lambda t: t <> '')"))
+_FOLDED = "text"
+for _a, _b in an.FOLDS.items():
+    _FOLDED = f"replace({_FOLDED}, '{_a}', '{_b.replace(chr(39), chr(39) * 2)}')"
+_add("asciifold", lambda s, sf: _table(s, sf, "documents").select("doc_id", an.asciifold(F.col("text")).alias("folded")), f"SELECT doc_id, strip_accents({_FOLDED}) AS folded FROM documents")
+_add("expand_fuzzy_terms", lambda s, sf: tx.expand_fuzzy(_table(s, sf, "part").select(F.explode(an.tokens(F.col("p_name"), "simple")).alias("term")), "smal", 2, limit=5), f"SELECT term, CAST(damerau_levenshtein(term, 'smal') AS INT) AS edits FROM (SELECT DISTINCT unnest({_toks('p_name')}) AS term FROM part) WHERE damerau_levenshtein(term, 'smal') <= 2 ORDER BY 2, 1 LIMIT 5")
+_add("tf_idf_weight", lambda s, sf: _table(s, sf, "part").select("p_partkey", F.round(tx.tf_idf(F.col("p_size")), 6).alias("w")), "SELECT p_partkey, round(1 + ln(p_size), 6) AS w FROM part")
+_add("top_docs", lambda s, sf: rv.top_docs(_table(s, sf, "part").select(F.col("p_partkey").alias("doc"), F.col("p_retailprice").alias("score")), 15)[1], "SELECT p_partkey AS doc, p_retailprice AS score FROM part ORDER BY 2 DESC, 1 LIMIT 15")
+
+
+def _report(spark, sf) -> DataFrame:
+    limits = spark.createDataFrame([("click", 50.0, 45.0), ("view", 1e9, 50.0), ("none", 1.0, 1.0)], "metric string, most double, baseline double")
+    return rv.report(_table(spark, sf, "events").select(F.col("event_type").alias("metric"), "value"), limits)
+
+
+_add("bench_report", _report, "SELECT l.metric, m.median, l.most, l.baseline, coalesce(m.median <= l.most, false) AS ok, round((m.median / l.baseline - 1) * 100, 3) AS change FROM (VALUES ('click', 50.0::DOUBLE, 45.0::DOUBLE), ('view', 1e9::DOUBLE, 50.0::DOUBLE), ('none', 1.0::DOUBLE, 1.0::DOUBLE)) l(metric, most, baseline) LEFT JOIN (SELECT event_type AS metric, median(value) AS median FROM events GROUP BY 1) m USING (metric)")
+
+
+def _marked(field: str, options: dict):
+    def run(spark, sf) -> DataFrame:
+        out = engine(spark, sf, "part").search("part", {"query": {"match": {"p_name": "widget"}}, "size": 10000, "highlight": {"fields": {field: options}}})
+        return spark.createDataFrame([(h["_id"], h["highlight"][field][0], len(h["highlight"][field])) for h in out["hits"]["hits"]], "id string, marked string, n int")
+
+    return run
+
+
+_WORD = "(strpos(lower(p_name), 'widget') - 1)"
+_add("highlight_whole_field", _marked("p_name", {}), f"SELECT CAST(p_partkey AS VARCHAR) AS id, regexp_replace(p_name, '(?i)\\b(widget)\\b', '<em>\\1</em>', 'g') AS marked, 1 AS n FROM part WHERE list_contains({_toks('p_name')}, 'widget')")
+_add("highlight_fragments", _marked("p_name", {"fragment_size": 10, "number_of_fragments": 1}), f"""
+WITH w AS (SELECT p_partkey, p_name, {_WORD} AS a, length(p_name) AS n FROM part WHERE list_contains({_toks('p_name')}, 'widget')),
+b AS (SELECT *, CASE WHEN least(greatest(0, (2 * a + 6) // 2 - 5) + 10, n) = n THEN greatest(0, n - 10) ELSE greatest(0, (2 * a + 6) // 2 - 5) END AS s, least(greatest(0, (2 * a + 6) // 2 - 5) + 10, n) AS e FROM w)
+SELECT CAST(p_partkey AS VARCHAR) AS id, substr(p_name, CAST(s + 1 AS INT), CAST(a - s AS INT)) || '<em>' || substr(p_name, CAST(a + 1 AS INT), 6) || '</em>' || substr(p_name, CAST(a + 7 AS INT), CAST(e - a - 6 AS INT)) AS marked, 1 AS n FROM b""")
 
 
 def _scrolled(spark, sf) -> DataFrame:
+    """All pages of a scroll."""
     e = engine(spark, sf, "part")
-    page = e.search("part", {"query": {"match": {"p_name": "widget"}}, "size": 20}, scroll="1m")
+    page = e.search("part", {"query": {"match": {"p_name": "widget"}}, "size": 150}, scroll="1m")
     rows, n = [], 0
-    while page["hits"]["hits"] and n < 3:
+    while page["hits"]["hits"]:
         rows += [(n, h["_id"]) for h in page["hits"]["hits"]]
         page, n = e.scroll(page["_scroll_id"]), n + 1
     return spark.createDataFrame(rows, "page int, id string")
 
 
-_add("highlight_fragments", _highlighted)
-_add("scroll_pages", _scrolled)
-_add("asciifold", lambda s, sf: _table(s, sf, "documents").select("doc_id", an.asciifold(F.col("text")).alias("folded")))
+_add("scroll_pages", _scrolled, f"WITH a AS (SELECT *, {_toks('p_name')} AS toks FROM part), s AS (SELECT p_partkey, {_bm25_sql('toks', ['widget'])} AS raw FROM a WHERE list_contains(toks, 'widget')) SELECT CAST((row_number() OVER (ORDER BY round(raw, 9) DESC, p_partkey) - 1) // 150 AS INT) AS page, CAST(p_partkey AS VARCHAR) AS id FROM s")
+
+
+def _work_dir(spark: SparkSession) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one in a local session."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/quillstone-{uuid.uuid4().hex[:12]}" if base else "file://" + tempfile.mkdtemp(prefix="quillstone-")
+
+
+def _restored(spark, sf) -> DataFrame:
+    """A snapshot of an index, restored by another engine, and searched through its alias there."""
+    e, f = engine(spark, sf, "part"), Engine(spark)
+    e.update_aliases([{"add": {"index": "part", "alias": "parts"}}])
+    r = snapshot.Repository(spark, f"{_work_dir(spark)}/repository")
+    r.create(e, "s1", "part")
+    assert r.list() == ["s1"] and r.verify("s1")
+    r.restore(f, "s1")
+    return f.hits("parts", {"query": {"term": {"p_name": "widget"}}, "size": 10000}).page.select(F.col("_ord").alias("id"), "p_name", "p_size")
+
+
+_add("snapshot_roundtrip", _restored, f"SELECT CAST(p_partkey AS BIGINT) AS id, p_name, p_size FROM part WHERE list_contains({_toks('p_name')}, 'widget')")
+
+
+def _imported(spark, sf) -> DataFrame:
+    e, f, path = engine(spark, sf, "nation"), Engine(spark), f"{_work_dir(spark)}/raw"
+    snapshot.export_index(e, "nation", path)
+    snapshot.import_index(f, path, "again")
+    return f.scan("again").select(F.col("_id").alias("id"), "n_name", "n_regionkey")
+
+
+_add("raw_export_import", _imported, "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name, n_regionkey FROM nation")
+
+
+def _read_addresses(spark, sf) -> DataFrame:
+    """Addresses through a CSV file: every seventh row lacks a street, which the lenient reader drops."""
+    path, k = f"{_work_dir(spark)}/addresses", F.col("s_suppkey")
+    rows = _table(spark, sf, "supplier").select(k.cast("string").alias("id"), F.when(k % 3 > 0, k.cast("string")).alias("numero"), F.when(k % 2 == 0, "B").alias("rep"), F.when(k % 7 > 0, "Rue de la Paix").alias("nom_voie"), F.lpad(F.col("s_nationkey").cast("string"), 5, "0").alias("code_postal"), F.col("s_name").alias("nom_commune"), (k / 10.0).alias("lon"), (k / 20.0).alias("lat"))
+    rows.coalesce(1).write.option("header", True).option("sep", ";").csv(path)
+    return files.address_documents(files.addresses(spark, path, lenient=True)).select("id", "label", "house_number", "city_name", F.col("location.lat").alias("lat"))
+
+
+_add("address_documents", _read_addresses, "SELECT CAST(s_suppkey AS VARCHAR) AS id, concat_ws(' ', nullif(coalesce(CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey AS VARCHAR) END, '') || coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'B' END, ''), ''), 'Rue de la Paix', lpad(CAST(s_nationkey AS VARCHAR), 5, '0'), s_name) AS label, nullif(coalesce(CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey AS VARCHAR) END, '') || coalesce(CASE WHEN s_suppkey % 2 = 0 THEN 'B' END, ''), '') AS house_number, s_name AS city_name, s_suppkey / 20.0 AS lat FROM supplier WHERE s_suppkey % 7 > 0 AND s_suppkey / 20.0 <= 90 AND s_suppkey / 10.0 <= 180")
+
+
+def _registry(spark, sf) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = _table(spark, sf, "customer").select(F.concat_ws("*", F.upper("c_name"), F.concat(F.lit("ANNE/"), k.cast("string"))).alias("nomprenom"), F.when(k % 2 == 0, "1").otherwise("2").alias("sexe"), F.lit("19400101").alias("datenaiss"), F.lit("33063").alias("lieunaiss"), F.lit("BORDEAUX").alias("commnaiss"), F.lit("20200203").alias("datedeces"), F.lit("75056").alias("lieudeces"), k.cast("string").alias("actedeces"), (k + 1).alias("line"))
+    return files.registry_documents(rows).select("_id", "NOM", "PRENOMS", "SEXE", "SOURCE", "SOURCE_LINE")
+
+
+_add("registry_documents", _registry, "SELECT 'ins_20200203_' || c_custkey || '_75056_' || (c_custkey + 1) AS _id, upper(c_name) AS NOM, 'ANNE' AS PRENOMS, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'F' END AS SEXE, 'INSEE_2020' AS SOURCE, CAST(c_custkey + 1 AS INT) AS SOURCE_LINE FROM customer")
+
+
+def _beir(spark, sf) -> DataFrame:
+    """A retrieval benchmark's folder, written and loaded: judged pairs with their texts' lengths."""
+    path = _work_dir(spark)
+    _table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("_id"), F.lit("").alias("title"), "text").write.json(f"{path}/corpus.jsonl")
+    _table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("_id"), "text").write.json(f"{path}/queries.jsonl")
+    _table(spark, sf, "labels").select(F.lit("0").alias("query-id"), F.col("doc_id").alias("corpus-id"), F.col("quality").alias("score")).coalesce(1).write.option("header", True).option("sep", "\t").csv(f"{path}/qrels/test.tsv")
+    corpus, queries, rel = files.benchmark(spark, path)
+    return rel.join(corpus, rel["doc_id"] == corpus["id"]).select(corpus["id"], "rel", F.length("text").cast("long").alias("n"), F.lit(queries.count()).cast("long").alias("queries"))
+
+
+_add("beir_loader", _beir, "SELECT CAST(d.doc_id AS VARCHAR) AS id, CAST(l.quality AS INT) AS rel, length(d.text) AS n, (SELECT count(*) FROM benchmark) AS queries FROM labels l JOIN documents d USING (doc_id) WHERE l.quality > 0")
+
+
+def _indexed(spark, sf) -> DataFrame:
+    """A search that reads stored tokens."""
+    e = engine(spark, sf, "documents")
+    e.refresh("documents", f"{_work_dir(spark)}/index")
+    w = Window.orderBy(F.desc("_score"), "_ord")  # a page
+    return e.hits("documents", {"query": {"match": {"text": "the people"}}}).page.select(F.col("_ord").alias("id"), F.round("_score", 6).alias("score"), F.row_number().over(w).cast("long").alias("rank"))
+
+
+_add("match_on_refreshed_index", _indexed, _ranked_sql("documents", T, "list_has_any(toks, ['the','people'])", _bm25_sql(T2, ["the", "people"])))
+
+
+def _lifecycle(spark, sf):
+    at = dt.datetime(2024, 5, 6, 1, 30)
+    yield "cron", snapshot.cron_matches("0 30 1 * * ?", at)
+    yield "next", snapshot.next_run("0 2 * * *", at)
+    yield "name", snapshot.snapshot_name("<day-{now/d}>", at)
+    old = [(f"s{i}", at - dt.timedelta(days=i)) for i in range(5)]
+    yield "too many", snapshot.expired(snapshot.Policy("p", "", max_count=3), old, at)
+    yield "too old", snapshot.expired(snapshot.Policy("p", "", expire_after=dt.timedelta(days=1), min_count=4), old, at)
+    yield "compare", rv.differences({"h": [{"took": 1, "_score": 1.0, "x": 1}]}, {"h": [{"took": 2, "_score": 1.05, "x": 2}]}, ignored=["h.*.took"], tolerance=0.1)
+
+
+_facts("lifecycle_and_compare", _lifecycle, [("cron", "True"), ("next", "2024-05-06 02:00:00"), ("name", "day-2024.05.06"), ("too many", "['s4', 's3']"), ("too old", "['s4']"), ("compare", "['h.0.x']")])

@@ -8,6 +8,8 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillstone.plans.dsl import QueryError
 
@@ -79,6 +81,27 @@ class Repository:
         return all(self.spark.read.parquet(f"{self.path}/{name}/indices/{i}").schema for i in self.get(name)["indices"])
 
 
+def export_index(engine, name: str, path: str) -> None:
+    """One index as lines of JSON documents, with its mapping, settings and aliases in a manifest."""
+    i = engine.resolve(name)[0]
+    fields = [c for c in i.docs.columns if not c.startswith("_")]
+    i.docs.select(F.to_json(F.struct("_ord", "_id", F.struct(*fields).alias("_source"))).alias("value")).write.text(f"{path}/documents")
+    info = {"format": FORMAT, "index": i.name, "mappings": i.mapping.body(), "settings": i.settings, "aliases": {a: m[i.name] for a, m in engine.aliases.items() if i.name in m}, "schema": i.docs.schema.json()}
+    engine.spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.text(f"{path}/manifest")  # last: without it there is no export
+
+
+def import_index(engine, path: str, name: str | None = None) -> str:
+    """Bring back an exported index, under another name if given; an existing one is never overwritten."""
+    info = json.loads(engine.spark.read.text(f"{path}/manifest").first()[0])
+    if info.get("format") != FORMAT:
+        raise QueryError(f"format [{info.get('format')}] is not supported")
+    schema = T.StructType.fromJson(json.loads(info["schema"]))
+    fields = [f for f in schema.fields if not f.name.startswith("_")]
+    line = T.StructType([schema["_ord"], schema["_id"], T.StructField("_source", T.StructType(fields))])
+    docs = engine.spark.read.schema(line).json(f"{path}/documents").select("_ord", "_id", *[F.col("_source")[f.name].alias(f.name) for f in fields])
+    return engine.create(name or info["index"], {k: info[k] for k in ("mappings", "settings", "aliases")}, docs).name
+
+
 # ---------------------------------------------------------------- lifecycle
 
 
