@@ -188,7 +188,11 @@ class Engine:
         plain = self.compiler(i)
         docs, c = plain.prepared(i.docs, q)
         out = docs.filter(c.predicate(q))
-        score = c.score(q, plain.statistics(i.docs, q)) if q.scoring else F.lit(None).cast("double")
+        score = F.lit(None).cast("double")
+        if q.scoring:
+            stats = plain.statistics(i.docs, q)
+            out, c = c.counted(out, q, stats)
+            score = c.score(q, stats)
         out = out.select(*[F.col(f"`{n}`") for n in i.docs.columns], score.alias("_score"))
         return out if min_score is None or not q.scoring else out.filter(F.col("_score") >= min_score)
 

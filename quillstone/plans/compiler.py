@@ -26,6 +26,8 @@ EARTH = 6_371_008.8
 NUMBERS = ("integer", "long", "short", "byte", "float", "double")
 #: Names of the columns with a field's tokens, as indexed and as the search-side tokenizer gives them.
 TOKENS, LOOSE = "__tokens:{}", "__loose:{}"
+#: Names of the columns with a field's length and with how often it has a term.
+LENGTH, COUNT = "__length:{}", "__count:{}:{}"
 
 
 @dataclass
@@ -141,6 +143,20 @@ class Compiler:
             return None
         return self.col(name) if (self.mapping.analyzer(name) or ("", {}))[0] == "keyword" and isinstance(self.schema[name].dataType, T.StringType) else None
 
+    def counted(self, docs: DataFrame, q: dsl.Query, stats: Statistics) -> tuple[DataFrame, Compiler]:
+        """``docs`` with the lengths and term counts that a score needs, taken once a row, in the way of ``prepared``."""
+        wanted: dict[str, Column] = {}
+        for f, terms in self.scored_terms(q).items():
+            if f in stats.fields:
+                wanted[LENGTH.format(f)] = F.size(self.tokens(f))
+                wanted |= {COUNT.format(f, w): F.size(F.filter(self.tokens(f), _equals(w))) for w in sorted(terms) if stats.df.get((f, w))}
+        if not wanted:
+            return docs, self
+        names = {f"c{k}": n for k, n in enumerate(wanted)}
+        one = docs.withColumn("__counts", F.explode(F.array(F.struct(*[wanted[n].alias(k) for k, n in names.items()]))))
+        out = one.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col("__counts")[k].alias(n) for k, n in names.items()])
+        return out, Compiler(self.mapping, out.schema, self.now)
+
     def _some(self, name: str, words: list[str], every: bool) -> Column:
         if not words:
             return F.lit(False)
@@ -365,14 +381,15 @@ class Compiler:
         if name not in stats.fields or not words:
             return None
         n, mean = stats.fields[name]
-        toks = self.tokens(name)
-        dl = tx.quantised_length(F.size(toks)) if mean else F.lit(1)
+        toks, have = self.tokens(name), set(self.schema.fieldNames())
+        taken = lambda column, otherwise: F.col(f"`{column}`") if column in have else otherwise
+        dl = tx.quantised_length(taken(LENGTH.format(name), F.size(toks))) if mean else F.lit(1)
         total = None
         for w, times in sorted(Counter(words).items()):
             df = stats.df.get((name, w), 0)
             if not 0 < df <= n:
                 continue
-            tf = F.size(F.filter(toks, _equals(w)))
+            tf = taken(COUNT.format(name, w), F.size(F.filter(toks, _equals(w))))
             part = F.when(tf > 0, tx.bm25(tf, dl, tx.idf(n, df) * times, mean or 1.0)).otherwise(0.0)
             total = part if total is None else total + part
         return F.lit(0.0) if total is None else total
