@@ -265,7 +265,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     docs = docs.select("doc_id", "text")
     n_buckets = _n_buckets(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     width = 2 if encoder(tokenizer).full.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
-    docs.mapInArrow(_encoded(tokenizer, end, n_buckets, width), _STAGED).write.option("compression", "zstd").parquet(f"{path}/staging")
+    docs.mapInArrow(_encoded(tokenizer, end, n_buckets, width), _STAGED).write.option("compression", "none").parquet(f"{path}/staging")  # digests and packed payload
     staged = spark.read.schema(_STAGED).parquet(f"{path}/staging")
     (
         staged.filter("bucket is not null").select("bucket", "n", "data").groupBy("bucket")
