@@ -26,7 +26,7 @@ Scale: labels are broadcast when their counted rows are at most ``broadcast_labe
 documents in a shuffle join. Counts and ratios are a distributed table. Its most frequent rows, at most
 ``HELD``, are sent to every task; if these are all, scoring is one pass. The others are joined: documents are
 dealt to blocks of about ``BLOCK_BYTES``, blocks ask for the words, stems and pairs that are not held, and the ratios
-that are found meet the block's texts. A filter of ``BITS`` bits (2 MB) tells most pairs of a text that are not the model's.
+that are found meet the block's texts. A filter of ``BITS`` bits (2 MB), three for each pair, tells nearly all pairs of a text that are not the model's.
 
 Defined results: a null or empty text has ratios of 0; a very long one is scored whole. Labels that are null are ignored,
 of repeated labels the highest counts. Without examples of both classes every score is 0. Repeated rows each get their
@@ -50,6 +50,8 @@ WINDOW = 32
 DISCOUNT = 0.75
 #: How often toxic texts must have a pair of words that has counts of its own.
 PAIRS = 2
+#: Where in a pair's key the numbers of its bits in the filter begin: a pair that is not the model's must meet set bits at each.
+PROBES = (0, 24, 40)
 #: Rows of the table of ratios that every task may get, and bytes of a block of documents if there are more.
 HELD, BLOCK_BYTES = 1 << 21, 16 << 20
 #: Distinct words or pairs of a task that are added up before they are sent on.
@@ -58,7 +60,6 @@ ADDED = 1 << 18
 STEM_KEY = 0x5DEECE66D1234567
 SAMPLE = 20_000
 FOLDS = 5
-#: Of the folds 1 to 4 that may be learnt from, the one for the logistic curve.
 
 
 def fold(doc_id: Column) -> Column:
@@ -147,8 +148,13 @@ def _count_known(shared):
 
 
 def _may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & (BITS - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    some = np.arange(len(keys))
+    for shift in PROBES:
+        at = (keys[some].view(np.uint64) >> np.uint64(shift)).view(np.int64) & (BITS - 1)
+        some = some[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+    out = np.zeros(len(keys), bool)
+    out[some] = True
+    return out
 
 
 def _tables(rows: DataFrame) -> tuple[DataFrame, float, np.ndarray] | None:
@@ -181,7 +187,7 @@ def _tables(rows: DataFrame) -> tuple[DataFrame, float, np.ndarray] | None:
     known = staged(often.join(stems, "stem").join(rests, "rest").select("word", "n0", "n1", p["0"].alias("w0"), p["1"].alias("w1")), "known")
 
     pairs = counts.filter("kind = 1").select(F.col("key").alias("pair"), F.col("a").alias("v"), F.col("b").alias("w"), F.col("n1").alias("m1"))
-    bits = bit_filter(pairs, "pair")
+    bits = bit_filter(pairs.select(F.explode(F.array(*[F.shiftrightunsigned("pair", n) for n in PROBES])).alias("place")), "place")
     shared = rows.sparkSession.sparkContext.broadcast(bits)
     ordinary = rows.filter("toxic = 0").select("text").mapInArrow(_count_known(shared), _COUNTS).groupBy(F.col("key").alias("pair")).agg(F.sum("ordinary").alias("m0"))
     pairs = pairs.join(ordinary, "pair", "left").withColumn("m0", F.coalesce("m0", F.lit(0)))
