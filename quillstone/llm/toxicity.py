@@ -131,20 +131,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pairs.rest()
 
 
-def _count_known(shared):
-    """From (text) of ordinary documents: how often they have pairs that the filter lets through."""
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, m0): how often ordinary documents, from (text), have each pair, added up over ``4 * ADDED`` pairs at a time."""
+    held: list[np.ndarray] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, pairs = shared.value, _Sums(1)
-        for batch in small(batches):
-            for _, parts in blocks(_lowered(batch.column(0))):
-                word, _, _, bounds = _units(parts)
-                _, key = _follows(word, bounds)
-                key = key[_may_be(bits, key)]
-                yield from pairs.add(key, key, key, np.ones(len(key), bool), np.zeros(len(key), bool))
-        yield from pairs.rest()
+    def added() -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["pair", "m0"])
 
-    return run
+    for batch in small(batches):
+        for _, parts in blocks(_lowered(batch.column(0))):
+            word, _, _, bounds = _units(parts)
+            held.append(_follows(word, bounds)[1])
+            if sum(map(len, held)) >= 4 * ADDED:
+                yield added()
+    if held:
+        yield added()
 
 
 def _may_be(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -188,8 +191,8 @@ def _tables(rows: DataFrame) -> tuple[DataFrame, float, np.ndarray] | None:
 
     pairs = counts.filter("kind = 1").select(F.col("key").alias("pair"), F.col("a").alias("v"), F.col("b").alias("w"), F.col("n1").alias("m1"))
     bits = bit_filter(pairs.select(F.explode(F.array(*[F.shiftrightunsigned("pair", n) for n in PROBES])).alias("place")), "place")
-    shared = rows.sparkSession.sparkContext.broadcast(bits)
-    ordinary = rows.filter("toxic = 0").select("text").mapInArrow(_count_known(shared), _COUNTS).groupBy(F.col("key").alias("pair")).agg(F.sum("ordinary").alias("m0"))
+    # All pairs of ordinary texts are counted: those of the model alone would be repeated by each task, in growing numbers.
+    ordinary = rows.filter("toxic = 0").select("text").mapInArrow(_count_pairs, "pair long, m0 long").groupBy("pair").agg(F.sum("m0").alias("m0"))
     pairs = pairs.join(ordinary, "pair", "left").withColumn("m0", F.coalesce("m0", F.lit(0)))
     of_v = known.select(F.col("word").alias("v"), F.col("n0").alias("v0"), F.col("n1").alias("v1"))
     share = lambda c: F.when(F.col(f"v{c}") > 0, F.greatest(F.col(f"m{c}") - d, F.lit(0.0)) / F.col(f"v{c}")).otherwise(0.0)
