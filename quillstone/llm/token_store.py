@@ -19,7 +19,8 @@ so that no payload is shuffled.
 
 Scale: digests are dealt to buckets of about ``BUCKET_BYTES`` of input. Between tasks, the chunks of a task's documents
 travel as one row a bucket; a passage with a third of all rows is sent once by every thousand documents
-or so, and asked for as often. Recipes carry 32 bytes a chunk. Sums over parts are rows a part, not a document.
+or so, and asked for as often. What is staged is merged by a quarter at a time and removed, so that it is not on disk whole
+together with its shuffle and the chunks. Recipes carry 32 bytes a chunk. Sums over parts are rows a part, not a document.
 
 Defined results: null and empty texts are one end id; very long ones are many chunks. Repeated doc_ids each keep
 their recipe, in an order fixed by (doc_id, root); null ones come first. Other columns are not read. An empty table
@@ -31,6 +32,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,9 @@ REACH, MOST = 40, 2048
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of input (or of ids) whose chunks meet in one group, and digests that a task remembers as sent.
 BUCKET_BYTES, SENT = 8 << 20, 200_000
+#: Parts of the staged payload that are merged one after the other, each being removed before the next, and the name of the recipes' part.
+SLABS, RECIPES = 4, -1
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Children of a node in the tree over a part's documents, and in that over a document's chunks.
 FAN, CHILDREN = 256, 16
 
@@ -259,24 +264,42 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, row = at + int(n.sum()), row + len(n)
 
 
+@contextmanager
+def _no_old_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when their query ends, not when the driver happens to collect garbage."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
+def _staged(spark: SparkSession, path: str, slab: int) -> DataFrame:
+    return spark.read.schema(f"{_STAGED}, slab int").parquet(f"{path}/staging").filter(F.col("slab") == slab)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END) -> dict:
     """Write a store of ``docs`` (doc_id, text) below ``path``; returns the manifest."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     n_buckets = _n_buckets(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
     width = 2 if encoder(tokenizer).full.get_vocab_size() <= 1 << 16 and end < 1 << 16 else 4
-    docs.mapInArrow(_encoded(tokenizer, end, n_buckets, width), _STAGED).write.option("compression", "none").parquet(f"{path}/staging")  # digests and packed payload
-    staged = spark.read.schema(_STAGED).parquet(f"{path}/staging")
-    (
-        staged.filter("bucket is not null").select("bucket", "n", "data").groupBy("bucket")
-        .applyInArrow(_merged(width), "digest binary, n int, data binary").write.option("compression", "zstd").parquet(f"{path}/chunks")
-    )
-    recipes = staged.filter("bucket is null").select("doc_id", "n_tokens", "digests", "root")
-    (
-        recipes.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
-        .mapInArrow(_placed, "doc_id long, n_tokens long, digests array<binary>, root binary, part int, row long, local_start long")
-        .write.option("compression", "zstd").parquet(f"{path}/recipes")
-    )
+    slab = F.coalesce(F.col("bucket") % SLABS, F.lit(RECIPES)).cast("int").alias("slab")
+    encoded = docs.mapInArrow(_encoded(tokenizer, end, n_buckets, width), _STAGED).select("*", slab)
+    encoded.write.partitionBy("slab").option("compression", "none").parquet(f"{path}/staging")  # digests and packed payload
+    with _no_old_shuffles(spark):
+        for i in range(SLABS):
+            (
+                _staged(spark, path, i).select("bucket", "n", "data").groupBy("bucket")
+                .applyInArrow(_merged(width), "digest binary, n int, data binary").write.mode("append").option("compression", "zstd").parquet(f"{path}/chunks")
+            )
+            drop_dir(spark, f"{path}/staging/slab={i}")
+        (
+            _staged(spark, path, RECIPES).select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root")
+            .mapInArrow(_placed, "doc_id long, n_tokens long, digests array<binary>, root binary, part int, row long, local_start long")
+            .write.option("compression", "zstd").parquet(f"{path}/recipes")
+        )
     drop_dir(spark, f"{path}/staging")
     parts = _parts(spark.read.parquet(f"{path}/recipes"))
     spark.createDataFrame(parts, "part int, start long, n_docs long, n_tokens long, root string").coalesce(1).write.parquet(f"{path}/parts")
