@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import decontaminate, near_dedup, packing, pii, toxicity
-from quillstone.llm._common import staged
+from quillstone.llm._common import short_batches, staged
 
 
 #: Jaccard similarity of five-word shingles, in per cent, from which documents are near duplicates.
@@ -56,7 +56,9 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = packing.pack(staged(packing.pieces(docs), "pieces"))
+    with short_batches(docs.sparkSession):
+        found = staged(packing.pieces(docs), "pieces")
+    placed = packing.pack(found)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -100,6 +101,18 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
         release()
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Arrow batches of few rows for what is executed inside: by default a whole partition is one batch, held by Spark and by the worker at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release() -> None:
     """Give freed memory back: workers live on between stages, and the allocator would keep it."""
     pa.default_memory_pool().release_unused()

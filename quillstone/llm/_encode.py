@@ -21,8 +21,10 @@ import numpy as np
 
 from ._common import FOLD, blocks, prefix_sums, span_hashes
 
-#: Pieces kept in ``Known`` (about 60 bytes each) and in a dict (about 200 bytes); a full memo is emptied, so memory stays bounded.
-MEMO, FEW = 1_500_000, 200_000
+#: Pieces kept in ``Known`` (about 40 bytes each) and their ids, and pieces in a dict (about 200 bytes); a full memo is emptied, so memory stays bounded.
+MEMO, IDS, FEW = 1_000_000, 1 << 23, 200_000
+#: Bytes of text that are cut at a time: working arrays take some 100 bytes for each.
+BYTES = 1 << 18
 #: Bytes of a piece that ``Known`` may hold.
 LONGEST = 256
 #: Little-endian unsigned 32-bit ids.
@@ -52,35 +54,35 @@ class _Memo(dict):
 
 
 class Known:
-    """Ids of pieces by 64-bit hash: an open-addressing table over arrays, emptied when ``MEMO`` pieces are in it."""
-
-    BITS = 22
+    """Ids of pieces by 64-bit hash: an open-addressing table over arrays that grows as it fills, emptied when ``MEMO`` pieces or ``IDS`` ids are in it."""
 
     def __init__(self):
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.rows = np.zeros(1 << self.BITS, np.int32)
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.ids, self.n, self.used = np.zeros(1 << 18, "<u4"), 0, 0
+        self._empty()
+
+    def _empty(self) -> None:
+        self.bits = 16
+        self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.start, self.size = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+        self.ids, self.n, self.used = np.zeros(1 << 16, "<u4"), 0, 0
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The piece number of each hash, or -1."""
         out = np.full(len(h), -1, np.int32)
-        at, todo = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        at, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(todo):
             there = self.keys[at]
             hit = there == h[todo]
             out[todo[hit]] = self.rows[at[hit]]
             on = ~hit & (there != 0)
-            todo, at = todo[on], (at[on] + 1) & ((1 << self.BITS) - 1)
+            todo, at = todo[on], (at[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, found: list[bytes]) -> None:
-        """Put in distinct hashes that are not there, with their ids."""
-        if self.n + len(h) > MEMO:
-            self.keys[:] = 0
-            self.n = self.used = 0
+    def add(self, h: np.ndarray, found: list[bytes], keep: bool = False) -> None:
+        """Put in distinct hashes that are not there, with their ids; ``keep``: those that are there stay, even if it is full."""
         more = np.frombuffer(b"".join(found), "<u4")
         size = np.array([len(x) // 4 for x in found], np.int64)
+        if not keep and (self.n + len(h) > MEMO or self.used + len(more) > IDS):
+            self._empty()
         while self.n + len(h) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(more) > len(self.ids):
@@ -88,16 +90,25 @@ class Known:
         self.ids[self.used : self.used + len(more)] = more
         self.start[self.n : self.n + len(h)] = self.used + np.cumsum(size) - size
         self.size[self.n : self.n + len(h)] = size
-        at, todo = (h >> np.uint64(64 - self.BITS)).astype(np.int64), np.arange(len(h))
+        if 2 * (self.n + len(h)) > 1 << self.bits:
+            full = np.flatnonzero(self.keys)
+            keys, rows = self.keys[full], self.rows[full]
+            self.bits = (2 * (self.n + len(h)) - 1).bit_length()
+            self.keys, self.rows = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+            self._put(keys, rows)
+        self._put(h, self.n + np.arange(len(h), dtype=np.int32))
+        self.n, self.used = self.n + len(h), self.used + len(more)
+
+    def _put(self, h: np.ndarray, rows: np.ndarray) -> None:
+        at, todo = (h >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(h))
         while len(todo):
             free = self.keys[at] == 0
             first = np.zeros(len(at), bool)
             first[np.unique(at, return_index=True)[1]] = True
             now = free & first
-            self.keys[at[now]], self.rows[at[now]] = h[todo[now]], self.n + todo[now]
+            self.keys[at[now]], self.rows[at[now]] = h[todo[now]], rows[todo[now]]
             taken = self.keys[at] != h[todo]
-            todo, at = todo[taken], (at[taken] + 1) & ((1 << self.BITS) - 1)
-        self.n, self.used = self.n + len(h), self.used + len(more)
+            todo, at = todo[taken], (at[taken] + 1) & ((1 << self.bits) - 1)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -185,7 +196,7 @@ class Encoder:
     def batch(self, texts: list[str | None], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another (each followed by ``end``, if given), and where each text's begin and end."""
         parts, sizes, last = [], [0], [] if end is None else np.array([end], "<u4")
-        for at, raw in blocks(texts):
+        for at, raw in blocks(texts, BYTES):
             ids, bounds = self._block(texts[at : at + len(raw)], raw)
             n = np.diff(bounds)
             if end is not None:
@@ -248,9 +259,9 @@ class Encoder:
             if (row[~long] < 0).any():  # the memo was emptied in between
                 lost = np.flatnonzero((row < 0) & ~long)
                 each, at = np.unique(h[lost], return_index=True)
-                self.known.add(each, [self._piece(block[a:b].decode("utf-8")) for a, b in zip(starts[lost[at]].tolist(), ends[lost[at]].tolist())])
+                self.known.add(each, [self._piece(block[a:b].decode("utf-8")) for a, b in zip(starts[lost[at]].tolist(), ends[lost[at]].tolist())], keep=True)
                 row = self.known.find(h)
-        n = np.where(row >= 0, self.known.size[row], 0)
+        n = np.where(row >= 0, self.known.size[row], 0).astype(np.int64)
         upto = np.cumsum(n)
         at = np.repeat(self.known.start[row] - (upto - n), n) + np.arange(int(n.sum()))
         ids = self.known.ids[at]
