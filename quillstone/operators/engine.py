@@ -1,7 +1,8 @@
 """The engine: indices as DataFrames, and requests answered as Spark plans.
 
 An index is a DataFrame with ``_ord`` (place in natural order, the tie break of every ranking), ``_id`` and its
-fields. Metadata lives on the driver; nothing here brings more than a page of hits or buckets to it.
+fields. Metadata lives on the driver; nothing here brings more than a page of hits or buckets to it. ``matches`` gives all
+hits of a request as rows.
 """
 
 from __future__ import annotations
@@ -205,11 +206,8 @@ class Engine:
     def hits(self, target: str, body: dict | None = None, deep: bool = False) -> Hits:
         """``deep`` lifts the limit of the window, as later pages of a scroll need."""
         body = body or {}
-        q = dsl.parse(body["query"]) if body.get("query") else dsl.MatchAll()
         start, size = _window(body, deep)
-        low = body.get("min_score")
-        if low is not None and (isinstance(low, bool) or not isinstance(low, (int, float)) or low < 0):
-            raise QueryError("[min_score] must be a number of 0 or more")
+        q, low = _asked(body)
         found = self._all(target, q, low)
         first = self.resolve(target)[0]
         order = sort_columns(body.get("sort"), self.compiler(first), q.scoring)
@@ -223,6 +221,21 @@ class Engine:
             total, relation = totals, "gte"
         return Hits(page, total, relation, summary["m"])
 
+    def matches(self, target: str, body: dict | None = None) -> DataFrame:
+        """All that a body matches, in no order: the window of pages does not hold for rows that stay in Spark.
+
+        ``_index``, ``_id``, ``_ord``, ``_score`` and the fields that ``_source`` asks for; with ``highlight`` the marks of each row.
+        """
+        body = body or {}
+        q, low = _asked(body)
+        found = self._all(target, q, low)
+        names = [n for n in found.columns if not n.startswith("_")]
+        shown = [F.col(f"`{n}`") for n in source_filter(dict.fromkeys(names), body.get("_source", True)) or ()]
+        if body.get("highlight"):
+            found = highlight.marked(found, q, body["highlight"], "_highlight")
+            shown.append(F.col("_highlight").alias("highlight"))
+        return found.select("_index", "_id", "_ord", "_score", *shown)
+
     def search(self, target: str, body: dict | None = None, scroll: str | None = None, request_cache: bool = True, deep: bool = False) -> dict:
         """A whole response body."""
         body = body or {}
@@ -449,6 +462,14 @@ def _window(body: dict, deep: bool = False) -> tuple[int, int]:
     return start, size
 
 
+def _asked(body: dict) -> tuple[dsl.Query, float | None]:
+    """A body's query and least score."""
+    low = body.get("min_score")
+    if low is not None and (isinstance(low, bool) or not isinstance(low, (int, float)) or low < 0):
+        raise QueryError("[min_score] must be a number of 0 or more")
+    return dsl.parse(body["query"]) if body.get("query") else dsl.MatchAll(), low
+
+
 def _countable(q: dsl.Query) -> None:
     if isinstance(q, dsl.Bool):
         if q.filter or q.must_not or q.should:
